@@ -5,8 +5,10 @@ The product of the document by n-gram incidence matrix with its transpose is tak
 1. one pass counts shingles of all documents in a count sketch of fixed size; a second pass gives every
    document a 128-bit set key and its rarest shingles (the prefix that two similar sets cannot both miss);
 2. documents with equal sets are one row of the matrix from here on (``groupBy`` on the key);
-3. rows that share a prefix shingle within a class of set sizes are candidates; the components of that
-   candidate graph are the blocks of the product, as no link leaves them;
+3. rows that share a prefix shingle within a class of set sizes are candidates. Pairs are listed where few rows
+   share one, and dropped when the histograms of their shingles already differ by more than a link allows;
+   where many do, each row is tied to the first. The components of what remains are the blocks of the product,
+   as no link leaves them;
 4. blocks are cut into tiles of bounded size, ordered by set size. Tile pairs whose sizes rule out a link
    are never made. Each other pair is multiplied a slab of n-gram columns at a time; after each slab, pairs
    that can't reach the overlap that their sizes demand are discarded;
@@ -33,6 +35,7 @@ from .scratch import materialize
 
 SKETCH_BITS, SKETCH_SLICES = 20, 64
 TILE_DOCS, TILE_SHINGLES, SLAB_COLUMNS = 512, 400_000, 4096
+LISTED = 16
 
 
 def size_class(n: int, num: int, den: int) -> tuple[int, int]:
@@ -104,11 +107,12 @@ def _profiles(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         frequency = counts.value
         for ids, sets in _rows(batches, width):
             size = np.array([len(s) for s in sets], np.int64)
-            k1, k2, marks = [], [], []
+            k1, k2, marks, outlines = [], [], [], []
             for s in sets:
                 n = len(s)
                 k1.append(int(mix(s).sum(dtype=np.uint64)) + n)
                 k2.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) if n else 0)
+                outlines.append(outline(s))
                 own = n - -(-num * n // den) + 1
                 level = int(np.searchsorted(lows, n, "right")) - 1
                 if n == 0:
@@ -122,9 +126,53 @@ def _profiles(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 "doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(size),
                 "k1": pa.array((np.array(k1, object) & 0xFFFFFFFFFFFFFFFF).astype(np.uint64).view(np.int64)), "k2": pa.array(np.array(k2, np.uint64).view(np.int64)),
                 "marks": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(marks))),
+                "outline": pa.array(outlines, pa.binary()),
             })
 
-    return docs.mapInArrow(profile, "doc_id long, n_shingles long, k1 long, k2 long, marks array<long>")
+    return docs.mapInArrow(profile, "doc_id long, n_shingles long, k1 long, k2 long, marks array<long>, outline binary")
+
+
+def outline(shingles: np.ndarray) -> bytes:
+    """Histogram (modulo 256) of a set's hashes over a power of two of cells, about four shingles a cell."""
+    bits = max(3, int(len(shingles) // 4).bit_length())
+    return np.bincount((mix(shingles) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets by their outlines."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[::2] + y[1::2]
+    return int(np.minimum(x - y, y - x).sum(dtype=np.int64))
+
+
+def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Listed pairs (head, rep, sizes and outlines) that may still link."""
+
+    def test(batches):
+        for batch in batches:
+            a, b = batch.column("n_head").to_numpy(), batch.column("n_rep").to_numpy()
+            most = a + b - 2 * least_overlap(a, b, num, den)
+            keep = [p.as_py() is not None and least_difference(p.as_py(), q.as_py()) <= m for p, q, m in zip(batch.column("o_head"), batch.column("o_rep"), most, strict=True)]
+            yield batch.select(["head", "rep"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(test, "head long, rep long")
+
+
+def _candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
+    marks = reps.select("rep", F.explode("marks").alias("mark"))
+    ordered = Window.partitionBy("mark").orderBy("rep")
+    shared = marks.select(
+        "rep", F.count("*").over(Window.partitionBy("mark")).alias("members"), F.first("rep").over(ordered).alias("first"),
+        F.collect_list("rep").over(ordered.rowsBetween(-LISTED, -1)).alias("earlier"),
+    ).filter("members > 1")
+    tied = F.when(F.col("members") <= LISTED + 1, F.col("earlier")).otherwise(F.array("first"))
+    edges = materialize(shared.select("rep", F.explode(tied).alias("head"), (F.col("members") <= LISTED + 1).alias("listed")).filter("head <> rep").groupBy("head", "rep").agg(F.min("listed").alias("listed")), "edges")
+    side = lambda name: reps.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("outline").alias(f"o_{name}"))
+    near = edges.filter("listed").join(side("head"), "head").join(side("rep"), "rep").filter(F.col("n_head") * den >= F.col("n_rep") * num).filter(F.col("n_rep") * den >= F.col("n_head") * num)
+    return _plausible(near, num, den).union(edges.filter("not listed").select("head", "rep"))
 
 
 def _shingle_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -226,11 +274,9 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, numerator: int = 80, denomina
     profiles = materialize(_profiles(docs, width, num, den), "profiles")
     sized = profiles.filter("n_shingles > 0")
     sets = sized.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = sized.groupBy("k1", "k2", "n_shingles").agg(F.min_by("marks", "doc_id").alias("marks"), F.min("doc_id").alias("rep"))
-    marks = reps.select("rep", F.explode("marks").alias("mark"))
-    first = F.min("rep").over(Window.partitionBy("mark").orderBy("rep"))
-    candidates = marks.withColumn("head", first).filter("head <> rep").select("head", "rep").distinct()
-    blocks = materialize(connected_components(materialize(candidates, "candidates"), "head", "rep"), "blocks")
+    whole = F.struct("marks", "outline")
+    reps = sized.groupBy("k1", "k2", "n_shingles").agg(F.min_by(whole, "doc_id").alias("row"), F.min("doc_id").alias("rep")).select("rep", "n_shingles", "row.*")
+    blocks = materialize(connected_components(materialize(_candidates(reps, num, den), "candidates"), "head", "rep"), "blocks")
 
     members = sets.join(blocks.withColumnRenamed("node", "rep"), "rep").select("rep", "copies", "n_shingles", "root")
     ordered = Window.partitionBy("root").orderBy("n_shingles", "rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -241,7 +287,7 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, numerator: int = 80, denomina
     pairs = tiles.join(later, "root").filter((F.col("j") >= F.col("tile")) & (F.col("later_low") * num <= F.col("high") * den)).select("root", F.col("tile").alias("i"), "j")
     ends = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
     rows = _shingle_rows(docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width)
-    rows = rows.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep").join(members, "rep")
+    rows = rows.withColumnRenamed("doc_id", "rep").join(members, "rep")
     products = rows.join(ends, ["root", "tile"]).groupBy("root", "i", "j").applyInPandas(_tile_links(num, den), "a long, b long, links long")
     found = materialize(products, "links")
 
