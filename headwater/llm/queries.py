@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
+from .labelled import fold
 from .ngram_jaccard import ngram_jaccard
+from .quality import score_quality
 from .secrets import joined, scan_secrets
 
 
@@ -29,6 +31,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored(found: DataFrame, cut: float) -> DataFrame:
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), 0.3)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -41,6 +51,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
 }
 
