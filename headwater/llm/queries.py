@@ -12,6 +12,7 @@ from .labelled import fold
 from .ngram_jaccard import ngram_jaccard
 from .quality import score_quality
 from .secrets import joined, scan_secrets
+from .toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,10 @@ def _scored(found: DataFrame, cut: float) -> DataFrame:
     return found.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), 0.5)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), 0.3)
 
@@ -51,6 +56,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
 }
