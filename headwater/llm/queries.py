@@ -13,6 +13,7 @@ from .ngram_jaccard import ngram_jaccard
 from .quality import score_quality
 from .secrets import joined, scan_secrets
 from .toxicity import score_toxicity
+from .winnowing import fingerprint_edits, shown
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +54,21 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_edits(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown("fingerprint").alias("fingerprint"),
+        shown("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
