@@ -144,7 +144,7 @@ def find_windows(hashed: np.ndarray, bounds: np.ndarray, windows: Windows):
             yield word, length, owners[p]
 
 
-def _scan(windows, cut: bool, last: bool):
+def _scan(windows, cut: bool, last: bool, keep: list[str] = ()):
     def scan(batches):
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
@@ -178,23 +178,25 @@ def _scan(windows, cut: bool, last: bool):
             points = np.r_[0, np.cumsum((own & 0xC0) != 0x80)] if bytespans else None
             spans.append([{"start": int(points[i]), "end": int(points[j])} for i, j in bytespans])
             if cut and bytespans:
-                kept = [own[i:j].tobytes() for i, j in zip([0, *(j for _, j in bytespans)], [*(i for i, _ in bytespans), len(own)], strict=True)]
-                texts.append(b"".join(kept).decode("utf-8", "replace"))
+                rest = [own[i:j].tobytes() for i, j in zip([0, *(j for _, j in bytespans)], [*(i for i, _ in bytespans), len(own)], strict=True)]
+                texts.append(b"".join(rest).decode("utf-8", "replace"))
             elif cut:
                 texts.append(column[r].as_py())
         items = pa.array([sorted(x) for x in found], pa.list_(pa.int64()))
+        kept = [rows.column(f"keep_{k}") for k in range(len(keep))]
         if not last:
-            return pa.RecordBatch.from_arrays([rows.column("doc_id"), column, pa.array(spans, pa.list_(pa.int32())), items], ["doc_id", "text", "hits", "items"])
+            arrays = [rows.column("doc_id"), column, pa.array(spans, pa.list_(pa.int32())), items]
+            return pa.RecordBatch.from_arrays(arrays + kept, ["doc_id", "text", "hits", "items", *(f"keep_{k}" for k in range(len(keep)))])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         out = [rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(counts, pa.int64()), items, pa.array(spans, kind)]
         names = ["doc_id", "n_words", "n_hit", "items", "spans"]
-        return pa.RecordBatch.from_arrays(out + [pa.array(texts, pa.string())] * cut, names + ["clean_text"] * cut)
+        return pa.RecordBatch.from_arrays(out + [pa.array(texts, pa.string())] * cut + kept, names + ["clean_text"] * cut + list(keep))
 
     return scan
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, cut: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans[, clean_text]) of every row of ``docs``.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, cut: bool = False, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans[, clean_text]) of every row of ``docs``, and its columns named in ``keep``.
 
     A window is ``width`` consecutive words of a benchmark text, or all words of a shorter one. ``n_hit`` counts
     the words inside any occurrence, ``items`` lists the items with one, ``spans`` are the merged removal spans in
@@ -204,11 +206,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, c
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(size) // BLOCK_BYTES + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<long>").alias("items"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<long>").alias("items"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
+    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
         windows = spark.sparkContext.broadcast(Windows([(r["item_id"], r["text"]) for r in part], width))
         last = k == blocks - 1
         schema = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>" + ", clean_text string" * cut
-        rows = rows.mapInArrow(_scan(windows, cut, last), schema if last else "doc_id long, text string, hits array<int>, items array<long>")
+        names = [f"`{c}`" for c in keep] if last else [f"keep_{i}" for i in range(len(keep))]
+        schema = schema if last else "doc_id long, text string, hits array<int>, items array<long>"
+        rows = rows.mapInArrow(_scan(windows, cut, last, list(keep)), ", ".join([schema, *(f"{c} {t}" for c, t in zip(names, kinds, strict=True))]))
     return rows

@@ -12,6 +12,7 @@ from .labelled import fold
 from .ngram_jaccard import ngram_jaccard
 from .quality import score_quality
 from .secrets import joined, scan_secrets
+from .sentencepiece import encode_sentencepiece
 from .toxicity import score_toxicity
 from .winnowing import fingerprint_edits, shown
 
@@ -54,6 +55,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_sentencepiece(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint_edits(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
