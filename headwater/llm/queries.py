@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back
 from .decontaminate import find_contamination
 from .html_text import extract_pages
 from .labelled import fold
@@ -14,6 +15,7 @@ from .ngram_jaccard import ngram_jaccard
 from .quality import score_quality
 from .secrets import joined, scan_secrets
 from .sentencepiece import encode_sentencepiece
+from .token_counts import count_tokens
 from .toxicity import score_toxicity
 from .winnowing import fingerprint_edits, shown
 
@@ -60,6 +62,21 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+#: A conversation whose texts look like the template's marks.
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    found = read_back(format_conversations(turns.union(probe)))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_sentencepiece(_table(spark, sf_dir, "documents"), digest=True)
 
@@ -79,7 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_html_extraction": op6_html_extraction,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_token_counts": op9_token_counts,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
