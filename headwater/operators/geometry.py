@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from headwater.functions.geodesic import edge_areas
 from headwater.operators import overlay
@@ -41,20 +42,20 @@ def edges(features: DataFrame, *keys: str, geom: str = "geom") -> DataFrame:
     return out.filter("x1 <> x2 OR y1 <> y2")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _geodesic(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
     return pd.Series(-edge_areas(x1, y1, x2, y2) / 1e6)
 
 
 def area_km2(edge_rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, area_km2): ellipsoidal area of oriented edges."""
-    return edge_rows.withColumn("part", _geodesic("x1", "y1", "x2", "y2")).groupBy(*keys).agg(F.abs(F.sum("part")).alias("area_km2"))
+    return edge_rows.withColumn("_km2", _geodesic("x1", "y1", "x2", "y2")).groupBy(*keys).agg(F.abs(F.sum("_km2")).alias("area_km2"))
 
 
 def polygon_area_sum_km2(edge_rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, area_km2): the sum of the areas of single polygons."""
-    each = edge_rows.withColumn("part", _geodesic("x1", "y1", "x2", "y2")).groupBy(*keys, "poly").agg(F.abs(F.sum("part")).alias("part"))
-    return each.groupBy(*keys).agg(F.sum("part").alias("area_km2"))
+    each = edge_rows.withColumn("_km2", _geodesic("x1", "y1", "x2", "y2")).groupBy(*keys, "poly").agg(F.abs(F.sum("_km2")).alias("_km2"))
+    return each.groupBy(*keys).agg(F.sum("_km2").alias("area_km2"))
 
 
 def planar(edge_rows: DataFrame, *keys: str) -> DataFrame:
