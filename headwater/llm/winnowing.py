@@ -41,8 +41,8 @@ def winnow(text: Column | str, k: int = K, window: int = WINDOW) -> Column:
 
 
 def hashes(fingerprint: Column | str) -> Column:
-    """Distinct hashes of a fingerprint, without positions."""
-    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, 32)))
+    """Distinct hashes of a fingerprint, without positions: 31 bits each."""
+    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, 32).cast("int")))
 
 
 def shown(fingerprint: Column | str) -> Column:
@@ -78,22 +78,26 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
     """(doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text is the row's with its last half (rounded down) replaced by as many first code points of the next
-    document's (or all). Rows with the same id as another are each paired with one row of the next id.
+    document's (or all). Rows with the same id as another are each paired with one row of the next id; rows without an
+    id have no next document.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("fingerprint", winnow("text", k, window))
-    sizes = docs.select("doc_id", F.length("text").alias("n"))
-    order = next_ids(sizes)
-    wanted = sizes.groupBy("doc_id").agg(F.max("n").alias("n")).join(order, "doc_id").select(F.col("doc_id").alias("asking"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 2).cast("int").alias("take"))
-    given = own.join(wanted, "doc_id").select(
-        F.col("asking").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes("fingerprint").alias("next_hashes"),
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # both joins read this side through one shuffle of the texts, so it must be the same plan in both
+    texts = docs.filter("doc_id is not null")
+    sizes = texts.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    wanted = sizes.join(next_ids(texts), "doc_id").select(F.col("doc_id").alias("asking"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 2).cast("int").alias("take"))
+    given = texts.join(wanted, "doc_id").select(
+        F.col("asking").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes(winnow("text", k, window)).alias("next_hashes"),
     ).groupBy("doc_id").agg(F.min_by(F.struct("head", "next_hashes"), F.struct("head")).alias("given")).select("doc_id", "given.*")
-    both = own.join(given, "doc_id", "left").withColumn("n_chars", F.length("text"))
+    alone = docs.filter("doc_id is null").withColumns({"head": F.lit(""), "next_hashes": F.array().cast("array<int>")})
+    both = texts.join(given, "doc_id").union(alone).withColumn("n_chars", F.length("text")).withColumn("fingerprint", winnow("text", k, window))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half))
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("head", F.lit(1), half))
     both = both.withColumn("edited", edited).withColumn("edited_fingerprint", winnow("edited", k, window))
-    near_next = likeness(hashes("fingerprint"), F.coalesce("next_hashes", F.array().cast("array<bigint>")))
+    own = hashes("fingerprint")
     return both.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint",
-        likeness(hashes("fingerprint"), hashes("edited_fingerprint")).alias("near_edited"), near_next.alias("near_next"),
+        likeness(own, hashes("edited_fingerprint")).alias("near_edited"), likeness(own, F.col("next_hashes")).alias("near_next"),
     )
