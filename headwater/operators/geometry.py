@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -123,18 +124,19 @@ def repaired(features: DataFrame, *keys: str, geom: str = "geom") -> DataFrame:
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
     def run(batches):
-        for rows in batches:
+        for batch in batches:
             geoms, fixed, broken = [], [], []
-            for g in rows[geom]:
-                polygons = [[np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in polygon] for polygon in ([] if g is None else g)]
+            for g in batch.column(len(keys)).to_pylist():
+                polygons = [[np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in polygon] for polygon in (g or [])]
                 ok = overlay.is_valid(polygons)
                 made = polygons if ok else overlay.even_odd(polygons)
                 geoms.append(_structs(made))
                 fixed.append(not ok)
                 broken.append(not made)
-            yield pd.DataFrame({**{k: rows[k].to_numpy() for k in keys}, "geom": geoms, "repaired": fixed, "broken": broken})
+            columns = [*batch.columns[: len(keys)], pa.array(geoms, batch.schema.field(len(keys)).type), pa.array(fixed), pa.array(broken)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "geom", "repaired", "broken"])
 
-    return features.select(*keys, geom).mapInPandas(run, f"{schema}, geom {GEOMETRY}, repaired boolean, broken boolean")
+    return features.select(*keys, geom).mapInArrow(run, f"{schema}, geom {GEOMETRY}, repaired boolean, broken boolean")
 
 
 def _structs(polygons) -> list:

@@ -56,7 +56,9 @@ def polygon_of(record: bytes) -> list | None:
     parts, points = struct.unpack("<2i", record[36:44])
     starts = [*struct.unpack(f"<{parts}i", record[44 : 44 + 4 * parts]), points]
     xy = np.frombuffer(record, "<f8", 2 * points, 44 + 4 * parts).reshape(-1, 2)
-    rings = [xy[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    rings = [xy[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True) if b > a]
+    if not rings:
+        return None
     shells = sorted((r for r in rings if signed_area(r) <= 0), key=lambda r: -signed_area(r)) or rings[:1]
     out = [[s] for s in shells]
     for hole in (r for r in rings if not any(r is s for s in shells)):

@@ -1,0 +1 @@
+"""The reference data has no streams; this package stays empty until a streaming operator is needed."""
