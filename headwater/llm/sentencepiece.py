@@ -6,7 +6,8 @@ occurrences; the occurrences are edges, sorted by position. Relaxation then join
 best edge, best score first and leftmost on ties, which for a merge model gives the ids of the reference encoder;
 all chunks advance at once, long ones by a heap. Characters without a piece fall back to bytes.
 
-Each Python worker remembers chunks it has encoded (``MEMORY`` at most, then it starts anew). Null encodes as an
+An index covers ``INDEXED`` characters of new chunks (or one longer chunk). Each Python worker remembers chunks it has
+encoded (``MEMORY`` at most, then it starts anew). Null encodes as an
 empty text: no ids. Decoding returns the text exactly unless it holds the mark U+2581 itself, which reads back as
 a space.
 """
@@ -26,7 +27,7 @@ from .bytewords import mix, powers, slices, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
-SLICE, MEMORY, LONG = 4 << 20, 600_000, 64
+SLICE, INDEXED, MEMORY, LONG = 2 << 20, 300_000, 400_000, 64
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -104,9 +105,9 @@ def occurrences(text: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
             bounds.append(a)
         low[live], high[live] = bounds
     times = np.maximum(high - low, 0)
-    piece = np.repeat(np.arange(len(times)), times)
-    rows = np.arange(len(piece)) - np.repeat(np.cumsum(times) - times, times) + low[piece]
-    position = order[rows]
+    piece = np.repeat(np.arange(len(times), dtype=np.int32), times)
+    rows = np.arange(len(piece)) - np.repeat(np.cumsum(times) - times - low, times)
+    position = order.astype(np.int32)[rows]
     by = np.argsort(position, kind="stable")
     return position[by], vocab.length[piece[by]], piece[by]
 
@@ -234,19 +235,23 @@ class Encoder:
         return ids, rows
 
     def _learn(self, text, starts, ends, keys) -> None:
-        if not len(keys):
-            return
         sizes = ends - starts + 1
-        begin = np.cumsum(sizes) - sizes
-        joined = text[np.minimum(np.repeat(starts - begin, sizes) + np.arange(sizes.sum()), len(text) - 1)]
-        joined[begin + sizes - 1] = 0
-        ids, first = encode_chunks(joined, begin, begin + sizes - 1, self.vocab)
-        count = np.diff(np.r_[first, len(ids)])
-        order = np.argsort(np.r_[self.keys, keys], kind="stable")
-        self.first = np.r_[self.first, first + len(self.ids)][order]
-        self.count = np.r_[self.count, count][order]
-        self.keys = np.r_[self.keys, keys][order]
-        self.ids = np.r_[self.ids, ids]
+        known, first, count, ids, done = [self.keys], [self.first], [self.count], [self.ids], len(self.ids)
+        for a, b in slices(np.r_[0, np.cumsum(sizes)], INDEXED):  # each index covers so many characters, or one chunk
+            begin = np.cumsum(sizes[a:b]) - sizes[a:b]
+            joined = text[np.minimum(np.repeat(starts[a:b] - begin, sizes[a:b]) + np.arange(sizes[a:b].sum()), len(text) - 1)]
+            joined[begin + sizes[a:b] - 1] = 0
+            new, at = encode_chunks(joined, begin, begin + sizes[a:b] - 1, self.vocab)
+            first.append(at + done)
+            count.append(np.diff(np.r_[at, len(new)]))
+            ids.append(new)
+            known.append(keys[a:b])
+            done += len(new)
+        if len(known) > 1:
+            keys = np.concatenate(known)
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.first, self.count = keys[order], np.concatenate(first)[order], np.concatenate(count)[order]
+            self.ids = np.concatenate(ids)
 
 
 def decode(ids, vocab: Vocabulary) -> str:
