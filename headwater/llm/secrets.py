@@ -3,7 +3,7 @@
 Base spans come from three patterns. Further spans are long runs of token characters outside them whose
 log-likelihood ratio between two first-order character models is high: one model of random strings, one of
 ordinary identifiers. Both are trained from the corpus: values that the patterns capture are the labelled random
-strings, all other tokens of the same rows the ordinary ones (``MAX_TRAIN_ROWS`` rows at most; every row is
+strings, other tokens of the same rows the ordinary ones (but for long mixtures of letters and digits) (``MAX_TRAIN_ROWS`` rows at most; every row is
 scanned). The model is a table of 67 by 67 ratios, whatever the corpus.
 
 Null or empty texts have no spans. Offsets are code points, end exclusive. Repeated rows are scanned alike.
@@ -73,10 +73,12 @@ def train_models(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> list[float]
     for _, pattern, *_x in BASE[:2]:
         rest = F.regexp_replace(rest, pattern, " ")
     rest = F.regexp_replace(rest, "[0-9a-f]{32,}", " ")
+    # long tokens of letters and digits may be either, so they are no samples
+    ordinary = lambda v: ~((F.length(v) >= 20) & v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
     tokens = sample.select(
         F.explode(F.concat(
             F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(1).alias("random"), v.alias("token"))),
-            F.transform(F.array_distinct(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{8,}"), F.lit(0))), lambda v: F.struct(F.lit(0).alias("random"), v.alias("token"))),
+            F.transform(F.filter(F.array_distinct(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{8,}"), F.lit(0))), ordinary), lambda v: F.struct(F.lit(0).alias("random"), v.alias("token"))),
         )).alias("t")
     ).select("t.*").distinct()
     pairs = tokens.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - 1, F.lit(1))), lambda i: F.substring("token", i, F.lit(2)))).alias("pair"))
@@ -86,7 +88,8 @@ def train_models(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> list[float]
     total = {(k, a): sum(count.get((k, a + b), 0) for b in ALPHABET) for k in (0, 1) for a in ALPHABET}
     for a in ALPHABET:
         for b in ALPHABET:
-            p = [(count.get((k, a + b), 0) / total[k, a] if total[k, a] else 1 / n) for k in (0, 1)]
+            # a character that no ordinary token has speaks for a random one
+            p = [count.get((k, a + b), 0) / total[k, a] if total[k, a] else k / n for k in (0, 1)]
             out.append(math.log(0.5 * p[1] + 0.5 / n) - math.log(0.98 * p[0] + 0.02 / n))
     return out
 
