@@ -29,6 +29,7 @@ NEVER = frozenset(
     "script style noscript template head title nav footer aside form button select textarea iframe object svg canvas math"
     " audio video dialog menu map".split()
 )
+_CONTAINERS = frozenset(("article", "body", "center", "div", "html", "main", "section", ""))
 _ENDS_P = BLOCKS - {"body", "html"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -190,7 +191,10 @@ def _region(lines, content) -> _Node:
         if good:
             chain = list(_above(node))[::-1]
             common = chain if common is None else [a for a, b in zip(common, chain, strict=False) if a is b]
-    return common[-1]
+    region = common[-1]
+    while region.parent and region.tag not in _CONTAINERS:
+        region = region.parent
+    return region
 
 
 def main_text(html: str | None) -> str:
