@@ -27,7 +27,7 @@ from .bytewords import mix, powers, slices, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
-SLICE, INDEXED, MEMORY, LONG = 2 << 20, 300_000, 400_000, 64
+SLICE, INDEXED, MEMORY, LONG = 1 << 20, 250_000, 400_000, 64
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 

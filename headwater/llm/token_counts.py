@@ -22,7 +22,7 @@ from .bytewords import NON_SPACE, slices, text_buffers, words_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def pieces_of(path: str) -> list[bytes]:
