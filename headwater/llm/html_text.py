@@ -42,6 +42,11 @@ _MARKS = frozenset(
     " sponsored subscribe subscription teaser toolbar tracking widget widgets".split()
 )
 _HEADS = frozenset("header topbar top".split())
+#: Marks that also hold for articles inside: an article in a comment section is a comment.
+_REPLIES = frozenset("comment comments commentlist disqus respond reply replies".split())
+_TEASERS = _REPLIES | frozenset("ad ads advert advertisement sponsored sponsor teaser related recommended promo".split())
+#: How an element is left out: not at all, by a name (an article inside still counts), or with all it holds.
+IN, NAMED, OUT = 0, 1, 2
 SIGMA = 1.0
 
 
@@ -56,9 +61,10 @@ class _Node:
 class _Lines(HTMLParser):
     """Collects lines: [text parts, tags, link characters, node]."""
 
-    def __init__(self):
+    def __init__(self, names: bool = True):
         super().__init__(convert_charrefs=True)
-        self.node = _Node("", None, False)
+        self.names = names
+        self.node = _Node("", None, IN)
         self.lines: list[list] = []
         self.line = None
         self.links = 0
@@ -70,27 +76,32 @@ class _Lines(HTMLParser):
         if self.line is not None:
             self.line[1] += 1
 
-    def _outside(self, tag: str, attrs) -> bool:
-        if self.node.out or tag in NEVER:
-            return True
+    def _outside(self, tag: str, attrs) -> int:
+        within = self.node.out
+        if within == OUT or tag in NEVER:
+            return OUT
         inside = self.node
         while inside and inside.tag not in ("article", "main"):
             inside = inside.parent
         if tag == "header" and not inside:
-            return True
+            return OUT
+        named = within if tag not in ("article", "main") else IN
         for name, value in attrs:
             value = value or ""
             if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return True
+                return OUT
             if name == "role" and value.strip().lower() in _ROLES:
-                return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                return OUT
+            if name in ("class", "id") and self.names and tag not in ("html", "body", "main"):
                 words = {w.lower() for w in _WORD.findall(value)}
-                if words & _MARKS or (not inside and words & _HEADS and tag in ("div", "section", "table", "ul")):
-                    return True
-            if name in ("class", "id") and tag == "article" and {"comment", "comments", "ad", "ads", "advert", "sponsored", "teaser", "related"} & {w.lower() for w in _WORD.findall(value)}:
-                return True
-        return False
+                if tag == "article":
+                    if words & _TEASERS:
+                        return OUT
+                elif words & _REPLIES:
+                    return OUT
+                elif words & _MARKS or (not inside and words & _HEADS and tag in ("div", "section", "table", "ul")):
+                    named = NAMED
+        return named
 
     def _close_to(self, names, stop=()):
         at = self.node
@@ -197,19 +208,24 @@ def _region(lines, content) -> _Node:
     return region
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks, one a line."""
-    if not html:
-        return ""
-    parser = _Lines()
+def _lines(html: str, names: bool) -> list[tuple]:
+    """(text, tags, link characters, element) of every line; without ``names`` only tags and roles leave elements out."""
     try:
+        parser = _Lines(names)
         parser.feed(html)
         parser.close()
     except AssertionError:  # a marked section that the parser does not know
-        parser = _Lines()
+        parser = _Lines(names)
         parser.feed(html.replace("<![", "&lt;!["))
         parser.close()
-    lines = [(text, tags, links, node) for parts, tags, links, node in parser.lines if (text := " ".join("".join(parts).split()))]
+    return [(text, tags, links, node) for parts, tags, links, node in parser.lines if (text := " ".join("".join(parts).split()))]
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks, one a line."""
+    if not html:
+        return ""
+    lines = _lines(html, True) or _lines(html, False)
     if not lines:
         return ""
     ratio = np.array([max(len(text) - links, 0) / tags for text, tags, links, _ in lines], float)

@@ -109,6 +109,8 @@ EXPECTED = "Head & line\nFirst bold text, long enough to be content of the page.
         f"<body><header><h2>Site</h2></header><main>{ARTICLE}<aside>side</aside><form>Name <input></form><section id=comments><p>Reader: nice article, thank you for this very long text.</p></section></main>",
         f"<div class='site-header'>Site</div><div id=content>{ARTICLE}</div><div class='sidebar-widget'>w</div><div class='cookie-banner'>We use cookies</div>",
         f"<article>{ARTICLE}<!-- no --><style>p{{}}</style><noscript>x</noscript>",
+        f"<div class='layout has-sidebar'><div class=menu>m</div><article class=post>{ARTICLE}</article><div class=related><article class=teaser>{'Other article. ' * 40}</article></div></div>",
+        f"<body><div class='wrap no-sidebar'>{ARTICLE}</div></body>",
     ],
 )
 def test_pages(page):
