@@ -1,7 +1,8 @@
 """Main text of web pages from streaming parser events and text-to-tag ratios.
 
 The standard library's parser feeds blocks (lines) with their text, their tags and the elements around them; blocks
-inside menus, headers, footers, asides, forms, scripts, adverts, notices and reader comments are never content.
+inside menus, headers, footers, asides, forms, scripts, adverts, notices and reader comments are never content. Names
+(class, id) count as whole names, and not where the named element holds more text than all the rest.
 Each remaining line's text-to-tag ratio is smoothed by a Gaussian; lines above the threshold between the two clusters
 of ratios are content, and select the region: the article (or main) element that holds most of them, else the
 smallest element around them. All blocks of the region are kept in page order, short ones too.
@@ -42,6 +43,8 @@ _MARKS = frozenset(
     " sponsored subscribe subscription teaser toolbar tracking widget widgets".split()
 )
 _HEADS = frozenset("header topbar top".split())
+#: Words that may stand beside a mark in one class name; any other word makes it a name of its own (``no-sidebar``).
+_BESIDE = frozenset("area bar block bottom box container global inner left list main outer page panel right section site wrap wrapper".split())
 #: Marks that also hold for articles inside: an article in a comment section is a comment.
 _REPLIES = frozenset("comment comments commentlist disqus respond reply replies".split())
 _TEASERS = _REPLIES | frozenset("ad ads advert advertisement sponsored sponsor teaser related recommended promo".split())
@@ -50,20 +53,33 @@ IN, NAMED, OUT = 0, 1, 2
 SIGMA = 1.0
 
 
+def _marked(value: str, marks: frozenset, beside: frozenset = _BESIDE) -> bool:
+    """Does a whole class name (or id) say no more than a mark?"""
+    for name in value.split():
+        words = {w.lower() for w in _WORD.findall(name) if not w.isdigit()}
+        if words & marks and words <= marks | beside:
+            return True
+    return False
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "out", "depth", "is_region")
+    __slots__ = ("tag", "parent", "out", "depth", "is_region", "order")
 
-    def __init__(self, tag, parent, out, is_region=False):
-        self.tag, self.parent, self.out, self.is_region = tag, parent, out, is_region
+    def __init__(self, tag, parent, out, is_region=False, order=-1):
+        self.tag, self.parent, self.out, self.is_region, self.order = tag, parent, out, is_region, order
         self.depth = parent.depth + 1 if parent else 0
 
 
 class _Lines(HTMLParser):
-    """Collects lines: [text parts, tags, link characters, node]."""
+    """Collects lines: [text parts, tags, link characters, node]; elements ``unnamed`` (by order) are not left out by name."""
 
-    def __init__(self, names: bool = True):
+    def __init__(self, names: bool = True, unnamed: frozenset = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.names = names
+        self.names, self.unnamed = names, unnamed
+        self.order = 0
+        #: Characters outside links that each outermost named element leaves out, and those that stay.
+        self.left_out: dict[int, int] = {}
+        self.stays = 0
         self.node = _Node("", None, IN)
         self.lines: list[list] = []
         self.line = None
@@ -93,13 +109,12 @@ class _Lines(HTMLParser):
             if name == "role" and value.strip().lower() in _ROLES:
                 return OUT
             if name in ("class", "id") and self.names and tag not in ("html", "body", "main"):
-                words = {w.lower() for w in _WORD.findall(value)}
                 if tag == "article":
-                    if words & _TEASERS:
+                    if _marked(value, _TEASERS):
                         return OUT
-                elif words & _REPLIES:
+                elif _marked(value, _REPLIES):
                     return OUT
-                elif words & _MARKS or (not inside and words & _HEADS and tag in ("div", "section", "table", "ul")):
+                elif self.order not in self.unnamed and (_marked(value, _MARKS) or (not inside and tag in ("div", "section", "table", "ul") and _marked(value, _HEADS, _BESIDE - {"page"}))):
                     named = NAMED
         return named
 
@@ -128,7 +143,8 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self._new_line()
         role = dict(attrs).get("role") if attrs else None
-        self.node = _Node(tag, self.node, self._outside(tag, attrs), tag in ("article", "main") or role in ("main", "article"))
+        self.node = _Node(tag, self.node, self._outside(tag, attrs), tag in ("article", "main") or role in ("main", "article"), self.order)
+        self.order += 1
         self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -150,7 +166,13 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         if self.node.out:
+            if self.node.out == NAMED and not self.links:
+                top = self.node
+                while top.parent and top.parent.out == NAMED:
+                    top = top.parent
+                self.left_out[top.order] = self.left_out.get(top.order, 0) + len(data.strip())
             return
+        self.stays += len(data.strip()) if not self.links else 0
         if self.line is None:
             if not data.strip():
                 return
@@ -208,16 +230,27 @@ def _region(lines, content) -> _Node:
     return region
 
 
-def _lines(html: str, names: bool) -> list[tuple]:
-    """(text, tags, link characters, element) of every line; without ``names`` only tags and roles leave elements out."""
+def _parsed(html: str, names: bool, unnamed: frozenset = frozenset()) -> _Lines:
     try:
-        parser = _Lines(names)
+        parser = _Lines(names, unnamed)
         parser.feed(html)
         parser.close()
     except AssertionError:  # a marked section that the parser does not know
-        parser = _Lines(names)
+        parser = _Lines(names, unnamed)
         parser.feed(html.replace("<![", "&lt;!["))
         parser.close()
+    return parser
+
+
+def _lines(html: str, names: bool) -> list[tuple]:
+    """(text, tags, link characters, element) of every line; without ``names`` only tags and roles leave elements out.
+
+    An element that holds more text than all that is left is not what its name says, so its name is not heeded.
+    """
+    parser, unnamed = _parsed(html, names), frozenset()
+    while parser.left_out and max(parser.left_out.values()) > parser.stays:
+        unnamed |= {k for k, n in parser.left_out.items() if n > parser.stays}
+        parser = _parsed(html, names, unnamed)
     return [(text, tags, links, node) for parts, tags, links, node in parser.lines if (text := " ".join("".join(parts).split()))]
 
 
@@ -232,19 +265,7 @@ def main_text(html: str | None) -> str:
     even = smoothed(ratio)
     content = even >= content_threshold(even)
     region = _region(lines, content)
-    inside = [any(n is region for n in _above(node)) for _, _, _, node in lines]
-    kept = [k for k, x in enumerate(inside) if x]
-    if not region.is_region:  # no article element: from the first content line (and its headings) to the last
-        good = [k for k in kept if content[k]]
-        first, last = good[0], good[-1]
-        while first - 1 in kept and re.fullmatch("h[1-6]", lines[first - 1][3].tag):
-            first -= 1
-        while last + 1 in kept and lines[last + 1][2] == 0 and lines[last + 1][3].tag == "p":
-            last += 1
-        while first - 1 in kept and lines[first - 1][2] == 0 and lines[first - 1][3].tag in ("p", "h1", "h2", "h3"):
-            first -= 1
-        kept = [k for k in kept if first <= k <= last and not (not content[k] and lines[k][2] > 0.8 * len(lines[k][0]))]
-    return "\n".join(lines[k][0] for k in kept)
+    return "\n".join(text for text, _, _, node in lines if any(n is region for n in _above(node)))
 
 
 def extracted_text(html: str = "html") -> Column:

@@ -117,6 +117,23 @@ def test_pages(page):
     assert html_text.main_text(page) == EXPECTED
 
 
+TAIL = "<ul><li><a href=x>A list with a link that closes the text</a></li></ul><table><tr><td>a</td><td>b</td></tr></table><blockquote>quote</blockquote><p>More in <a href=y>another text</a>.</p>"
+LAST = "A list with a link that closes the text\na\nb\nquote\nMore in another text."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<nav>n</nav><div id=content>{ARTICLE}{TAIL}</div>",
+        f"<div class='wrap no-sidebar'>{ARTICLE}{TAIL}</div><p>(c) 2024</p>",
+        f"<div class='wrap sidebar'>{ARTICLE}{TAIL}</div><p>(c) 2024</p>",
+        f"<article>{ARTICLE}<div class='ad-free share-price'>{TAIL}</div><div class='site-footer'>left out</div></article>",
+    ],
+)
+def test_pages_keep_the_whole_region(page):
+    assert html_text.main_text(page) == f"{EXPECTED}\n{LAST}"
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "plain words"), (4, "u", "<![weird[ <p>kept text</p>"), (5, "u", "<p>" * 3000 + "deep"), (6, "u", "<nav>only</nav>")]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
