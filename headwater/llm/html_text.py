@@ -4,8 +4,8 @@ The standard library's parser feeds blocks (lines) with their text, their tags a
 inside menus, headers, footers, asides, forms, scripts, adverts, notices and reader comments are never content. Names
 (class, id) count as whole names, and not where the named element holds more text than all the rest.
 Each remaining line's text-to-tag ratio is smoothed by a Gaussian; lines above the threshold between the two clusters
-of ratios are content, and select the region: the article (or main) element that holds most of them, else the
-smallest element around them. All blocks of the region are kept in page order, short ones too.
+of ratios are content, and select the region: the smallest article or main element that holds most of their text, the
+container of several articles that share it, else the smallest element around them. All blocks of the region are kept in page order, short ones too.
 
 White space inside a block becomes one space, ``<br>`` counts as white space; blocks are joined by a line feed. Null or
 empty pages, and pages without content, give the empty text. Unclosed and stray tags are tolerated.
@@ -51,6 +51,8 @@ _TEASERS = _REPLIES | frozenset("ad ads advert advertisement sponsored sponsor t
 #: How an element is left out: not at all, by a name (an article inside still counts), or with all it holds.
 IN, NAMED, OUT = 0, 1, 2
 SIGMA = 1.0
+#: An article with this part of the heaviest one's content is a part of the story too.
+PART = 4
 
 
 def _marked(value: str, marks: frozenset, beside: frozenset = _BESIDE) -> bool:
@@ -209,27 +211,43 @@ def _above(node: _Node | None):
         node = node.parent
 
 
-def _region(lines, content) -> _Node:
-    """The element to keep."""
-    weight: dict[_Node, int] = {}
-    for (text, _, _, node), good in zip(lines, content, strict=True):
-        for n in _above(node):
-            if n.is_region:
-                weight[n] = weight.get(n, 0) + len(text) * (3 if good else 1)
-    articles = {n: w for n, w in weight.items() if n.tag == "article" and not any(m.tag == "article" for m in _above(n.parent))} or weight
-    if articles:
-        return max(articles, key=lambda n: (articles[n], -n.depth))
+def _common(nodes) -> _Node:
+    """The smallest container around all nodes."""
     common = None
-    for (_, _, _, node), good in zip(lines, content, strict=True):
-        if good:
-            chain = list(_above(node))[::-1]
-            common = chain if common is None else [a for a, b in zip(common, chain, strict=False) if a is b]
+    for node in nodes:
+        chain = list(_above(node))[::-1]
+        common = chain if common is None else [a for a, b in zip(common, chain, strict=False) if a is b]
     region = common[-1]
     while region.parent and region.tag not in _CONTAINERS:
         region = region.parent
     return region
 
 
+def _region(lines, content) -> _Node:
+    """The element to keep."""
+    weight: dict[_Node, int] = {}
+    total = 0
+    for (text, _, links, node), good in zip(lines, content, strict=True):
+        own = max(len(text) - links, 0) if good else 0
+        total += own
+        for n in _above(node):
+            if n.is_region:
+                weight[n] = weight.get(n, 0) + own
+    # an article inside another is a part of it
+    articles = {n: w for n, w in weight.items() if n.tag == "article" and w and not any(m.tag == "article" for m in _above(n.parent))}
+    regions = [n for n in weight if n.tag != "article" or n in articles]
+    most = [n for n in regions if 2 * weight[n] > total]
+    chosen = max(most, key=lambda n: n.depth) if most else None
+    if chosen is None or chosen in articles:
+        least = max(articles.values(), default=0) / PART
+        parts = [n for n, w in articles.items() if w >= least]
+        if len(parts) > 1 and 2 * sum(articles[n] for n in parts) > total:
+            return _common([n.parent for n in parts])
+    if chosen:
+        return chosen
+    return _common([node for (_, _, _, node), good in zip(lines, content, strict=True) if good])
+
+
 def _parsed(html: str, names: bool, unnamed: frozenset = frozenset()) -> _Lines:
     try:
         parser = _Lines(names, unnamed)

@@ -134,6 +134,22 @@ def test_pages_keep_the_whole_region(page):
     assert html_text.main_text(page) == f"{EXPECTED}\n{LAST}"
 
 
+PARTS = ["This is one part of a story that is told in more than one article element.", "The second part goes on from there and is about as long as the first.", "And so the third part ends it, in a text of much the same length."]
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<main>{ARTICLE}<article class=card>Card of another text</article></main>", f"{EXPECTED}\nCard of another text"),
+        (f"<div><article class=card>Card</article><main>{ARTICLE}</main></div>", EXPECTED),
+        (f"<body><nav>n</nav><div>{''.join(f'<article><p>{p}</p></article>' for p in PARTS)}</div><p>(c)</p></body>", "\n".join(PARTS)),
+        (f"<main><article>{ARTICLE}</article><article>Other</article></main>", EXPECTED),
+    ],
+)
+def test_the_region_holds_most_of_the_content(page, expected):
+    assert html_text.main_text(page) == expected
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "plain words"), (4, "u", "<![weird[ <p>kept text</p>"), (5, "u", "<p>" * 3000 + "deep"), (6, "u", "<nav>only</nav>")]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
