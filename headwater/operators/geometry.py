@@ -94,7 +94,7 @@ def dissolve(edge_rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, geom): the union of each key's polygons.
 
     Inner edges cancel in a distributed aggregation, so a task only ever sees the boundary of one union. Where the
-    boundary shows that neighbours' edges don't match (overlaps, vertices on another's edge), its segments are noded
+    boundary shows that neighbours' edges don't match (overlaps, vertices on another's edge, a shell within another polygon), its segments are noded
     and classified exactly instead; polygons that overlap must not cancel first, so those keys are redone from all edges.
     """
     keys = list(keys)
@@ -105,6 +105,8 @@ def dissolve(edge_rows: DataFrame, *keys: str) -> DataFrame:
         segments = rows[["x1", "y1", "x2", "y2"]].to_numpy()
         plain = bool((rows["times"] == 1).all()) and not overlay.crossing(segments)
         polygons = overlay.polygons_of(segments) if plain else []
+        if overlay.nested(polygons):
+            plain, polygons = False, []
         return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "geom": [_structs(polygons)], "plain": [plain]})
 
     def redo(rows: pd.DataFrame) -> pd.DataFrame:

@@ -167,6 +167,33 @@ def _inside(point, ring: np.ndarray) -> bool:
     return bool((p[:, 0] + (y - p[:, 1]) * (q[:, 0] - p[:, 0]) / (q[:, 1] - p[:, 1]) > x).sum() % 2)
 
 
+def _holds(ring: np.ndarray, x: Fraction, y: Fraction) -> bool:
+    """Is a point that is not on the ring inside it? Exact."""
+    spans = (ring[:-1, 1] > y) != (ring[1:, 1] > y)
+    right = 0
+    for (ax, ay), (bx, by) in zip(ring[:-1][spans], ring[1:][spans], strict=True):
+        ax, ay, bx, by = map(Fraction, map(float, (ax, ay, bx, by)))
+        right += ax + (bx - ax) * (y - ay) / (by - ay) > x
+    return right % 2 == 1
+
+
+def nested(polygons: list[list[np.ndarray]]) -> bool:
+    """Does a shell lie inside another polygon (not in a hole of it)? The rings meet at vertices at most."""
+    boxes = [(p[0].min(0), p[0].max(0)) for p in polygons]
+    if len(polygons) < 2:
+        return False
+    low, high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
+    for k, p in enumerate(polygons):
+        around = (low <= low[k]).all(1) & (high >= high[k]).all(1)
+        around[k] = False
+        if around.any():
+            x, y = ((Fraction(float(a)) + Fraction(float(b))) / 2 for a, b in zip(p[0][0], p[0][1], strict=True))
+            for i in np.flatnonzero(around):
+                if _holds(polygons[i][0], x, y) and not any(_holds(h, x, y) for h in polygons[i][1:]):
+                    return True
+    return False
+
+
 def polygons_of(segments: np.ndarray) -> list[list[np.ndarray]]:
     """Polygons of directed boundary edges with the interior on the left: simple loops, holes given to the least shell around them."""
     leaving = defaultdict(list)

@@ -63,6 +63,22 @@ def test_dissolve_of_overlaps_and_unmatched_vertices(spark):
     assert area(dissolved(spark, [[square(0, 0)]], [[square(0, 0)]])) == pytest.approx(1)
 
 
+def test_dissolve_absorbs_contained_polygons(spark):
+    def area(geom):
+        return sum(O.signed_area(np.array([(p["x"], p["y"]) for p in ring])) for polygon in geom for ring in polygon)
+
+    (only,) = dissolved(spark, [[square(0, 0, 4)]], [[square(1, 1)]])
+    assert len(only) == 1 and area([only]) == pytest.approx(16)
+    # two that match inside, and one that touches the outer shell at a vertex only
+    both = dissolved(spark, [[square(0, 0, 4)]], [[square(1, 1)]], [[square(2, 1)]], [[[(0, 0), (2, 1), (1, 2), (0, 0)]]])
+    assert len(both) == 1 and area(both) == pytest.approx(16)
+    # inside the hole it stays a part of its own; around the hole it covers it
+    frame = [[square(0, 0, 6), square(1, 1, 4)]]
+    assert len(dissolved(spark, frame, [[square(2, 2)]])) == 2 and area(dissolved(spark, frame, [[square(2, 2)]])) == pytest.approx(21)
+    small = [[square(0, 0, 6), square(2, 2)]]
+    assert area(dissolved(spark, small, [[square(1, 1, 3)]])) == pytest.approx(36)
+
+
 def test_repair(spark):
     bow = [[[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]]]
     rows = {r["id"]: r for r in G.repaired(layer(spark, (1, [[square(0, 0)]]), (2, bow), (3, []), (4, [[[(0, 0), (1, 1), (0, 0)]]])), "id").collect()}
