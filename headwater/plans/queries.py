@@ -231,6 +231,24 @@ def bbox_summary(spark, sf_dir):
     return bbox_rows(p).drop("ord", "AreaKm2")
 
 
+@_query(f"""WITH RECURSIVE {_LOCAL}, b AS (SELECT l.id, min(x) AS west, min(y) AS south, max(x) + 1 AS east, max(y) + 1 AS north, (sum(x - 0.0::DOUBLE) - count(*) * min(x) + count(*) * 0.5::DOUBLE) / count(*) + min(x) AS cx,
+  (sum(y - 0.0::DOUBLE) - count(*) * min(y) + count(*) * 0.5::DOUBLE) / count(*) + min(y) AS cy
+  FROM local l JOIN units u USING (unit) GROUP BY l.id)
+SELECT coalesce(project_code, id) AS "ProjectCode", name || ' local incremental catchment' AS "PolygonName",
+  printf('%.4f', greatest(CAST(south AS DECIMAL(9, 4)) - 0.3, -90)) AS "MinLatitude", printf('%.4f', least(CAST(north AS DECIMAL(9, 4)) + 0.3, 90)) AS "MaxLatitude",
+  printf('%.4f', greatest(CAST(west AS DECIMAL(9, 4)) - 0.3, -180)) AS "MinLongitude", printf('%.4f', least(CAST(east AS DECIMAL(9, 4)) + 0.3, 180)) AS "MaxLongitude",
+  printf('%.4f', cy) AS "CentroidLatitude", printf('%.4f', cx) AS "CentroidLongitude", true AS area_is_sum, '0.3' AS "BufferDegreesApplied" FROM projects JOIN b USING (id)""")
+def bbox_catchments(spark, sf_dir):
+    """The CSV's rows of every project's dissolved local catchment; SQL can't give the area, which is held against the cells' sum."""
+    members = _Net(spark, sf_dir).local().join(D.shapes(spark, sf_dir), "unit").withColumnRenamed("unit", "member")
+    lines = G.edges(members, "id", "member")
+    projects = D.projects(spark, sf_dir)
+    shape = cut(G.dissolve(lines, "id"))
+    summed = G.polygon_area_sum_km2(lines.withColumn("poly", F.col("member")), "id").join(projects.select("id", "ord"), "id").select("ord", F.col("area_km2").alias("summed"))
+    rows = bbox_rows(projects.join(shape, "id").withColumn("part", F.lit("local"))).join(summed, "ord")
+    return rows.withColumn("area_is_sum", F.abs(F.col("AreaKm2").cast("double") - F.col("summed")) < 0.051).drop("ord", "AreaKm2", "summed")
+
+
 def _layers(spark, sf_dir) -> DataFrame:
     """Two layers with the suppliers' units: even and odd nations."""
     owner = D.table(spark, sf_dir, "supplier").select(((F.col("s_suppkey") + 1) * 7).cast("long").alias("unit"), F.when(F.col("s_nationkey") % 2 == 0, "even").otherwise("odd").alias("label"))

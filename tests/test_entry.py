@@ -29,6 +29,19 @@ def test_the_rest_works_without_the_optional_subpackage(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, timeout=120)
 
 
+def test_bbox_of_whole_catchments(spark):
+    measures = {r["id"]: r for r in entry.queries()["planar_measures"](spark, SF).collect()}
+    names = {r["s_name"]: r["s_name"].replace("#", "_") for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_name").collect()}
+    rows = entry.queries()["bbox_catchments"](spark, SF).collect()
+    assert len(rows) == len(measures) and max(m["planar_area"] for m in measures.values()) > 1
+    for r in rows:
+        m = measures[names[r["PolygonName"].removesuffix(" local incremental catchment")]]
+        limits = max(m["south"] - 0.3, -90), min(m["north"] + 0.3, 90), max(m["west"] - 0.3, -180), min(m["east"] + 0.3, 180)
+        assert [float(r[c]) for c in ("MinLatitude", "MaxLatitude", "MinLongitude", "MaxLongitude")] == pytest.approx(limits)
+        assert (float(r["CentroidLatitude"]), float(r["CentroidLongitude"])) == pytest.approx((m["cy"], m["cx"]), abs=6e-5) and r["area_is_sum"]
+    test_queries_match_their_sql(spark, "bbox_catchments")
+
+
 @pytest.mark.parametrize("name", ["effective_downstream", "local_counts", "next_project", "outlet_cover", "unit_edges", "bbox_summary", "layer_id_equality", "marker_extract", "filename_sanitize", "geojson_roundtrip"])
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
