@@ -1,9 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Hashes of ``K`` consecutive words roll over the text; of each ``WINDOW`` consecutive hashes the smallest is chosen,
-the rightmost on ties, and kept with its position. Two texts that share ``K + WINDOW - 1`` words in a row share a
-fingerprint. Shorter texts make one window (or one gram) of all they have; null, empty and wordless texts have no
-fingerprints and are alike only among themselves.
+Texts are lower-cased, white space becomes one space, and every ``K`` consecutive bytes of UTF-8 are hashed; of each
+``WINDOW`` consecutive hashes the smallest is chosen, the rightmost on ties, and kept with its position. Two texts that
+share ``K + WINDOW - 1`` bytes in a row share a fingerprint, with or without spaces. Shorter texts make one window (or
+one gram) of all they have; null, empty and blank texts have no fingerprints and are alike only among themselves.
 
 Neighbours in descending id order are found without a global sort: ids are bucketed by range, ordered within each
 bucket, and buckets are tied by their largest ids. Texts move once to meet their neighbours.
@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, WINDOW = 3, 12
+K, WINDOW = 16, 32
+#: Windows of one text that are held at a time.
+_BLOCK = 4096
 _BUCKETS = 256
 
 
@@ -24,20 +26,31 @@ def winnow(text: Column | str, k: int = K, window: int = WINDOW) -> Column:
     Such a number is smaller for a smaller hash and, for equal hashes, for a later position, so the least of a
     window is the rightmost minimum.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), r"[\s\p{Z}]+"), lambda w: w != "")
+    folded = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    raw = F.trim(F.regexp_replace(folded, r"[\s\p{Z}]+", " ")).cast("binary")
+    part = next(n for n in (8, 7, 6, 5, 4, 3, 2, 1) if window % n == 0)
 
-    def grams(w: Column) -> Column:
-        last = F.greatest(F.size(w) - k, F.lit(0))
-        at = lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftleft(at(i).bitwiseAND(F.lit(0x7FFFFFFF)), 32) + (F.lit(0xFFFFFFFF) - i))
+    def grams(b: Column, first: Column) -> Column:
+        last = F.least(first + (_BLOCK + window - 2), F.greatest(F.length(b) - k, F.lit(0)))
+        at = lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(k)))
+        return F.transform(F.sequence(first, last), lambda i: F.shiftleft(at(i).bitwiseAND(F.lit(0x7FFFFFFF)), 32) + (F.lit(0xFFFFFFFF) - i))
 
-    def least(g: Column) -> Column:
-        last = F.greatest(F.size(g) - window, F.lit(0)) + 1
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(g, i, F.lit(window)))))
+    # a window's minimum is that of its parts' minima; gets beyond the end are null, which least() leaves out
+    def parts(g: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.array_min(F.slice(g, i, F.lit(part))))
+
+    def least(m: Column) -> Column:
+        last = F.greatest(F.size(m) - window, F.lit(0))
+        one = lambda i: F.least(*[F.get(m, i + j) for j in range(0, window, part)]) if window > part else F.get(m, i)
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), one))
+
+    def blocks(b: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(b) - (k + window - 1), F.lit(0)), F.lit(_BLOCK))
+        return F.array_distinct(F.flatten(F.transform(starts, lambda s: bound(bound(grams(b, s), parts), least))))
 
     # each lambda binds an array once, so it is not computed again for every element
     bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-    return bound(words, lambda w: F.when(F.size(w) > 0, bound(grams(w), least)).otherwise(F.array().cast("array<bigint>")))
+    return bound(raw, lambda b: F.when(F.length(b) > 0, blocks(b)).otherwise(F.array().cast("array<bigint>")))
 
 
 def hashes(fingerprint: Column | str) -> Column:

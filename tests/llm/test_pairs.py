@@ -176,6 +176,25 @@ def test_fingerprints(spark):
     assert rows[len(ODD) + 3 - 3]["shown"] == rows[len(ODD) + 4 - 3]["shown"]
 
 
+def test_fingerprints_are_those_of_byte_windows(spark, monkeypatch):
+    monkeypatch.setattr(W, "_BLOCK", 50)
+    texts = ["short", "\u3000A  b\n", "日本語" * 40, prose(1, 100), prose(2, 9), "x" * 200, "y" * 47, "z" * 48, None]
+    rows = {r["doc_id"]: r["f"] for r in documents(spark, texts).select("doc_id", W.winnow("text").alias("f")).collect()}
+    raws = [re.sub(r"\s+", " ", (t or "").lower()).strip().encode() for t in texts]
+    cut = [(k, i, bytearray(b[i : i + W.K])) for k, b in enumerate(raws) if b for i in range(max(len(b) - W.K, 0) + 1)]
+    known = spark.createDataFrame(cut, "k int, i int, b binary").selectExpr("k", "i", "xxhash64(b) & 2147483647 AS h").collect()
+    for k, b in enumerate(raws):
+        h = [r["h"] << 32 | (0xFFFFFFFF - r["i"]) for r in sorted((r for r in known if r["k"] == k), key=lambda r: r["i"])]
+        assert rows[k] == list(dict.fromkeys(min(h[i : i + W.WINDOW]) for i in range(max(len(h) - W.WINDOW, 0) + 1))) if b else rows[k] == []
+
+
+def test_short_and_unspaced_texts_are_like_their_edits(spark):
+    rng = random.Random(8)
+    texts = [prose(1, 14), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)), "".join(rng.choice("abcdefghijklmnop") for _ in range(2000))]
+    rows = W.fingerprint_edits(documents(spark, texts)).collect()
+    assert len(rows) == 3 and all(0.1 < r["near_edited"] < 0.9 for r in rows)
+
+
 def test_fingerprint_edges(spark):
     assert W.fingerprint_edits(documents(spark, ["a"]).limit(0)).count() == 0
     one = documents(spark, ["alpha beta gamma delta"])
