@@ -74,7 +74,10 @@ def features(column: pa.Array) -> np.ndarray:
         of_words = lambda mask: _per_row(mask, bounds) / np.maximum(n_words, 1)  # noqa: E731, B023
         distinct, most = _repeats(hashed, bounds)
         gram = hashed[:-2] * np.uint64(3) + hashed[1:-1] * np.uint64(5) + hashed[2:] * np.uint64(7) if len(hashed) > 2 else hashed[:0]
-        grams, _ = _repeats(gram, np.minimum(bounds, len(gram)))
+        # a row's grams end two words before it does; those that run into the next row are left out
+        owner = np.searchsorted(bounds, np.arange(len(gram)), "right") - 1
+        own = np.arange(len(gram)) + 2 < bounds[owner + 1]
+        grams, _ = _repeats(gram[own], np.r_[0, np.cumsum(np.bincount(owner[own], minlength=len(bounds) - 1))])
         _, _, lines, line_bounds = words_of(raw, at, _LINE)
         n_lines = np.diff(line_bounds).astype(float)
         whole_lines, _ = _repeats(lines, line_bounds)

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,15 @@ def test_quality_ranks_held_out_texts(spark):
     assert len(blank) == 1
 
 
+def test_quality_features_do_not_depend_on_neighbours(monkeypatch):
+    texts = ["a b c a b c a b c", "a b c a b c a b c", "", "one", "two words", None, "x x x x", "a b c a b c a b c"]
+    together = quality.features(pa.array(texts, pa.string()))
+    alone = np.concatenate([quality.features(pa.array([t], pa.string())) for t in texts])
+    assert (together == alone).all() and (together[0] == together[7]).all()
+    monkeypatch.setattr(quality, "SLICE", 12)
+    assert (quality.features(pa.array(texts, pa.string())) == together).all()
+
+
 def test_quality_without_two_kinds_of_labels(spark):
     rows = quality.score_quality(documents(spark, ["a", None]), labels(spark, [(0, 1, 0), (5, None, None)])).collect()
     assert [r["score"] for r in rows] == [pytest.approx(quality.CUT)] * 2
