@@ -4,11 +4,13 @@ The standard library's parser feeds blocks (lines) with their text, their tags a
 inside menus, headers, footers, asides, forms, scripts, adverts, notices and reader comments are never content. Names
 (class, id) count as whole names, and not where the named element holds more text than all the rest.
 Each remaining line's text-to-tag ratio is smoothed by a Gaussian; lines above the threshold between the two clusters
-of ratios are content, and select the region: the smallest article or main element that holds most of their text, the
-container of several articles that share it, else the smallest element around them. All blocks of the region are kept in page order, short ones too.
+of ratios are content, and select the region by their text: the smallest article or main element that holds more than half of it,
+the container of several articles that share it, else the smallest container that holds four fifths (a page without such elements gives
+the same text if its containers are the same). All blocks of the region are kept in page order, short ones too.
 
 White space inside a block becomes one space, ``<br>`` counts as white space; blocks are joined by a line feed. Null or
-empty pages, and pages without content, give the empty text. Unclosed and stray tags are tolerated.
+empty pages, and pages without content, give the empty text. Unclosed and stray tags are tolerated. Every row is a page of its own:
+repeated rows give repeated results, null ids stay null, other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ NEVER = frozenset(
     "script style noscript template head title nav footer aside form button select textarea iframe object svg canvas math"
     " audio video dialog menu map".split()
 )
-_CONTAINERS = frozenset(("article", "body", "center", "div", "html", "main", "section", ""))
+_CONTAINERS = frozenset(("article", "body", "center", "div", "html", "main", "section", "td", ""))
 _ENDS_P = BLOCKS - {"body", "html"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -53,6 +55,8 @@ IN, NAMED, OUT = 0, 1, 2
 SIGMA = 1.0
 #: An article with this part of the heaviest one's content is a part of the story too.
 PART = 4
+#: A plain container is the region if it holds this share of the content, article and main elements if they hold half.
+MOST = 0.8
 
 
 def _marked(value: str, marks: frozenset, beside: frozenset = _BESIDE) -> bool:
@@ -211,41 +215,29 @@ def _above(node: _Node | None):
         node = node.parent
 
 
-def _common(nodes) -> _Node:
-    """The smallest container around all nodes."""
-    common = None
-    for node in nodes:
-        chain = list(_above(node))[::-1]
-        common = chain if common is None else [a for a, b in zip(common, chain, strict=False) if a is b]
-    region = common[-1]
-    while region.parent and region.tag not in _CONTAINERS:
-        region = region.parent
-    return region
-
-
-def _region(lines, content) -> _Node:
-    """The element to keep."""
+def _region(lines, content) -> _Node | None:
+    """The element to keep: chosen by the content clusters' text, of which article and main elements need less."""
     weight: dict[_Node, int] = {}
     total = 0
     for (text, _, links, node), good in zip(lines, content, strict=True):
         own = max(len(text) - links, 0) if good else 0
         total += own
-        for n in _above(node):
-            if n.is_region:
+        for n in _above(node) if own else ():
+            if n.is_region or n.tag in _CONTAINERS:
                 weight[n] = weight.get(n, 0) + own
-    # an article inside another is a part of it
-    articles = {n: w for n, w in weight.items() if n.tag == "article" and w and not any(m.tag == "article" for m in _above(n.parent))}
-    regions = [n for n in weight if n.tag != "article" or n in articles]
-    most = [n for n in regions if 2 * weight[n] > total]
-    chosen = max(most, key=lambda n: n.depth) if most else None
+    if not total:
+        return None
+    outer = lambda n: not any(m.tag == "article" for m in _above(n.parent))  # noqa: E731 - an article inside another is a part of it
+    articles = {n: w for n, w in weight.items() if n.tag == "article" and outer(n)}
+    named = [n for n, w in weight.items() if n.is_region and 2 * w > total and (n.tag != "article" or n in articles)]
+    chosen = max(named, key=lambda n: n.depth, default=None)
     if chosen is None or chosen in articles:
-        least = max(articles.values(), default=0) / PART
-        parts = [n for n, w in articles.items() if w >= least]
+        parts = [n for n, w in articles.items() if PART * w >= max(articles.values())]
         if len(parts) > 1 and 2 * sum(articles[n] for n in parts) > total:
-            return _common([n.parent for n in parts])
-    if chosen:
-        return chosen
-    return _common([node for (_, _, _, node), good in zip(lines, content, strict=True) if good])
+            wanted = sum(articles[n] for n in parts)
+            held = lambda n: sum(articles[m] for m in parts if any(a is n for a in _above(m.parent)))
+            return max((n for n in weight if held(n) == wanted), key=lambda n: n.depth)
+    return chosen or max((n for n, w in weight.items() if w >= MOST * total), key=lambda n: n.depth)
 
 
 def _parsed(html: str, names: bool, unnamed: frozenset = frozenset()) -> _Lines:
@@ -283,6 +275,8 @@ def main_text(html: str | None) -> str:
     even = smoothed(ratio)
     content = even >= content_threshold(even)
     region = _region(lines, content)
+    if region is None:
+        return ""
     return "\n".join(text for text, _, _, node in lines if any(n is region for n in _above(node)))
 
 

@@ -161,6 +161,32 @@ def test_the_region_holds_most_of_the_content(page, expected):
     assert html_text.main_text(page) == expected
 
 
+SIDE = "<div><p>Home</p><p>News of the day</p><p>Sign in</p><p>Help</p><p>Terms</p><p>Shop</p><p>Blog</p></div>"
+
+
+def test_the_clusters_choose_the_region(monkeypatch):
+    page = f"<body>{SIDE}<div>{ARTICLE}</div></body>"
+    assert html_text.main_text(page) == EXPECTED
+    monkeypatch.setattr(html_text, "content_threshold", lambda values: -1e9)
+    assert html_text.main_text(page).startswith("Home\n") and html_text.main_text(page).endswith(EXPECTED)
+    monkeypatch.setattr(html_text, "content_threshold", lambda values: 1e9)
+    assert html_text.main_text(page) == "" == html_text.main_text(f"<article>{ARTICLE}</article>")
+
+
+def test_pages_do_not_hang_on_the_article_element(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    marked, bare = ({r["page_id"]: r["text"] for r in html_text.extract_pages(d).collect()} for d in (pages, plain))
+    assert len(marked) == pages.count() and sum(bare[k] == t for k, t in marked.items()) >= 0.95 * len(marked)
+
+
+def test_pages_repeat_and_ignore_other_columns(spark):
+    frame = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x"), (1, "u", f"<article>{ARTICLE}</article>", "y"), (None, None, "<p>a</p>", "z")], "page_id long, url string, html string, text string")
+    rows = html_text.extract_pages(frame).collect()
+    assert sorted((r["page_id"] or 0, r["text"]) for r in rows) == [(0, "a"), (1, EXPECTED), (1, EXPECTED)] and rows[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert html_text.extract_pages(frame.limit(0)).count() == 0
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, "u", ""), (3, "u", "plain words"), (4, "u", "<![weird[ <p>kept text</p>"), (5, "u", "<p>" * 3000 + "deep"), (6, "u", "<nav>only</nav>")]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
