@@ -13,13 +13,25 @@ def fold(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string")) % FOLDS
 
 
+#: Hashes are compared within this range, so the share of a sample may be far below one in 10**12.
+_RANGE = 1 << 60
+
+
+def picked(max_rows: int, rows: int, *keys: str) -> Column:
+    """A condition that about ``max_rows`` of ``rows`` rows meet, by the hash of their keys; all of them if they are fewer."""
+    if rows <= max_rows:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(*keys), F.lit(_RANGE)) < _RANGE * max_rows // rows
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:
     """(text, label, fold) of labelled rows outside fold 0: all of them, or about ``max_rows`` picked by hash of the id.
 
-    Only the ids and labels, ``max_rows`` of them at most on average, are sent to every task; texts are not shuffled.
+    Repeated label rows count once; an id with both labels, or without an id, is not learned from. Only the ids and labels, ``max_rows`` of
+    them at most on average, are sent to every task; texts are not shuffled. Every document row of a picked id is a training row.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).filter((fold() != 0) & F.col("label").isin(0, 1))
-    share = min(1.0, max_rows / max(known.count(), 1))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).filter((fold() != 0) & F.col("label").isin(0, 1))
+    known = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").select("doc_id", "label")
+    chosen = known.filter(picked(max_rows, known.count(), "doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "label", fold().alias("fold"))
+    return texts.join(F.broadcast(chosen), "doc_id").select("text", "label", fold().alias("fold"))

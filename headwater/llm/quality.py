@@ -5,8 +5,9 @@ labelled text state preferences; logistic loss on the difference of their vector
 document's strength is a weighted sum. The cut is the quantile of training strengths that tells the labels apart
 best; strengths are mapped to 0..1 so that the cut lies at ``CUT``.
 
-At most ``MAX_TRAIN_ROWS`` labelled rows are learned from. Null, empty and wordless texts have the zero vector's
-score. Labels of one kind only (or none) give every text the score ``CUT``, so nothing is rejected.
+About ``MAX_TRAIN_ROWS`` labelled rows are learned from, by ``PAIRS`` pairs drawn from them. Null, empty and wordless texts have the
+zero vector's score. Labels of one kind only (or none) give every text the score ``CUT``, so nothing is rejected. Repeated rows score
+alike, null ids like others; a column ``score`` is replaced, other columns are kept.
 """
 
 from __future__ import annotations

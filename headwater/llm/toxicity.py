@@ -7,8 +7,9 @@ exception phrase does not count: some phrases are given, others are learned (a h
 only). The hits' weights, as a sum and normalised by length, go through a logistic curve fitted on other labelled
 texts than the lexicon.
 
-At most ``MAX_TRAIN_ROWS`` labelled rows are learned from. Null, empty and hitless texts score alike, low. Without toxic
-labels every text scores 0. Repeated rows score alike; a text counts whole, however long.
+About ``MAX_TRAIN_ROWS`` labelled rows are learned from, so the lexicon is bounded by ``SUPPORT`` and ``SHARE``: an entry is in one of 200 toxic
+ones at least. Null, empty and hitless texts score alike, low. Without toxic labels every text scores 0. Repeated rows score alike, null ids
+like others; a text counts whole, however long. A column ``score`` is replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +30,6 @@ from .scratch import materialize
 MAX_TRAIN_ROWS = 20_000
 #: An entry was seen in so many toxic texts, or one in so many of them if that is more, and has these log-odds at least.
 SUPPORT, SHARE, LEAST_ODDS = 5, 200, 2.8
-MAX_CANDIDATES = 200_000
 PREFIXES = range(3, 9)
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish", "pond scum", "idiot proof")
 
@@ -70,6 +69,8 @@ class Lexicon:
 
     def automaton(self):
         if self._automaton is None:
+            import ahocorasick
+
             a = ahocorasick.Automaton()
             for entry, weight in self.weights.items():
                 a.add_word(entry, (len(entry), weight))
@@ -143,7 +144,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN
     if not n_clean or not n_toxic:
         return Lexicon({}, fixed)
     seen = _counted(learn.filter("label = 1"), lambda t: _entries(set(t.split())))
-    toxic = {r["entry"]: r["texts"] for r in seen.filter(F.col("texts") >= max(SUPPORT, n_toxic // SHARE)).orderBy(F.desc("texts"), "entry").limit(MAX_CANDIDATES).collect()}
+    toxic = {r["entry"]: r["texts"] for r in seen.filter(F.col("texts") >= max(SUPPORT, n_toxic // SHARE)).collect()}
     wanted = spark.sparkContext.broadcast(set(toxic))
     clean = {r["entry"]: r["texts"] for r in _counted(learn.filter("label = 0"), lambda t: _entries(set(t.split())) & wanted.value).collect()}
     weights = {}
