@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+PLACES = 128
+_BASE, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 def byte_class(member) -> np.ndarray:
@@ -35,24 +36,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _byte_codes() -> tuple[np.ndarray, np.ndarray]:
-    exact = mix(np.arange(1, 257, dtype=np.uint64))
-    folded = exact.copy()
-    folded[0x41:0x5B] = exact[0x61:0x7B]
-    return exact, folded
-
-
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _place_codes(fold: bool) -> np.ndarray:
+    """A random number for each byte at each of the first PLACES places of a word."""
+    codes = placed(np.arange(PLACES, dtype=np.uint64)[:, None], np.arange(256, dtype=np.uint64))
+    if fold:
+        codes[:, 0x41:0x5B] = codes[:, 0x61:0x7B]
+    return codes.ravel()
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(SLICE_BYTES, 1 << int(n - 1).bit_length()) + 1)
+def placed(place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """A random number for a symbol at a place of its word. Sums of these tell words apart whatever their form, unlike polynomials modulo 2**64."""
+    return mix(mix(place * _BASE + np.uint64(1)) + (symbol + np.uint64(1)) * _ODD)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +89,18 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray, fold: boo
     cuts = cuts[cuts > 0] - 1
     last[cuts] = inside[cuts]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(n)
+    length = end - start
+    heads = np.r_[0, start]
+    place = np.arange(n, dtype=np.int32) - np.repeat(heads, np.diff(np.r_[heads, n])).astype(np.int32)
+    codes = _place_codes(fold)[(np.minimum(place, PLACES - 1) << 8) + raw]
+    if len(length) and length.max() > PLACES:
+        far = np.flatnonzero((place >= PLACES) & inside)
+        symbol = raw[far].astype(np.uint64)
+        symbol[(symbol >= 0x41) & (symbol <= 0x5A) & fold] += np.uint64(32)
+        codes[far] = placed(place[far].astype(np.uint64), symbol)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_codes()[int(fold)][raw] * up[:n], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum(codes, out=total[1:])
+    hashed = mix(total[end] - total[start] + length.astype(np.uint64))
     return start, end, hashed, np.searchsorted(start, offsets)
 
 

@@ -2,21 +2,27 @@
 
 The product of the document by n-gram incidence matrix with its transpose is taken in blocks:
 
-1. one pass counts shingles of all documents in a count sketch of fixed size; a second pass gives every
+1. one pass counts shingles of all documents in a count sketch of bounded size; a second pass gives every
    document a 128-bit set key and its rarest shingles (the prefix that two similar sets cannot both miss);
-2. documents with equal sets are one row of the matrix from here on (``groupBy`` on the key);
+2. documents with equal sets are one row of the matrix from here on (``groupBy`` on the key), with a number of its own;
 3. rows that share a prefix shingle within a class of set sizes are candidates. Pairs are listed where few rows
    share one, and dropped when the histograms of their shingles already differ by more than a link allows;
    where many do, each row is tied to the first. The components of what remains are the blocks of the product,
    as no link leaves them;
-4. blocks are cut into tiles of bounded size, ordered by set size. Tile pairs whose sizes rule out a link
-   are never made. Each other pair is multiplied a slab of n-gram columns at a time; after each slab, pairs
+4. blocks are cut into panels of bounded size, ordered by set size. Panel pairs whose sizes rule out a link
+   are never made. Each other pair is multiplied tile by tile, a slab of n-gram columns at a time, rare columns first
+   (sparse where few rows share them, dense where many do); after each slab, pairs
    that can't reach the overlap that their sizes demand are discarded;
-5. a tile pair returns, per row, its number of links, and a spanning forest of them instead of all pairs.
+5. a panel pair returns, per row, its number of links, and a spanning forest of them instead of all pairs.
    Links are counted whole; their components are found by star contraction.
 
-Sketch counts only order shingles, so their errors cost time and never a link. No cap is set on blocks or
-partners. Null or wordless texts have the empty set and link with nothing; repeated rows are ordinary copies.
+Marks and blocks are dealt out by ranges of (mark, row) and (block, size, row), so a mark or a block of any size is spread over
+tasks; runs that a range border cuts are tied together afterwards. Sketch counts only order shingles, so their errors cost time
+and never a link. No cap is set on blocks or partners.
+
+Null or wordless texts have the empty set and link with nothing; repeated rows are ordinary copies. Rows are told apart by a
+number of their own, so an id may be null or stand for several texts; a component of null ids only has the id null. Other columns
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +32,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import NON_SPACE, mix, shingles_of, slices, text_buffers, words_of
 from .components import connected_components
 from .scratch import materialize
 
-SKETCH_BITS, SKETCH_SLICES = 20, 64
+#: The sketch has four cells a document, within these powers of two (64 MB at most).
+SKETCH_BITS, SKETCH_SLICES = (18, 24), 64
 TILE_DOCS, TILE_SHINGLES, SLAB_COLUMNS = 512, 400_000, 4096
+#: Tiles of a panel, the unit that is shuffled: a row goes out once for every panel pair of its block.
+PANEL_TILES = 4
 LISTED = 16
+#: Kinds of candidate edges.
+TIED, PAIRED, END = 0, 1, 2
+#: A slab is multiplied as sparse rows if that takes this many times fewer steps than the dense product.
+SPARSE = 64
+_SET = ("k1", "k2", "n_shingles")
 
 
 def size_class(n: int, num: int, den: int) -> tuple[int, int]:
@@ -61,75 +75,86 @@ def least_overlap(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
-def _rows(batches: Iterator[pa.RecordBatch], width: int):
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        raw, offsets = text_buffers(batch.column(1))
-        for first, last in slices(offsets):
-            at = offsets[first : last + 1]
-            _, _, hashed, bounds = words_of(raw[at[0] : at[-1]], at - at[0], NON_SPACE)
-            yield ids[first:last], [shingles_of(hashed[bounds[i] : bounds[i + 1]], width) for i in range(last - first)]
+def _rows(batch: pa.RecordBatch, width: int):
+    """(slice of the batch, shingle sets of its rows), a bounded number of bytes at a time."""
+    raw, offsets = text_buffers(batch.column("text"))
+    for first, last in slices(offsets):
+        at = offsets[first : last + 1]
+        _, _, hashed, bounds = words_of(raw[at[0] : at[-1]], at - at[0], NON_SPACE)
+        yield batch.slice(first, last - first), [shingles_of(hashed[bounds[i] : bounds[i + 1]], width) for i in range(last - first)]
+
 
+def _cell(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingle counts of all documents, hashed into a table of 2**SKETCH_BITS cells."""
-    cells = 1 << SKETCH_BITS
+
+def _sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
+    """Shingle counts of all documents, hashed into a table of 2**bits cells (32 bits each; larger counts stay at the limit)."""
+    cells, limit = 1 << bits, np.iinfo(np.uint32).max
 
     def count(batches):
         total, seen = np.zeros(cells, np.int64), False
-        for _, sets in _rows(batches, width):
-            seen = True
-            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
+        for batch in batches:
+            for _, sets in _rows(batch, width):
+                seen = True
+                total += np.bincount(_cell(np.concatenate(sets), bits), minlength=cells)
         if seen:
-            for k, part in enumerate(np.split(total, SKETCH_SLICES)):
+            for k, part in enumerate(np.split(np.minimum(total, limit).astype(np.uint32), SKETCH_SLICES)):
                 yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "cells": pa.array([part.tobytes()], pa.binary())})
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in parts["cells"])
-        return pd.DataFrame({"slice": [parts["slice"].iloc[0]], "cells": [total.tobytes()]})
+        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in parts["cells"])
+        return pd.DataFrame({"slice": [parts["slice"].iloc[0]], "cells": [np.minimum(total, limit).astype(np.uint32).tobytes()]})
 
     schema = "slice int, cells binary"
-    parts = docs.mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % 64)
+    parts = docs.select("text").mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % 64)
     some = parts.groupBy("slice", "salt").applyInPandas(lambda p: add(p[["slice", "cells"]]), schema)
     rows = some.groupBy("slice").applyInPandas(add, schema).collect()
-    out = np.zeros((SKETCH_SLICES, cells // SKETCH_SLICES), np.int64)
+    out = np.zeros((SKETCH_SLICES, cells // SKETCH_SLICES), np.uint32)
     for r in rows:
-        out[r["slice"]] = np.frombuffer(r["cells"], np.int64)
+        out[r["slice"]] = np.frombuffer(r["cells"], np.uint32)
     return out.ravel()
 
 
 def _profiles(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, marks): set size, set key, and (shingle, size class) marks to block by."""
-    counts = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))
+    """``docs`` with (n_shingles, k1, k2, marks, outline): set size, set key, and (shingle, size class) marks to block by."""
+    low, high = SKETCH_BITS
+    bits = min(max(low, docs.count().bit_length() + 2), high)
+    counts = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width, bits))
     lows = class_table(num, den)
 
     def profile(batches):
         frequency = counts.value
-        for ids, sets in _rows(batches, width):
+        for rows, sets in (part for batch in batches for part in _rows(batch, width)):
             size = np.array([len(s) for s in sets], np.int64)
             k1, k2, marks, outlines = [], [], [], []
             for s in sets:
                 n = len(s)
-                k1.append(int(mix(s).sum(dtype=np.uint64)) + n)
-                k2.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) if n else 0)
+                first, second = set_key(s)
+                k1.append(first)
+                k2.append(second)
                 outlines.append(outline(s))
                 own = n - -(-num * n // den) + 1
                 level = int(np.searchsorted(lows, n, "right")) - 1
                 if n == 0:
                     marks.append(np.zeros(0, np.int64))
                     continue
-                rare = s[np.lexsort((s, frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:own]]
+                rare = s[np.lexsort((s, frequency[_cell(s, bits)]))[:own]]
                 wider = n - least_overlap(n, int(lows[level + 1]), num, den) + 1
                 marks.append(np.concatenate([mix(rare + np.uint64(level)), mix(rare[: max(0, wider)] + np.uint64(level + 1))]).view(np.int64))
             lengths = np.array([0, *map(len, marks)]).cumsum()
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(size),
-                "k1": pa.array((np.array(k1, object) & 0xFFFFFFFFFFFFFFFF).astype(np.uint64).view(np.int64)), "k2": pa.array(np.array(k2, np.uint64).view(np.int64)),
-                "marks": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(marks))),
-                "outline": pa.array(outlines, pa.binary()),
-            })
+            more = [pa.array(size), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(marks))), pa.array(outlines, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "n_shingles", "k1", "k2", "marks", "outline"])
 
-    return docs.mapInArrow(profile, "doc_id long, n_shingles long, k1 long, k2 long, marks array<long>, outline binary")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(profile, f"{kept}, n_shingles long, k1 long, k2 long, marks array<long>, outline binary")
+
+
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers that stand for a set of shingles."""
+    first = mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))
+    second = np.bitwise_xor.reduce(mix(shingles ^ np.uint64(0x5851F42D4C957F2D))) if len(shingles) else np.uint64(0)
+    return tuple(np.array([first, second], np.uint64).view(np.int64).tolist())
 
 
 def outline(shingles: np.ndarray) -> bytes:
@@ -161,28 +186,126 @@ def _plausible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(test, "head long, rep long")
 
 
-def _candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
-    marks = reps.select("rep", F.explode("marks").alias("mark"))
-    ordered = Window.partitionBy("mark").orderBy("rep")
-    shared = marks.select(
-        "rep", F.count("*").over(Window.partitionBy("mark")).alias("members"), F.first("rep").over(ordered).alias("first"),
-        F.collect_list("rep").over(ordered.rowsBetween(-LISTED, -1)).alias("earlier"),
-    ).filter("members > 1")
-    tied = F.when(F.col("members") <= LISTED + 1, F.col("earlier")).otherwise(F.array("first"))
-    edges = materialize(shared.select("rep", F.explode(tied).alias("head"), (F.col("members") <= LISTED + 1).alias("listed")).filter("head <> rep").groupBy("head", "rep").agg(F.min("listed").alias("listed")), "edges")
-    side = lambda name: reps.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("outline").alias(f"o_{name}"))
-    near = edges.filter("listed").join(side("head"), "head").join(side("rep"), "rep").filter(F.col("n_head") * den >= F.col("n_rep") * num).filter(F.col("n_rep") * den >= F.col("n_head") * num)
-    return _plausible(near, num, den).union(edges.filter("not listed").select("head", "rep"))
+def marked_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (kind, mark, head, rep) of rows (mark, rep) that come sorted: TIED, PAIRED, or an END that names a run which may go on elsewhere.
 
+    Runs of one row are passed over by whole arrays; no more than LISTED rows of a run are held.
+    """
+    held, first, count, opening = None, 0, 0, True  # the run at hand: its mark, first row, length; may it have begun elsewhere?
+    members: list[int] = []
+    out: list[tuple[int, int, int, int]] = []
+
+    def add(rep: int) -> None:
+        nonlocal count
+        count += 1
+        if opening or count > LISTED + 1:
+            if count == LISTED + 2 and not opening:
+                out.extend((TIED, held, first, m) for m in members if m != first)
+                members.clear()
+            if rep != first:
+                out.append((TIED, held, first, rep))
+        else:
+            members.append(rep)
+
+    def close(last: bool = False) -> None:
+        nonlocal opening
+        if held is None:
+            return
+        if opening or last:
+            out.extend((TIED, held, first, m) for m in members if m != first)
+            out.append((END, held, first, first))
+        else:
+            out.extend((PAIRED, held, a, b) for k, b in enumerate(members) for a in members[:k])
+        members.clear()
+        opening = False
+
+    def table():
+        columns = np.array(out, np.int64).reshape(-1, 4).T
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *(pa.array(c) for c in columns[1:])], ["kind", "mark", "head", "rep"])
 
-def _shingle_rows(docs: DataFrame, width: int) -> DataFrame:
-    def shingle(batches):
+    for batch in batches:
+        mark, rep = (batch.column(c).to_numpy() for c in ("mark", "rep"))
+        if not len(mark):
+            continue
+        start = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+        size = np.diff(np.r_[start, len(mark)])
+        wanted = size > 1
+        wanted[0] = wanted[-1] = True
+        for a, n in zip(start[wanted].tolist(), size[wanted].tolist(), strict=True):
+            if mark[a] != held:
+                close()
+                held, first, count = int(mark[a]), int(rep[a]), 0
+            for r in rep[a : a + n].tolist():
+                add(r)
+        if out:
+            yield table()
+    close(last=True)
+    if out:
+        yield table()
+
+
+def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
+    marks = sets.select(F.explode("marks").alias("mark"), "rep").repartitionByRange("mark", "rep").sortWithinPartitions("mark", "rep")
+    found = materialize(marks.mapInArrow(marked_edges, "kind int, mark long, head long, rep long"), "edges")
+    # parts of a run in several ranges: two at most a range, tied to the first of them
+    ends = found.filter(F.col("kind") == END)
+    whole = ends.groupBy("mark").agg(F.min("rep").alias("head"))
+    across = ends.select("mark", "rep").join(whole, "mark").filter("head <> rep").select("head", "rep")
+    tied = found.filter(F.col("kind") == TIED).select("head", "rep").union(across)
+    listed = found.filter(F.col("kind") == PAIRED).select("head", "rep").distinct()
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("outline").alias(f"o_{name}"))
+    near = listed.join(side("head"), "head").join(side("rep"), "rep").filter(F.col("n_head") * den >= F.col("n_rep") * num).filter(F.col("n_rep") * den >= F.col("n_head") * num)
+    return _plausible(near, num, den).union(tied).distinct()
+
+
+def _tiles(sizes: np.ndarray, docs: int, shingles: int) -> np.ndarray:
+    """Number of the tile of each row, rows in order."""
+    return ((np.arange(1, len(sizes) + 1) - 1) // docs + np.cumsum(sizes) // shingles).astype(np.int64)
+
+
+def _panels(members: DataFrame) -> DataFrame:
+    """``members`` (rep, copies, n_shingles, root) with ``panel``: rows in ranges of (root, size), numbered as they stream past."""
+
+    def number(batches):
+        root, panel, docs, shingles, base = None, -1, 0, 0, None
         for batch in batches:
-            for ids, sets in _rows([batch], width):
-                lengths = np.array([0, *map(len, sets)]).cumsum()
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))})
+            if base is None:
+                base = int(batch.column("part")[0].as_py()) << 32 if batch.num_rows else None
+            out = []
+            for r, n in zip(batch.column("root").to_pylist(), batch.column("n_shingles").to_pylist(), strict=True):
+                if r != root or docs >= PANEL_TILES * TILE_DOCS or shingles >= PANEL_TILES * TILE_SHINGLES:
+                    root, panel, docs, shingles = r, panel + 1, 0, 0
+                docs, shingles = docs + 1, shingles + n
+                out.append(base + panel)
+            kept = [c for c in batch.schema.names if c != "part"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.int64())], [*kept, "panel"])
 
-    return docs.mapInArrow(shingle, "doc_id long, shingles array<long>")
+    ordered = members.repartitionByRange("root", "n_shingles", "rep").sortWithinPartitions("root", "n_shingles", "rep")
+    return ordered.withColumn("part", F.spark_partition_id()).mapInArrow(number, "rep long, copies long, n_shingles long, root long, panel long")
+
+
+def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles) of rows (rep, text)."""
+
+    def shingle(batches):
+        for rows, sets in (part for batch in batches for part in _rows(batch, width)):
+            lengths = np.array([0, *map(len, sets)]).cumsum()
+            yield pa.RecordBatch.from_arrays([rows.column("rep"), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "shingles"])
+
+    return texts.mapInArrow(shingle, "rep long, shingles array<long>")
+
+
+def _sparse_product(row: np.ndarray, column: np.ndarray, left: int, n: int, same: bool) -> np.ndarray:
+    """Overlap counts of a slab's entries (sorted by column) between rows below ``left`` and the others (or all and all)."""
+    b_side = np.ones(len(row), bool) if same else row >= left
+    a_side = np.ones(len(row), bool) if same else ~b_side
+    a_row, a_col, b_row, b_col = row[a_side], column[a_side], row[b_side] - (0 if same else left), column[b_side]
+    low, high = np.searchsorted(b_col, a_col, "left"), np.searchsorted(b_col, a_col, "right")
+    times = high - low
+    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - low, times)
+    width = n if same else n - left
+    return np.bincount(np.repeat(a_row, times) * width + b_row[at], minlength=(n if same else left) * width).reshape(-1, width).astype(np.float32)
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
@@ -199,8 +322,11 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, num: in
     shared = np.bincount(ident)[ident] > 1
     owner, ident = owner[shared], ident[shared]
     if len(ident):
+        # columns of fewer rows first: they tell rows apart, so pairs without a chance fall early
         ident = np.cumsum(np.r_[0, ident[1:] != ident[:-1]])
-    # columns found in more rows first: pairs without a chance fall early
+        by_use = np.argsort(np.argsort(np.bincount(ident), kind="stable"), kind="stable")[ident]
+        order = np.argsort(by_use, kind="stable")
+        owner, ident = owner[order], by_use[order]
     a = np.arange(n) if same else np.arange(len(left))
     b = a if same else np.arange(len(left), n)
     need = least_overlap(size[a][:, None], size[b][None, :], num, den)
@@ -212,9 +338,14 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, num: in
         if not len(alive_a) or not len(alive_b):
             break
         i, j = np.searchsorted(ident, [low, low + SLAB_COLUMNS])
-        slab = np.zeros((n, min(SLAB_COLUMNS, width - low)), np.float32)
-        slab[owner[i:j], ident[i:j] - low] = 1
-        overlap[np.ix_(alive_a, alive_b)] += slab[a[alive_a]] @ slab[b[alive_b]].T
+        columns = min(SLAB_COLUMNS, width - low)
+        steps = int((np.bincount(ident[i:j] - low) ** 2).sum())
+        if steps * SPARSE < len(alive_a) * len(alive_b) * columns:
+            overlap += _sparse_product(owner[i:j], ident[i:j], len(left), n, same)
+        else:
+            slab = np.zeros((n, columns), np.float32)
+            slab[owner[i:j], ident[i:j] - low] = 1
+            overlap[np.ix_(alive_a, alive_b)] += slab[a[alive_a]] @ slab[b[alive_b]].T
         rest -= np.bincount(owner[i:j], minlength=n)
         possible = overlap + np.minimum(rest[a][:, None], rest[b][None, :]) >= need
         alive_a, alive_b = np.flatnonzero(possible.any(1)), np.flatnonzero(possible.any(0))
@@ -242,26 +373,71 @@ def spanning_forest(links: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _tile_links(num: int, den: int):
+def _panel_links(num: int, den: int):
+    """Links of a panel pair, tile by tile: (rep, rep, links) rows, and forest edges with 0 links."""
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates(["rep", "tile"]).sort_values(["tile", "rep"])
+        part = part.sort_values(["panel", "n_shingles", "rep"])
         i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        lo, hi = part[part["tile"] == i], part[part["tile"] == j]
-        sets = lambda p: [np.asarray(s, np.int64) for s in p["shingles"]]
-        if not len(lo) or not len(hi):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
-        links = linked_pairs(sets(lo), None if i == j else sets(hi), num, den)
-        ids, other = lo["rep"].to_numpy(), hi["rep"].to_numpy()
-        found = [(ids, (links * hi["copies"].to_numpy()).sum(1))]
-        if i != j:
-            found.append((other, (links.T * lo["copies"].to_numpy()).sum(1)))
-        out = [(int(a), int(a), int(c)) for names, counts in found for a, c in zip(names, counts, strict=True) if c]
-        out += [(int(ids[r]), int(other[c]), 0) for r, c in spanning_forest(links)]
+        sides = []
+        for panel in (i, j):
+            rows = part[part["panel"] == panel]
+            sides.append([g for _, g in rows.groupby(_tiles(rows["n_shingles"].to_numpy(), TILE_DOCS, TILE_SHINGLES), sort=True)])
+        out: list[tuple[int, int, int]] = []
+        for x, lo in enumerate(sides[0]):
+            for y, hi in enumerate(sides[1]):
+                smaller, larger = (lo, hi) if lo["n_shingles"].iloc[0] <= hi["n_shingles"].iloc[0] else (hi, lo)
+                if (i == j and y < x) or larger["n_shingles"].iloc[0] * num > smaller["n_shingles"].iloc[-1] * den:
+                    continue
+                out += tile_links(lo, None if i == j and x == y else hi, num, den)
         return pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
 
     return run
 
 
+def tile_links(lo: pd.DataFrame, hi: pd.DataFrame | None, num: int, den: int) -> list[tuple[int, int, int]]:
+    sets = lambda p: [np.asarray(s, np.int64) for s in p["shingles"]]
+    links = linked_pairs(sets(lo), None if hi is None else sets(hi), num, den)
+    other = lo if hi is None else hi
+    found = [(lo["rep"], (links * other["copies"].to_numpy()).sum(1))]
+    if hi is not None:
+        found.append((hi["rep"], (links.T * lo["copies"].to_numpy()).sum(1)))
+    out = [(int(a), int(a), int(c)) for names, counts in found for a, c in zip(names.to_numpy(), counts, strict=True) if c]
+    return out + [(int(lo["rep"].iloc[r]), int(other["rep"].iloc[c]), 0) for r, c in spanning_forest(links)]
+
+
+def _classified(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows, each with a number ``row``, and (k1, k2, n_shingles, root, component_id, n_links, first_row) of every set that is not empty.
+
+    ``root`` numbers the component; ``first_row`` is one of its rows with the smallest id.
+    """
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())  # fixed once the profiles are written
+    profiles = materialize(_profiles(numbered, width, num, den), "profiles")
+    grouped = profiles.filter("n_shingles > 0").groupBy(*_SET).agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("row").alias("any_row"), F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("least_row"),
+        F.first("marks").alias("marks"), F.first("outline").alias("outline"),
+    )
+    sets = materialize(grouped.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    blocks = materialize(connected_components(materialize(_candidates(sets, num, den), "candidates"), "head", "rep"), "blocks")
+
+    members = materialize(_panels(sets.join(blocks.withColumnRenamed("node", "rep"), "rep").select("rep", "copies", "n_shingles", "root")), "members")
+    panels = members.groupBy("root", "panel").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    later = panels.select("root", F.col("panel").alias("j"), F.col("low").alias("later_low"))
+    pairs = panels.join(later, "root").filter((F.col("j") >= F.col("panel")) & (F.col("later_low") * num <= F.col("high") * den)).select("root", F.col("panel").alias("i"), "j")
+    ends = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("panel"))
+    wanted = sets.select("rep", F.col("any_row").alias("row")).join(members.select("rep"), "rep", "left_semi")
+    rows = _shingle_rows(profiles.select("row", "text").join(wanted, "row").select("rep", "text"), width).join(members, "rep")
+    products = rows.join(ends, ["root", "panel"]).groupBy("root", "i", "j").applyInPandas(_panel_links(num, den), "a long, b long, links long")
+    found = materialize(products, "links")
+
+    roots = connected_components(found.filter("a <> b"), "a", "b").withColumnRenamed("node", "rep")
+    counts = found.filter("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("other_links"))
+    classes = sets.select(*_SET, "rep", "least", "least_row", "copies").join(roots, "rep", "left").join(counts, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.coalesce(F.min_by("least_row", "least"), F.min("least_row")).alias("first_row"))
+    classes = classes.join(smallest, "root").select(*_SET, "root", "component_id", "first_row", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links"))
+    return profiles, classes
+
+
 def ngram_jaccard(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``.
 
@@ -269,33 +445,21 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, numerator: int = 80, denomina
     other rows linked with it directly. Two rows link when ``denominator * |intersection| >= numerator *
     |union|`` of their sets of ``width``-word shingles.
     """
-    num, den = numerator, denominator
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profiles = materialize(_profiles(docs, width, num, den), "profiles")
-    sized = profiles.filter("n_shingles > 0")
-    sets = sized.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    whole = F.struct("marks", "outline")
-    reps = sized.groupBy("k1", "k2", "n_shingles").agg(F.min_by(whole, "doc_id").alias("row"), F.min("doc_id").alias("rep")).select("rep", "n_shingles", "row.*")
-    blocks = materialize(connected_components(materialize(_candidates(reps, num, den), "candidates"), "head", "rep"), "blocks")
-
-    members = sets.join(blocks.withColumnRenamed("node", "rep"), "rep").select("rep", "copies", "n_shingles", "root")
-    ordered = Window.partitionBy("root").orderBy("n_shingles", "rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = members.withColumn("tile", F.floor((F.count("*").over(ordered) - 1) / TILE_DOCS + F.sum("n_shingles").over(ordered) / TILE_SHINGLES).cast("int"))
-    members = materialize(members, "members")
-    tiles = members.groupBy("root", "tile").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    later = tiles.select("root", F.col("tile").alias("j"), F.col("low").alias("later_low"))
-    pairs = tiles.join(later, "root").filter((F.col("j") >= F.col("tile")) & (F.col("later_low") * num <= F.col("high") * den)).select("root", F.col("tile").alias("i"), "j")
-    ends = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    rows = _shingle_rows(docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width)
-    rows = rows.withColumnRenamed("doc_id", "rep").join(members, "rep")
-    products = rows.join(ends, ["root", "tile"]).groupBy("root", "i", "j").applyInPandas(_tile_links(num, den), "a long, b long, links long")
-    found = materialize(products, "links")
+    profiles, classes = _classified(docs, width, numerator, denominator)
+    linked = profiles.select("doc_id", *_SET).join(classes, list(_SET), "left")
+    return linked.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
-    roots = connected_components(found.filter("a <> b"), "a", "b").withColumnRenamed("node", "rep")
-    counts = found.filter("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("other_links"))
-    classes = sets.join(roots, "rep", "left").join(counts, "rep", "left")
-    keyed = profiles.select("doc_id", "n_shingles", "k1", "k2")
-    return keyed.join(classes, ["k1", "k2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"),
-        F.when(F.col("n_shingles") == 0, 0).otherwise(F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).cast("long").alias("n_links"),
-    )
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """Rows of ``docs`` (with all their columns): one row with the smallest id of each component, and every row without words.
+
+    A row goes only because a row of its own component stays, whether or not ids repeat or are null (null ids come last).
+    """
+    names = {c: f"kept_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    given = dict(docs.dtypes)["doc_id"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *[F.col(c).alias(n) for c, n in names.items()])
+    profiles, classes = _classified(docs, width, numerator, denominator)
+    first = classes.select(F.col("first_row").alias("row")).distinct()
+    stay = profiles.filter("n_shingles > 0").join(first, "row", "left_semi").unionByName(profiles.filter("n_shingles = 0"))
+    return stay.select(F.col("doc_id").cast(given).alias("doc_id"), "text", *[F.col(n).alias(c) for c, n in names.items()])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import mix, powers, slices, text_buffers
+from .bytewords import mix, placed, slices, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
@@ -215,9 +215,9 @@ class Encoder:
         ends = np.r_[starts[1:], len(text)].astype(np.int64)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        up, down = powers(len(text))
-        total = np.r_[np.uint64(0), np.cumsum(mix(text.astype(np.uint64)) * up[: len(text)])]
-        keys = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        place = np.arange(len(text), dtype=np.int64) - np.repeat(starts, ends - starts)
+        total = np.r_[np.uint64(0), np.cumsum(placed(place.astype(np.uint64), text.astype(np.uint64)))]
+        keys = mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
         distinct, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, distinct)
         known = (self.keys[np.minimum(place, len(self.keys) - 1)] == distinct) if len(self.keys) else np.zeros(len(distinct), bool)

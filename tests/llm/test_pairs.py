@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from headwater.llm import decontaminate as D
 from headwater.llm import ngram_jaccard as J
@@ -68,6 +69,84 @@ def test_join_of_no_rows_and_repeated_rows(spark):
     assert [(r["doc_id"], r["component_id"], r["n_links"]) for r in rows] == [(0, 0, 1), (0, 0, 1)]
 
 
+def test_join_with_null_and_repeated_ids(spark):
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(None, a), (None, a + " end"), (5, b), (5, c), (4, c), (7, c + " end"), (None, None), (None, ""), (None, b), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("k1", F.lit("x"))
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["n_links"]) for r in J.ngram_jaccard(docs).collect()))
+    assert got == sorted([(0, 36, 0, 1), (0, 37, 0, 1), (5, 36, 5, 1), (5, 36, 4, 2), (4, 36, 4, 2), (7, 37, 4, 2), (0, 0, 0, 0), (0, 0, 0, 0), (0, 36, 5, 1), (2, 0, 2, 0)])
+    kept = J.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    texts = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(texts) == 6 and {(5, b), (4, c), (None, None), (None, ""), (2, "")} <= set(texts) and ((None, a) in texts) != ((None, a + " end") in texts)
+    assert J.drop_near_duplicates(docs.limit(0)).count() == 0
+    again = J.drop_near_duplicates(docs.union(docs).filter("text <> ''"))
+    assert again.count() == 3
+
+
+def test_marks_dealt_over_ranges_tie_all_rows():
+    rng = np.random.default_rng(5)
+    mark = np.sort(np.r_[np.full(100, 7), np.full(40, 9), np.full(3, 11), rng.integers(20, 60, 80)])
+    rep = np.arange(len(mark))
+    for parts in (1, 2, 7, 50):
+        edges, ends = [], {}
+        for some in np.array_split(np.arange(len(mark)), parts):
+            batches = [pa.RecordBatch.from_pydict({"mark": pa.array(mark[x]), "rep": pa.array(rep[x])}) for x in np.array_split(some, 3)]
+            for table in J.marked_edges(iter(batches)):
+                for r in table.to_pylist():
+                    ends.setdefault(r["mark"], []).append(r["rep"]) if r["kind"] == J.END else edges.append((r["mark"], r["head"], r["rep"]))
+        edges += [(m, x[0], y) for m, x in ends.items() for y in x[1:]]
+        for m in set(mark.tolist()):
+            near = {r: {r} for r in rep[mark == m].tolist()}
+            for k, a, b in edges:
+                if k == m:
+                    whole = near[a] | near[b]
+                    for r in whole:
+                        near[r] = whole
+            assert all(len(x) == (mark == m).sum() for x in near.values())
+        assert len(edges) < 17 * len(mark)
+
+
+def test_hot_blocks_are_cut_into_panels(spark, monkeypatch):
+    monkeypatch.setattr(J, "TILE_DOCS", 5)
+    monkeypatch.setattr(J, "PANEL_TILES", 2)
+    base = prose(50, 80)
+    texts = [f"{base} {prose(60 + k, 1 + k % 3)}" for k in range(45)] + [prose(51, 30)]
+    got = J.ngram_jaccard(documents(spark, texts), 3, 90, 100).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute(texts, 3, 90, 100)
+
+
+def test_sparse_and_dense_products_agree(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [np.unique(rng.integers(0, 3000, 200)) for _ in range(20)] + [np.unique(np.r_[np.arange(190), rng.integers(0, 3000, 3)]) for _ in range(9)]
+    found = []
+    for factor in (0, 1 << 40):
+        monkeypatch.setattr(J, "SPARSE", factor)
+        found.append((J.linked_pairs(rows, None, 80, 100), J.linked_pairs(rows[:12], rows[12:], 80, 100)))
+    assert all((x == y).all() for x, y in zip(*found, strict=True)) and found[0][0].sum() == 72
+
+
+#: A word and its complement, whose polynomials modulo 2**64 are equal.
+MORSE = "a"
+for _ in range(11):
+    MORSE += MORSE.translate(str.maketrans("ab", "ba"))
+COMPLEMENT = MORSE.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    from headwater.llm import sentencepiece as S
+    from headwater.llm import token_counts as T
+
+    got = J.ngram_jaccard(documents(spark, [f"one {MORSE} two", f"one {COMPLEMENT} two"]), 3, 90, 100).collect()
+    assert sorted(r["component_id"] for r in got) == [0, 1]
+    bench = spark.createDataFrame([(1, f"one {MORSE} two")], "item_id long, text string")
+    assert [r["n_hit"] for r in D.find_contamination(documents(spark, [f"one {COMPLEMENT} two", f"one {MORSE} two"]), bench).orderBy("doc_id").collect()] == [0, 3]
+    texts = [MORSE, COMPLEMENT, f"{MORSE} {COMPLEMENT}"]
+    assert all(r["round_trip"] for r in S.encode_sentencepiece(documents(spark, texts), digest=True).collect())
+    one, two, both = [r["n_tokens"] for r in T.count_tokens(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert both == one + two
+
+
 def test_tile_products_count_links_across_tiles():
     rng = np.random.default_rng(1)
     base = rng.integers(1, 2**62, 400)
