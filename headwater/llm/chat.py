@@ -2,28 +2,35 @@ r"""Chat formatting with offset-aligned loss masks.
 
 A turn is rendered ``### role: text</turn>`` and a line feed. Inside texts (and roles) a backslash goes before every
 backslash, ``###`` and ``</turn>`` (and ``:`` in roles), so nothing inside a text reads as a mark, and reading back is
-exact. A conversation is rendered whole, in segments of whole turns where it is long; each segment is encoded once with
-offsets. Segments end in a line feed before ``#``, where no token of the encoder's pattern crosses. A token is under the
-loss mask when its span meets an assistant text; both span lists are sorted, so the tokens of a text are found by binary
-search.
+exact. A conversation is rendered whole and encoded once with offsets: the bytes that the tokens stand for, summed up. The
+encoder is fed segments of whole turns, which bounds memory and gives the ids of the whole: a segment ends in a line feed before
+``#``, and no token of the encoder's pattern crosses there. A token is under the loss mask when its span meets an assistant text;
+both span lists are sorted, so the tokens of a text are found by binary search.
 
 Rows are ordered by turn, then role and text; repeated rows are turns of their own. Null roles and texts are empty. Null
-conversation ids form one conversation. Conversations stream through sorted partitions, a segment in memory at a time.
+conversation ids form one conversation. Other columns are left out. Conversations stream through sorted partitions, a segment in
+memory at a time; one conversation passes through one task, as its digest is one chain over all its turns.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+from .scratch import local_path
+
+#: Ranks of a byte-level vocabulary: a piece in base64 and its id a line. Executors need the file under the same path, or added with ``addFile``.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the pattern by which that vocabulary splits texts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT_CHARS = 1 << 16
 LOSS_ROLE = "assistant"
 _TURN = re.compile(r"### ((?:[^\\:]+|\\.)*): ((?:[^\\<]+|\\.|<(?!/turn>))*)</turn>\n", re.S)
@@ -57,16 +64,33 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, processors
+class Encoder:
+    """A byte-level encoder that knows the bytes of its tokens, and so their offsets."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        lines = Path(local_path(path)).read_bytes().split(b"\n")
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
+        self.encoding = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for piece, rank in ranks.items():
+            self.sizes[rank] = len(piece)
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    t.post_processor = processors.ByteLevel(trim_offsets=False)
-    t.no_truncation()
-    return t
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, rows of start and end in code points); a token inside a character spans all of it."""
+        ids = np.array(self.encoding.encode_ordinary(text), np.int32)
+        ends = np.cumsum(self.sizes[ids])
+        spans = np.column_stack([ends - self.sizes[ids], ends])
+        if not text.isascii():
+            seen = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+            spans = np.column_stack([seen[spans[:, 0]] - 1, seen[spans[:, 1] - 1]])
+        return ids, spans
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def token_mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -78,17 +102,17 @@ def token_mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return inside & (spans[np.minimum(k, len(spans) - 1), 0] < offsets[:, 1])
 
 
-def masked_text(formatted: str, starts, ends, mask) -> list[str]:
-    """The assistant texts under the mask, unescaped: masked token spans, merged, cut to the turns' texts."""
-    covered = np.zeros(len(formatted) + 1, np.int64)
-    mask = np.asarray(mask, bool)
-    np.add.at(covered, np.asarray(starts, np.int64)[mask], 1)
-    np.add.at(covered, np.asarray(ends, np.int64)[mask], -1)
-    covered = np.cumsum(covered) > 0
+def masked_text(turns: list[tuple[str, str, int, int]], formatted: str, spans: np.ndarray) -> list[str]:
+    """The texts of turns under masked token spans (sorted rows of start, end), unescaped: spans are merged and cut to the turns' texts."""
+    if not len(spans):
+        return []
+    gap = np.flatnonzero(spans[1:, 0] > spans[:-1, 1])
+    low, high = spans[np.r_[0, gap + 1], 0], spans[np.r_[gap, len(spans) - 1], 1]
     out = []
-    for _, _, a, b in read_turns(formatted):
-        if covered[a:b].any():
-            out.append(unescaped(formatted[a:b] if covered[a:b].all() else "".join(c for c, x in zip(formatted[a:b], covered[a:b], strict=True) if x)))
+    for _, _, a, b in turns:
+        first, last = np.searchsorted(high, a, "right"), np.searchsorted(low, b, "left")
+        if first < last and b > a:
+            out.append(unescaped("".join(formatted[max(a, x) : min(b, y)] for x, y in zip(low[first:last].tolist(), high[first:last].tolist(), strict=True))))
     return out
 
 
@@ -111,18 +135,18 @@ def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER, loss_role
             parts, spans, size = [], [], 0
 
         def flush():
-            rows = {"conv_id": [r[0] for r in ready], "segment": [r[1] for r in ready], "formatted": [r[2] for r in ready]}
-            ids, starts, ends, masks = [], [], [], []
-            for (_, _, _, wanted), e in zip(ready, encode.encode_batch(rows["formatted"], add_special_tokens=False), strict=True):
-                offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                ids.append(e.ids)
-                starts.append(offsets[:, 0])
-                ends.append(offsets[:, 1])
+            ids, spans, masks = [], [], []
+            for *_, formatted, wanted in ready:
+                tokens, offsets = encode.encode(formatted)
+                ids.append(tokens)
+                spans.append(offsets)
                 masks.append(token_mask(offsets, wanted))
+            at = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32())
+            every, span, mask = np.concatenate(ids), np.concatenate(spans).astype(np.int32), np.concatenate(masks)
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (every, np.ascontiguousarray(span[:, 0]), np.ascontiguousarray(span[:, 1]), mask)]
+            rows = [pa.array([r[0] for r in ready], pa.int64()), pa.array([r[1] for r in ready], pa.int32()), pa.array([r[2] for r in ready], pa.string())]
             ready.clear()
-            kinds = {"ids": ids, "starts": starts, "ends": ends}
-            lists = {k: pa.array(v, pa.list_(pa.int32())) for k, v in kinds.items()} | {"mask": pa.array(masks, pa.list_(pa.bool_()))}
-            return pa.RecordBatch.from_pydict({"conv_id": pa.array(rows["conv_id"], pa.int64()), "segment": pa.array(rows["segment"], pa.int32()), "formatted": pa.array(rows["formatted"], pa.string()), **lists})
+            return pa.RecordBatch.from_arrays([*rows, *lists], ["conv_id", "segment", "formatted", "ids", "starts", "ends", "mask"])
 
         started = False
         for batch in batches:
@@ -170,22 +194,24 @@ def read_back(segments: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                conv, segment, formatted = (batch.column(c)[k].as_py() for c in ("conv_id", "segment", "formatted"))
+            starts, ends, mask = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("starts", "ends", "mask"))
+            at = np.r_[0, np.cumsum(batch.column("mask").value_lengths().to_numpy())]
+            for k, (conv, segment, formatted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "formatted")), strict=True)):
                 if state is None or segment == 0 or conv != current:
                     if state is not None:
                         done()
                     current, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                starts, ends, mask = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("starts", "ends", "mask"))
-                for role, text, _, _ in read_turns(formatted):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                for text in masked_text(formatted, starts, ends, mask):
+                own = mask[at[k] : at[k + 1]]
+                spans = np.column_stack([starts[at[k] : at[k + 1]][own], ends[at[k] : at[k + 1]][own]])
+                turns = read_turns(formatted)
+                state[1] += len(turns)
+                state[2].update("".join(f"{role}\n{text}\n" for role, text, _, _ in turns).encode())
+                for text in masked_text(turns, formatted, spans):
                     state[3] += len(text)
                     state[4].update(text.encode())
                 state[5] += len(formatted)
-                state[6] += len(mask)
-                state[7] += int(np.sum(mask))
+                state[6] += len(own)
+                state[7] += len(spans)
             if out:
                 yield table()
         if state is not None:

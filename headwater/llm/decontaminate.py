@@ -7,7 +7,9 @@ Burrows-Wheeler transform; occurrences are located by walking to sampled suffix
 merged into removal spans.
 
 The benchmark goes to the tasks in blocks of bounded size (``BLOCK_BYTES`` of text): one scan per block,
-chained over the same rows without a shuffle. Null texts have no words. Repeated rows are judged one by one.
+chained over the same rows without a shuffle, ``CHAIN`` blocks between two written tables. Null texts have no words. Repeated rows
+are judged one by one, null ids like others. Item ids may be of any type that casts to a string; items without an id
+hit words but can't be listed; repeated items count once.
 """
 
 from __future__ import annotations
@@ -18,18 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, slices, text_buffers, words_of
+from .scratch import materialize
 
 BLOCK_BYTES = 8 << 20
 SAMPLE = 4
+CHAIN = 8
 
 
 class Windows:
     """Distinct windows of a block of benchmark items, by length: each length has a vocabulary (numbers from 1) of its own."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         raw, offsets = text_buffers(pa.array([t for _, t in items], pa.string()))
         _, _, hashed, bounds = words_of(raw, offsets, ALNUM)
-        owners: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        owners: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
         for (item, _), a, b in zip(items, bounds[:-1], bounds[1:], strict=True):
             span = min(width, b - a)
             for k in range(a, b - span + 1 if span else a):
@@ -37,7 +41,7 @@ class Windows:
         self.groups = []
         for length, by_words in sorted(owners.items()):
             vocabulary, number = np.unique(np.array(list(by_words), np.uint64), return_inverse=True)
-            self.groups.append((length, vocabulary, number.reshape(-1, length) + 1, [sorted(x) for x in by_words.values()]))
+            self.groups.append((length, vocabulary, number.reshape(-1, length) + 1, [sorted(x - {None}) for x in by_words.values()]))
 
 
 class FMIndex:
@@ -154,7 +158,7 @@ def _scan(windows, cut: bool, last: bool, keep: list[str] = ()):
     def shard(rows, raw, offsets):
         start, end, hashed, bounds = words_of(raw, offsets, ALNUM)
         hit = np.zeros(len(hashed) + 1, np.int64)
-        found: list[set[int]] = [set(x or ()) for x in rows.column("items").to_pylist()]
+        found: list[set[str]] = [set(x or ()) for x in rows.column("items").to_pylist()]
         for r, spans in enumerate(rows.column("hits").to_pylist()):
             for a, b in zip((spans or [])[::2], (spans or [])[1::2], strict=True):
                 hit[bounds[r] + a] += 1
@@ -182,7 +186,7 @@ def _scan(windows, cut: bool, last: bool, keep: list[str] = ()):
                 texts.append(b"".join(rest).decode("utf-8", "replace"))
             elif cut:
                 texts.append(column[r].as_py())
-        items = pa.array([sorted(x) for x in found], pa.list_(pa.int64()))
+        items = pa.array([sorted(x) for x in found], pa.list_(pa.string()))
         kept = [rows.column(f"keep_{k}") for k in range(len(keep))]
         if not last:
             arrays = [rows.column("doc_id"), column, pa.array(spans, pa.list_(pa.int32())), items]
@@ -199,21 +203,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, c
     """(doc_id, n_words, n_hit, items, spans[, clean_text]) of every row of ``docs``, and its columns named in ``keep``.
 
     A window is ``width`` consecutive words of a benchmark text, or all words of a shorter one. ``n_hit`` counts
-    the words inside any occurrence, ``items`` lists the items with one, ``spans`` are the merged removal spans in
+    the words inside any occurrence, ``items`` lists the ids (as strings, sorted) of the items with one, ``spans`` are the merged removal spans in
     code points, and ``clean_text`` (with ``cut``) is the text without them. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(size) // BLOCK_BYTES + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<long>").alias("items"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         windows = spark.sparkContext.broadcast(Windows([(r["item_id"], r["text"]) for r in part], width))
         last = k == blocks - 1
-        schema = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>" + ", clean_text string" * cut
+        schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>" + ", clean_text string" * cut
         names = [f"`{c}`" for c in keep] if last else [f"keep_{i}" for i in range(len(keep))]
-        schema = schema if last else "doc_id long, text string, hits array<int>, items array<long>"
+        schema = schema if last else "doc_id long, text string, hits array<int>, items array<string>"
         rows = rows.mapInArrow(_scan(windows, cut, last, list(keep)), ", ".join([schema, *(f"{c} {t}" for c, t in zip(names, kinds, strict=True))]))
+        if k % CHAIN == CHAIN - 1 and not last:
+            rows = materialize(rows, "contamination")
     return rows

@@ -1,14 +1,17 @@
 """Shared-folder scratch space: where operators cut lineage so that a lost executor never loses a result.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only when the session
-names none (tests, notebooks) is a temporary one set.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary one is set only where the session names none
+and runs in local mode (tests, notebooks); on a cluster that is an error.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if not root:
         held = jsc.getCheckpointDir()
+        if not held.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="headwater-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -39,3 +44,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     scratch_root(df.sparkSession)
     return df.checkpoint()
+
+
+def local_path(path: str) -> str:
+    """A model file as a task sees it: the path itself, or the copy that ``SparkContext.addFile`` gave out."""
+    if os.path.exists(path):
+        return path
+    return SparkFiles.get(os.path.basename(path))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, placed, slices, text_buffers
+from .scratch import local_path
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
@@ -37,7 +38,7 @@ class Vocabulary:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
+        model = SentencePieceProcessor(model_file=local_path(path))
         plain, self.bytes, self.byte_id = [], [], np.full(256, model.unk_id(), np.int32)
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import NON_SPACE, slices, text_buffers, words_of
+from .scratch import local_path
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
@@ -29,7 +30,7 @@ def pieces_of(path: str) -> list[bytes]:
     """The ordinary pieces of a SentencePiece model file."""
     from sentencepiece import SentencePieceProcessor
 
-    model = SentencePieceProcessor(model_file=path)
+    model = SentencePieceProcessor(model_file=local_path(path))
     odd = lambda i: model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
     return [model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not odd(i)]
 

@@ -203,7 +203,7 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, blocks):
                     found |= owners[tuple(words[a : a + n])]
                     hit[a : a + n] = [True] * n
         r = got[k]
-        assert (r["n_words"], r["n_hit"], r["items"], r["lang"]) == (len(w), sum(hit), sorted(found), "en")
+        assert (r["n_words"], r["n_hit"], r["items"], r["lang"]) == (len(w), sum(hit), sorted(map(str, found)), "en")
         spans, a = [], 0
         while a < len(w):
             b = a
@@ -219,6 +219,16 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, blocks):
         assert r["clean_text"] == (None if t is None else rest + t[at:])
 
 
+def test_decontamination_with_odd_ids_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(D, "CHAIN", 2)
+    texts = {"b": prose(1, 12), "a10": prose(2, 12), "a9": prose(2, 12), None: prose(3, 12)}
+    bench = spark.createDataFrame([*texts.items(), *texts.items()], "item_id string, text string")
+    docs = spark.createDataFrame([(None, texts["b"]), (1, f"{texts['a9']} and {texts['b']}"), (1, texts[None]), (1, texts[None])], "doc_id long, text string").withColumn("items", F.lit(7)).withColumn("hits", F.lit(8))
+    rows = D.find_contamination(docs, bench, cut=True).collect()
+    assert sorted((r["doc_id"] or 0, r["n_hit"], r["items"], r["clean_text"]) for r in rows) == [(0, 12, ["b"], ""), (1, 12, [], ""), (1, 12, [], ""), (1, 24, ["a10", "a9", "b"], " and ")]
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in D.find_contamination(documents(spark, ["a b", None]), bench).collect()] == [0, 0]

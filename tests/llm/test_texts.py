@@ -212,10 +212,23 @@ def test_chats_read_back(spark, monkeypatch):
 
 
 def test_segments_encode_as_the_whole():
-    turns = [chat.rendered("user", "Hi  there\n"), chat.rendered("assistant", "  yes\n\n")]
+    hard = ["Hi  there\n", "  yes\n\n", "", " \n ", "###", "\t", "a\u00a0", "日本\n"]
+    turns = [chat.rendered(r, t) for r in ("user", "assistant", "") for t in hard]
     e = chat.encoder(chat.TOKENIZER)
-    whole = e.encode("".join(t for t, _, _ in turns), add_special_tokens=False).ids
-    assert whole == [i for t, _, _ in turns for i in e.encode(t, add_special_tokens=False).ids]
+    ids, _ = e.encode("".join(t for t, _, _ in turns))
+    assert ids.tolist() == [i for t, _, _ in turns for i in e.encode(t)[0].tolist()]
+
+
+def test_offsets_equal_the_library():
+    from tokenizers import Tokenizer, processors
+
+    t = Tokenizer.from_file(chat.TOKENIZER.replace(".tiktoken", ".json"))
+    t.encode_special_tokens = True
+    t.post_processor = processors.ByteLevel(trim_offsets=False)
+    for text in hard_texts() + ["it's <|endoftext|> 12 3", " " * 100_000 + "x", ""]:
+        ids, spans = chat.encoder(chat.TOKENIZER).encode(text)
+        e = t.encode(text, add_special_tokens=False)
+        assert ids.tolist() == e.ids and [tuple(x) for x in spans.tolist()] == e.offsets
 
 
 def hard_texts():
