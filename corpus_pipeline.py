@@ -2,7 +2,12 @@
 mask secrets, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written before the next one reads it; all but
-the last keep the columns of ``documents``. Rows with null or empty texts pass through every stage.
+the last keep the columns of ``documents``.
+
+Defined results of odd rows: null, empty and wordless texts all have one quality score, that of no features, and go with the
+poor documents if it is below the cut (with the given labels it is; without labels of both kinds nothing goes). The other stages
+keep them. Rows are judged one by one, so ids may be null or repeated: the near-duplicate stage drops a row only
+if another of its group of texts stays. Columns other than those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.llm.decontaminate import find_contamination
-from headwater.llm.ngram_jaccard import ngram_jaccard
+from headwater.llm.ngram_jaccard import drop_near_duplicates
 from headwater.llm.quality import CUT, score_quality
 from headwater.llm.scratch import materialize
 from headwater.llm.secrets import redacted, scan_secrets
@@ -31,10 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of five-word shingle links of 0.8 or more."""
-    classes = ngram_jaccard(docs, width=5, numerator=80, denominator=100)
-    kept = classes.filter(F.col("component_id") == F.col("doc_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document, with the smallest id, of each component of five-word shingle links of 0.8 or more."""
+    return drop_near_duplicates(docs.select(COLUMNS), width=5, numerator=80, denominator=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
