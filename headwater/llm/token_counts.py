@@ -3,10 +3,11 @@
 The trie holds the vocabulary's pieces as bytes, and every single byte. Each node has a failure link to the node of
 what remains once the longest pieces at its front are taken, and the precomputed number of those pieces. A word is
 read once from left to right; missing edges follow failure links and add their counts. All distinct words of a slice
-of rows advance together, a byte at a time.
+of rows advance together, a byte at a time; words of more than ``LONG`` bytes are walked one by one, so a long one costs its own length.
 
 A word is a run of anything but ASCII white space, read with the vocabulary's word mark before it. Characters without
-a piece count one token a byte. Null, empty and blank texts have no tokens.
+a piece count one token a byte. Null, empty and blank texts have no tokens. Rows are counted one by one: repeated rows alike, null
+ids like others; other columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .scratch import local_path
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
-SLICE = 2 << 20
+SLICE, LONG = 2 << 20, 256
 
 
 def pieces_of(path: str) -> list[bytes]:
@@ -65,6 +66,7 @@ class LongestMatch:
         self.keys = np.array([k for k, _ in edges], np.int64)
         self.targets = np.array([c for _, c in edges], np.int64)
         self.link, self.popped = np.array(link, np.int64), np.array(popped, np.int64)
+        self.walk = dict(edges), link, popped
 
     def advance(self, state: np.ndarray, byte: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The next states; ``count`` grows by the tokens popped on the way."""
@@ -79,8 +81,24 @@ class LongestMatch:
             state[todo] = self.link[state[todo]]
         return state
 
+    def length(self, word: bytes) -> int:
+        """Tokens of one word."""
+        edges, link, popped = self.walk
+        state = count = 0
+        for b in word:
+            while (ahead := edges.get(state << 8 | b)) is None:
+                count, state = count + popped[state], link[state]
+            state = ahead
+        while state:
+            count, state = count + popped[state], link[state]
+        return count
+
     def lengths(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: bytes = b"") -> np.ndarray:
         """Tokens of each word raw[start:end] read after ``prefix``."""
+        long = np.flatnonzero(ends - starts > LONG)
+        whole = [self.length(prefix + raw[starts[k] : ends[k]].tobytes()) for k in long.tolist()]
+        ends = ends.copy()
+        ends[long] = starts[long]
         order = np.argsort(starts - ends, kind="stable")  # longest first: the words still running are a front part
         starts, sizes = starts[order], (ends - starts)[order]
         count, state = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
@@ -98,6 +116,7 @@ class LongestMatch:
             state[open_] = self.link[state[open_]]
         out = np.empty_like(count)
         out[order] = count
+        out[long] = whole
         return out
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -262,11 +263,22 @@ def test_token_counts_are_greedy(spark):
             rest, n = rest[k:], n + 1
         return n
 
-    texts = hard_texts()
+    texts = hard_texts() + ["日本x" * 25_000, "internationalization" * 20 + " end"]
     for r in token_counts.count_tokens(documents(spark, [*texts, None])).collect():
         words = re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]]) if r["doc_id"] < len(texts) else []
         assert (r["n_words"], r["n_tokens"]) == (len(words), sum(map(greedy, words)))
     assert token_counts.count_tokens(documents(spark, ["a"]).limit(0)).count() == 0
+    twice = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "a b")], "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
+    assert {tuple(r) for r in token_counts.count_tokens(twice).collect()} == {(None, 2, 2)}
+
+
+def test_a_long_word_costs_its_length():
+    word = b"\xe6\x97\xa5ab" * 100_000
+    begun = time.process_time()
+    machine = token_counts.automaton(token_counts.MODEL)
+    loaded = time.process_time()
+    assert machine.length(word) > 0
+    assert time.process_time() - loaded < 2 and loaded - begun < 30
 
 
 def test_pipeline_on_the_small_tables(spark):
