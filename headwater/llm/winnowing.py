@@ -5,8 +5,11 @@ Texts are lower-cased, white space becomes one space, and every ``K`` consecutiv
 share ``K + WINDOW - 1`` bytes in a row share a fingerprint, with or without spaces. Shorter texts make one window (or
 one gram) of all they have; null, empty and blank texts have no fingerprints and are alike only among themselves.
 
-Neighbours in descending id order are found without a global sort: ids are bucketed by range, ordered within each
-bucket, and buckets are tied by their largest ids. Texts move once to meet their neighbours.
+Neighbours in descending id order are found without a global sort: distinct ids are dealt into ranges by their own
+distribution (Spark's range partitioning), ordered within each range, and ranges are tied by their largest ids. Texts move once to
+meet their neighbours. A hash keeps 31 bits: of two unrelated texts with n and m fingerprints about n * m / 2**31 agree by chance.
+
+Rows without an id have no next document; rows of one id are each paired with one row of the next; other columns are left out.
 """
 
 from __future__ import annotations
@@ -14,10 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 K, WINDOW = 16, 32
 #: Windows of one text that are held at a time.
 _BLOCK = 4096
-_BUCKETS = 256
+#: Ids that one task sorts, and a bound on the ranges (a row of 12 bytes each is broadcast).
+IDS_PER_RANGE, MOST_RANGES = 100_000, 200_000
 
 
 def winnow(text: Column | str, k: int = K, window: int = WINDOW) -> Column:
@@ -28,25 +34,22 @@ def winnow(text: Column | str, k: int = K, window: int = WINDOW) -> Column:
     """
     folded = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
     raw = F.trim(F.regexp_replace(folded, r"[\s\p{Z}]+", " ")).cast("binary")
-    part = next(n for n in (8, 7, 6, 5, 4, 3, 2, 1) if window % n == 0)
 
     def grams(b: Column, first: Column) -> Column:
         last = F.least(first + (_BLOCK + window - 2), F.greatest(F.length(b) - k, F.lit(0)))
         at = lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(k)))
         return F.transform(F.sequence(first, last), lambda i: F.shiftleft(at(i).bitwiseAND(F.lit(0x7FFFFFFF)), 32) + (F.lit(0xFFFFFFFF) - i))
 
-    # a window's minimum is that of its parts' minima; gets beyond the end are null, which least() leaves out
-    def parts(g: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.array_min(F.slice(g, i, F.lit(part))))
-
-    def least(m: Column) -> Column:
-        last = F.greatest(F.size(m) - window, F.lit(0))
-        one = lambda i: F.least(*[F.get(m, i + j) for j in range(0, window, part)]) if window > part else F.get(m, i)
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), one))
+    # minima of twice as many hashes at each step; what lies beyond the end is null, which least() leaves out
+    def minima(g: Column, span: int) -> Column:
+        if span >= window:
+            return F.array_distinct(F.slice(g, F.lit(1), F.greatest(F.size(g) - (window - 1), F.lit(1))))
+        step = min(span, window - span)
+        return bound(F.zip_with(g, F.slice(g, F.lit(step + 1), F.greatest(F.size(g), F.lit(1))), lambda x, y: F.least(x, y)), lambda m: minima(m, span + step))
 
     def blocks(b: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.length(b) - (k + window - 1), F.lit(0)), F.lit(_BLOCK))
-        return F.array_distinct(F.flatten(F.transform(starts, lambda s: bound(bound(grams(b, s), parts), least))))
+        return F.array_distinct(F.flatten(F.transform(starts, lambda s: bound(grams(b, s), lambda g: minima(g, 1)))))
 
     # each lambda binds an array once, so it is not computed again for every element
     bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
@@ -74,17 +77,16 @@ def likeness(a: Column, b: Column) -> Column:
 def next_ids(ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, next_id): the next smaller distinct id; after the smallest, the largest. Null ids have none."""
     ids = ids.select(F.col(key).alias("id")).filter("id is not null").distinct()
-    low, high = ids.agg(F.min("id"), F.max("id")).first()
-    if low is None:
-        return ids.select(F.col("id").alias(key), F.col("id").alias("next_id"))
-    span = max(1, (int(high) - int(low)) // _BUCKETS + 1)
-    placed = ids.withColumn("bucket", F.floor((F.col("id").cast("decimal(20,0)") - F.lit(int(low)).cast("decimal(20,0)")) / span).cast("int"))
-    within = placed.withColumn("below", F.lag("id").over(Window.partitionBy("bucket").orderBy("id")))
-    # one row a bucket, _BUCKETS at most
-    tops = placed.groupBy("bucket").agg(F.max("id").alias("top"))
-    lower = tops.select("bucket", F.lag("top").over(Window.orderBy("bucket")).alias("top_below"))
-    joined = within.join(F.broadcast(lower), "bucket")
-    return joined.select(F.col("id").alias(key), F.coalesce("below", "top_below", F.lit(int(high))).cast("long").alias("next_id"))
+    # ranges of the ids' own distribution, as many as the rows ask for; the range of an id is fixed once it is written
+    rows = ids.count()
+    ranges = min(max(rows // IDS_PER_RANGE, 1), MOST_RANGES)
+    placed = materialize(ids.repartitionByRange(int(ranges), "id").withColumn("range", F.spark_partition_id()), "ids")
+    within = placed.withColumn("below", F.lag("id").over(Window.partitionBy("range").orderBy("id")))
+    # one row a range
+    tops = placed.groupBy("range").agg(F.max("id").alias("top"))
+    lower = tops.select("range", F.coalesce(F.lag("top").over(Window.orderBy("range")), F.max("top").over(Window.partitionBy(F.lit(0)))).alias("top_below"))
+    joined = within.join(F.broadcast(lower), "range")
+    return joined.select(F.col("id").alias(key), F.coalesce("below", "top_below").cast("long").alias("next_id"))
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:

@@ -284,6 +284,14 @@ def test_short_and_unspaced_texts_are_like_their_edits(spark):
     assert len(rows) == 3 and all(0.1 < r["near_edited"] < 0.9 for r in rows)
 
 
+def test_next_ids_of_ranges_and_outliers(spark, monkeypatch):
+    monkeypatch.setattr(W, "IDS_PER_RANGE", 7)
+    ids = [*range(60), 2**62, -(2**62), 5, 5, None]
+    got = {r["doc_id"]: r["next_id"] for r in W.next_ids(spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()}
+    order = sorted({i for i in ids if i is not None}, reverse=True)
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_fingerprint_edges(spark):
     assert W.fingerprint_edits(documents(spark, ["a"]).limit(0)).count() == 0
     one = documents(spark, ["alpha beta gamma delta"])
