@@ -38,11 +38,12 @@ def test_defaults_and_order(spark):
 @pytest.mark.parametrize(
     ("change", "text"),
     [
-        ({"projects__1__outlet__hybas_id": 1}, "same.*unit"), ({"dataset__include_virtual_connections": "false"}, "true or false"), ({"projects__0__rivr": "x"}, "Unknown project 1 fields: rivr"),
-        ({"projects__1__project_code": "up"}, "project code"), ({"projects__1__id": "upper"}, "Duplicate project ID"), ({"projects__0__id": "a b"}, "Invalid project ID"), ({"projects__0__id": "A\n"}, "Invalid project ID"),
-        ({"dataset__level": True}, "level"), ({"dataset__level": 13}, "level"), ({"dataset__version": 1}, "version"), ({"dataset__region": "xx"}, "region"), ({"projects": []}, "nonempty list"),
+        ({"projects__1__outlet__hybas_id": 1}, "same.*unit"), ({"dataset__include_virtual_connections": "false"}, "true or false"), ({"projects__0__rivr": "x"}, r"projects\[1\]: no setting is called rivr"),
+        ({"projects__1__project_code": "up"}, "same project code"), ({"projects__1__id": "upper"}, "same id"), ({"projects__0__id": "a b"}, "id: wanted"), ({"projects__0__id": "A\n"}, "id: wanted"),
+        ({"dataset__level": True}, "level"), ({"dataset__level": 13}, "level"), ({"dataset__version": 1}, "version"), ({"dataset__region": "xx"}, "region"), ({"dataset__region": ["na"]}, "region"), ({"projects": []}, "list"), ({"projects": {}}, "list"),
         ({"projects__0__outlet__lon": 181}, "lon"), ({"projects__0__outlet__lat": float("nan")}, "lat"), ({"projects__0__outlet__lat": True}, "lat"), ({"projects__0__mw": -1}, "mw"), ({"projects__0__river": " "}, "river"),
-        ({"projects__0__outlet__source": ""}, "source"), ({"projects__0__name": None}, "name"), ({"projects__0__outlet__hybas_id": 0}, "hybas_id"), ({"extra": 1}, "Unknown configuration fields"),
+        ({"projects__0__outlet__source": ""}, "source"), ({"projects__0__name": None}, "name: left out"), ({"projects__0__outlet__hybas_id": 0}, "hybas_id"), ({"extra": 1}, "settings: no setting is called extra"), ({"projects__0__outlet": 5}, "outlet: wanted a table"),
+        ({"projects__0__project_code": "a b"}, "project_code"), ({"dataset": None}, "dataset: left out"),
     ],
 )
 def test_rejections(change, text):
@@ -52,5 +53,11 @@ def test_rejections(change, text):
 
 def test_invalid_yaml(tmp_path):
     (tmp_path / "c.yaml").write_text("dataset: [")
-    with pytest.raises(ValueError, match="Invalid YAML"):
+    with pytest.raises(ValueError, match="YAML"):
         load_config(tmp_path / "c.yaml")
+
+
+def test_all_problems_are_told_at_once():
+    with pytest.raises(ValueError) as told:
+        parse_config(changed(dataset__region="xx", projects__0__mw="5", projects__1__outlet__lat=91))
+    assert all(text in str(told.value) for text in ("dataset.region", "projects[1].mw", "projects[2].outlet.lat"))
