@@ -8,38 +8,38 @@ import sys
 from pathlib import Path
 
 
+#: Options by command: flags (a name without dashes is an argument) and what argparse takes of them. Names and defaults are the interface.
+_FOLDER = {"type": Path, "default": Path("data")}
+COMMANDS: dict[str, tuple[str, dict[str, dict]]] = {
+    "build": ("build the catchments of configured projects", {
+        "config": {"type": Path}, "--source": {"type": Path}, "--cache-dir": _FOLDER, "--projects": {"nargs": "+"}, "--part": {"choices": ("local", "total"), "default": "local"},
+        "--include-virtual|--exclude-virtual": {"dest": "virtual", "default": None}, "--output": {"type": Path, "required": True}, "--csv-output": {"type": Path}, "--bbox-buffer": {"type": float, "default": 0.3},
+    }),
+    "plot": ("compare polygon layers", {
+        "inputs": {"type": Path, "nargs": "+"}, "--output": {"type": Path}, "--output-dir": {"type": Path}, "--labels": {"nargs": "+"}, "--title": {},
+        "--project|--by-project": {"by_project": {"action": "store_true"}}, "--id-field": {"default": "id"}, "--name-field": {"default": "name"},
+        "--coordinates": {"choices": ("lonlat", "projected"), "default": "lonlat"}, "--basemap": {"choices": ("none", "terrain", "light"), "default": "none"}, "--tile-cache": {"type": Path, "default": Path("data/map_tiles")},
+    }),
+    "download": ("fetch and verify the configured dataset", {"--config": {"type": Path, "required": True}, "--cache-dir": _FOLDER}),
+}
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="headwater", description="Catchments of projects on drainage networks, and layer comparison.")
     commands = top.add_subparsers(dest="command", required=True)
-    d = commands.add_parser("download", help="fetch and verify the configured dataset")
-    d.add_argument("--config", type=Path, required=True)
-    d.add_argument("--cache-dir", type=Path, default=Path("data"))
-    b = commands.add_parser("build", help="build the catchments of configured projects")
-    b.add_argument("config", type=Path)
-    b.add_argument("--output", type=Path, required=True)
-    b.add_argument("--cache-dir", type=Path, default=Path("data"))
-    b.add_argument("--source", type=Path)
-    b.add_argument("--csv-output", type=Path)
-    b.add_argument("--bbox-buffer", type=float, default=0.3)
-    b.add_argument("--part", choices=["local", "total"], default="local")
-    b.add_argument("--projects", nargs="+")
-    either = b.add_mutually_exclusive_group()
-    either.add_argument("--include-virtual", dest="virtual", action="store_true", default=None)
-    either.add_argument("--exclude-virtual", dest="virtual", action="store_false", default=None)
-    p = commands.add_parser("plot", help="compare polygon layers")
-    p.add_argument("inputs", type=Path, nargs="+")
-    pick = p.add_mutually_exclusive_group()
-    pick.add_argument("--project")
-    pick.add_argument("--by-project", action="store_true")
-    p.add_argument("--labels", nargs="+")
-    p.add_argument("--id-field", default="id")
-    p.add_argument("--name-field", default="name")
-    p.add_argument("--title")
-    p.add_argument("--coordinates", choices=["lonlat", "projected"], default="lonlat")
-    p.add_argument("--basemap", choices=["none", "terrain", "light"], default="none")
-    p.add_argument("--tile-cache", type=Path, default=Path("data/map_tiles"))
-    p.add_argument("--output", type=Path)
-    p.add_argument("--output-dir", type=Path)
+    for name, (what, options) in COMMANDS.items():
+        command = commands.add_parser(name, help=what)
+        for flags, given in options.items():
+            if "|" not in flags:
+                command.add_argument(flags, **given)
+                continue
+            either, first, second = command.add_mutually_exclusive_group(), *flags.split("|")
+            if "dest" in given:  # two values of one switch
+                either.add_argument(first, action="store_true", **given)
+                either.add_argument(second, action="store_false", **given)
+            else:
+                either.add_argument(first)
+                either.add_argument(second, **given["by_project"])
     return top
 
 
@@ -59,7 +59,7 @@ def _download(args) -> None:
 
 def _build(args) -> None:
     from headwater.config import load_config
-    from headwater.sinks import check_buffer, guard_outputs, write_bbox_csv, write_geojson
+    from headwater.sinks import check_buffer, guard_outputs, write_bbox_rows, write_geojson
 
     config = load_config(args.config)
     check_buffer(args.bbox_buffer)
@@ -71,16 +71,16 @@ def _build(args) -> None:
 
         source = download_dataset(config.dataset.region, config.dataset.level, config.dataset.version, args.cache_dir)
     guard_outputs(source, args.config, args.output, args.csv_output)
-    from headwater.plans.catchments import build_catchments
+    from headwater.plans.catchments import build_features, features_of
 
     spark = _session()
-    document = build_catchments(spark, config, source, args.part, args.projects)
-    write_geojson(document, args.output)
-    print(f"Wrote {len(document['features'])} {args.part} catchments to {args.output}")
+    rows, meta = build_features(spark, config, source, args.part, args.projects)
+    n = write_geojson({"type": "FeatureCollection", "metadata": meta}, args.output, features_of(rows, config))
+    print(f"Wrote {n} {args.part} catchments to {args.output}")
     if args.csv_output is not None:
-        n = write_bbox_csv(spark, document, args.csv_output, args.bbox_buffer)
+        n = write_bbox_rows(rows, args.csv_output, args.bbox_buffer)
         print(f"Wrote {n} project summaries to {args.csv_output}")
-    if n := document["metadata"]["repaired_geometry_count"]:
+    if n := meta["repaired_geometry_count"]:
         print(f"Repaired {n} unit shapes")
 
 

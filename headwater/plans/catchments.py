@@ -3,9 +3,10 @@ aggregations over all projects at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.config import Config
@@ -15,7 +16,7 @@ from headwater.plans.lineage import cut
 from headwater.sinks import to_geometry
 from headwater.sources.archive import SUFFIXES, sha256_file
 from headwater.sources.crs import sidecar_code
-from headwater.sources.shapefile import dbf_fields, read_shapes
+from headwater.sources.shapefile import dbf_fields, decoded_shapes, read_shapes
 
 # Fixed values of the output's metadata.
 METADATA = {
@@ -58,60 +59,83 @@ def check_outlets(projects: DataFrame, units: DataFrame, shapes: DataFrame) -> N
         raise ValueError(f"{row['id']}: outlet reference point is outside unit {row['unit']}")
 
 
-def build_catchments(spark: SparkSession, config: Config, source: str | Path, part: str = "local", project_ids: list[str] | None = None) -> dict:
-    """GeoJSON collection of the catchments of a shapefile's units; any violation is a ValueError."""
+#: Order of a feature's own properties, fixed values of the output; configured metadata comes before them.
+PROPERTIES = ("id", "name", "lat", "lon", "area", "area_local", "area_total", "up", "above", "down", "part", "hybas_id", "hybas_ids", "unit_count", "outlet_source", "outlet_reference")
+
+
+def selection(config: Config, project_ids: list[str] | None) -> list[str] | None:
+    """Case-folded ids of the projects to put out, None for all."""
+    if project_ids is None:
+        return None
+    known, wanted = {p.id.casefold() for p in config.projects}, {p.casefold() for p in project_ids}
+    if not wanted:
+        raise ValueError("the list of projects to build must name at least one")
+    if strange := sorted(wanted - known):
+        raise ValueError(f"no such project is configured: {', '.join(strange)}")
+    return sorted(wanted)
+
+
+def build_features(spark: SparkSession, config: Config, source: str | Path, part: str = "local", project_ids: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """(features, metadata) of the catchments of a shapefile's units; any violation is a ValueError.
+
+    Features are rows (ord, project_code, geom and PROPERTIES). Geometry is decoded for the needed units only.
+    """
     source = Path(source)
     if part not in ("local", "total"):
-        raise ValueError("part must be local or total")
-    selected = None
-    if project_ids is not None:
-        selected = sorted({p.casefold() for p in project_ids})
-        if unknown := [s for s in selected if s not in {p.id.casefold() for p in config.projects}]:
-            raise ValueError(f"Unknown project IDs: {', '.join(unknown)}")
-        if not selected:
-            raise ValueError("Select at least one project")
+        raise ValueError(f"{part} is no part of a catchment: local or total")
+    selected = selection(config, project_ids)
     if sidecar_code(source) != 4326:
         raise ValueError("the units must be in WGS84 degrees")
     if not set(REQUIRED) <= {name for name, _, _ in dbf_fields(source.with_suffix(".dbf"))[3]}:
         raise ValueError(f"the units need the columns {', '.join(REQUIRED)}")
     virtual = config.dataset.include_virtual_connections
     projects = config.frame(spark)
-    number = lambda name: F.col("properties")[name].cast("double").cast("long")
     table = read_shapes(spark, source, geometry=False)
-    units = cut(table.select(number("HYBAS_ID").alias("unit"), number("NEXT_DOWN").alias("next_down"), number("ENDO").cast("int").alias("endo")))
+    units = cut(table.select("oid", whole("HYBAS_ID").alias("unit"), whole("NEXT_DOWN").alias("next_down"), whole("ENDO").cast("int").alias("endo")))
     if units.filter("unit is null or next_down is null or endo is null").count():
         raise ValueError("HYBAS_ID, NEXT_DOWN and ENDO must be numbers in every row")
     links = cut(N.effective_downstream(units, virtual))
     N.check_network(units, links)
+    missing = projects.join(units.select(F.col("unit").alias("hybas_id")), "hybas_id", "left_anti").orderBy("ord").first()
+    if missing:
+        raise ValueError(f"{missing['id']}: unit {missing['hybas_id']} does not exist")
     nearest = cut(N.nearest_project(links, projects))
     network = N.project_edges(links, nearest, projects)
     members = N.total_members(N.local_members(nearest, projects), N.project_closure(network))
     if selected is not None:
         members = members.filter(F.lower("id").isin(selected))
     needed = members.select("unit").union(projects.select("hybas_id")).distinct()
-    raw = read_shapes(spark, source).select(number("HYBAS_ID").alias("unit"), "geom").join(needed, "unit", "left_semi")
-    shapes = cut(G.repaired(raw, "unit"))
-    missing = projects.join(units.select(F.col("unit").alias("hybas_id")), "hybas_id", "left_anti").orderBy("ord").first()
-    if missing:
-        raise ValueError(f"{missing['id']}: unit {missing['hybas_id']} does not exist")
+    shapes = cut(G.repaired(decoded_shapes(units.join(needed, "unit", "left_semi").select("unit", "oid"), source), "unit"))
     if (row := shapes.filter("broken").agg(F.min("unit")).first())[0] is not None:
         raise ValueError(f"the shape of unit {row[0]} is empty or can't be made valid")
     check_outlets(projects, units, shapes)
     mended = [r["unit"] for r in shapes.filter("repaired").select("unit").orderBy("unit").collect()]
-    rows = catchments(units, projects, shapes.select("unit", "geom"), part, virtual, selected).orderBy("ord").collect()
-    extra = {p.id: p.metadata for p in config.projects}
-    features = [_feature(r, extra[r["id"]]) for r in rows]
+    rows = catchments(units, projects, shapes.select("unit", "geom"), part, virtual, selected)
+    rows = cut(rows.withColumnRenamed("source", "outlet_source").withColumnRenamed("reference", "outlet_reference").select("ord", "project_code", "geom", *PROPERTIES).orderBy("ord"))
     meta = {
         **METADATA, "region": config.dataset.region, "level": config.dataset.level, "version": config.dataset.version, "source_url": config.dataset.url,
         "include_virtual_connections": virtual, "local_cutoffs": [p.id for p in config.projects],
         "repaired_geometry_count": len(mended), "repaired_hybas_ids": mended,
         "source_sha256": {s: sha256_file(source.with_suffix(s)) for s in SUFFIXES},
     }
-    return {"type": "FeatureCollection", "metadata": meta, "features": features}
+    return rows, meta
+
 
+def whole(name: str) -> Column:
+    """An attribute as a whole number; null where it is none. All 64 bits are exact, whether or not zero decimals are written."""
+    exact = F.expr(f"try_cast(regexp_replace(properties['{name}'], '[.]0*$', '') AS bigint)")
+    return F.coalesce(exact, F.expr(f"try_cast(try_cast(properties['{name}'] AS double) AS bigint)"))
 
-def _feature(row, metadata: dict) -> dict:
-    same = ("id", "name", "lat", "lon", "area", "area_local", "area_total", "up", "above", "down", "part", "hybas_id", "hybas_ids", "unit_count")
-    properties = metadata | {k: row[k] for k in same} | {"outlet_source": row["source"], "outlet_reference": row["reference"]}
-    polygons = [[[(p["x"], p["y"]) for p in ring] for ring in polygon] for polygon in row["geom"]]
-    return {"type": "Feature", "id": row["id"], "properties": properties, "geometry": to_geometry(polygons)}
+
+def features_of(rows: DataFrame, config: Config) -> Iterator[dict]:
+    """GeoJSON features of ``build_features``' rows, in configured order, a partition at a time."""
+    extra = {p.id: p.metadata for p in config.projects}
+    for row in rows.orderBy("ord").toLocalIterator():
+        polygons = [[[(p["x"], p["y"]) for p in ring] for ring in polygon] for polygon in row["geom"]]
+        yield {"type": "Feature", "id": row["id"], "properties": extra[row["id"]] | {k: row[k] for k in PROPERTIES}, "geometry": to_geometry(polygons)}
+
+
+def build_catchments(spark: SparkSession, config: Config, source: str | Path, part: str = "local", project_ids: list[str] | None = None) -> dict:
+    """``build_features`` as one GeoJSON collection, for callers who want it whole; the command line streams it instead."""
+    rows, meta = build_features(spark, config, source, part, project_ids)
+    return {"type": "FeatureCollection", "metadata": meta, "features": list(features_of(rows, config))}

@@ -1,22 +1,26 @@
-"""Outputs: GeoJSON documents, bounding-box summaries as CSV, and collision guards. Only finished rows, one a project,
-reach the driver."""
+"""Outputs: GeoJSON documents, bounding-box summaries as CSV, and collision guards.
+
+Rows are checked, measured and formatted by Spark; the driver only writes them to the one file that is asked for, a
+partition of finished rows at a time."""
 
 from __future__ import annotations
 
 import csv
 import json
 import math
+import textwrap
 from collections.abc import Iterable
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from headwater.functions.text import fixed, padded_limit
-from headwater.operators.geometry import area_km2, edges, planar
-from headwater.operators.overlay import is_valid
+from headwater.operators.geometry import area_km2, edges, planar, repaired
+from headwater.plans.lineage import cut
+from headwater.sources.geojson import parsed_features
 
 # Fixed values of the CSV format.
 COLUMNS = [
@@ -27,8 +31,8 @@ SUFFIX = {"local": "local incremental catchment", "total": "total upstream catch
 
 
 def check_buffer(buffer: float | int) -> None:
-    if not math.isfinite(buffer) or buffer < 0:
-        raise ValueError("Bounding-box buffer must be finite and nonnegative")
+    if not (math.isfinite(buffer) and buffer >= 0):
+        raise ValueError(f"a margin of {buffer} degrees can't be put around a box")
 
 
 def bbox_rows(features: DataFrame, buffer: float | int = 0.3) -> DataFrame:
@@ -54,51 +58,67 @@ def bbox_rows(features: DataFrame, buffer: float | int = 0.3) -> DataFrame:
     )
 
 
-def rings(geometry: dict) -> list:
-    """Polygons of a GeoJSON geometry as arrays; ValueError unless it is polygonal."""
-    import numpy as np
-
-    if not isinstance(geometry, dict) or geometry.get("type") not in ("Polygon", "MultiPolygon"):
-        raise ValueError("a polygon is needed")
-    polygons = [geometry["coordinates"]] if geometry["type"] == "Polygon" else geometry["coordinates"]
-    return [[np.array([p[:2] for p in ring], float) for ring in polygon] for polygon in polygons]
-
-
 def to_geometry(polygons: Iterable) -> dict:
     """GeoJSON of polygons of (x, y) rings."""
     out = [[[[float(x), float(y)] for x, y in ring] for ring in polygon] for polygon in polygons]
     return {"type": "Polygon", "coordinates": out[0]} if len(out) == 1 else {"type": "MultiPolygon", "coordinates": out}
 
 
-def write_bbox_csv(spark, collection: dict, output: str | Path, buffer_degrees: float | int = 0.3) -> int:
-    """Write the summary of a GeoJSON collection; nothing is opened before every row is known. Returns the rows."""
-    check_buffer(buffer_degrees)
-    rows = []
-    for k, f in enumerate(collection["features"]):
-        p, polygons = f["properties"], rings(f["geometry"])
-        if not is_valid(polygons):
-            raise ValueError(f"Invalid polygon for {p['id']}")
-        if p["part"] not in SUFFIX:
-            raise ValueError(f"Unknown catchment part: {p['part']}")
-        if any(abs(v) > most for polygon in polygons for ring in polygon for axis, most in ((0, 180), (1, 90)) for v in ring[:, axis]):
-            raise ValueError(f"Coordinates outside WGS84 bounds for {p['id']}")
-        rows.append((k, p["id"], p.get("project_code"), p["name"], p["part"], [[[(float(x), float(y)) for x, y in ring] for ring in polygon] for polygon in polygons]))
-    lines = []
-    if rows:
-        frame = spark.createDataFrame(rows, "ord int, id string, project_code string, name string, part string, geom array<array<array<struct<x:double,y:double>>>>")
-        lines = [[r[c] for c in COLUMNS] for r in bbox_rows(frame, buffer_degrees).orderBy("ord").collect()]
-    output = Path(output)
+def summary_features(spark: SparkSession, collection: dict) -> DataFrame:
+    """(ord, id, project_code, name, part, geom) of a GeoJSON collection, one text a feature, parsed and checked by Spark."""
+    texts = [(k, json.dumps(f)) for k, f in enumerate(collection["features"])]
+    parsed = parsed_features(spark.createDataFrame(texts, "ord int, feature string"))
+    text = lambda name: F.col("properties")[name].alias(name)
+    rows = parsed.select("ord", text("id"), text("project_code"), text("name"), text("part"), "geom").join(repaired(parsed, "ord").select("ord", "repaired", "broken"), "ord")
+    corner = lambda q: (F.abs(q["x"]) <= 180) & (F.abs(q["y"]) <= 90)
+    on_earth = F.forall("geom", lambda polygon: F.forall(polygon, lambda ring: F.forall(ring, corner)))
+    faults = (
+        (F.col("geom").isNull() | F.col("broken") | F.col("repaired"), "no valid polygon"), (~F.coalesce(on_earth, F.lit(False)), "coordinates off the globe"),
+        (~F.coalesce(F.col("part").isin(*SUFFIX), F.lit(False)), "neither a local nor a total catchment"),
+    )
+    rows = cut(rows.withColumn("fault", F.coalesce(*[F.when(bad, F.lit(what)) for bad, what in faults])))
+    if row := rows.filter("fault is not null").orderBy("ord").first():
+        raise ValueError(f"feature {row['id']} can't be summarised: {row['fault']}")
+    return rows.select("ord", "id", "project_code", "name", "part", "geom")
+
+
+def write_bbox_rows(features: DataFrame, output: str | Path, buffer: float | int = 0.3) -> int:
+    """Write the summary of checked features (``bbox_rows``) as one CSV file; every row is known before the file is opened. Returns their number."""
+    rows = cut(bbox_rows(features, buffer).orderBy("ord"))
+    output, n = Path(output), 0
     output.parent.mkdir(parents=True, exist_ok=True)
     with output.open("w", newline="", encoding="utf-8") as f:
-        csv.writer(f).writerows([COLUMNS, *lines])
-    return len(lines)
+        out = csv.writer(f)
+        out.writerow(COLUMNS)
+        for n, row in enumerate(rows.select("ord", *COLUMNS).orderBy("ord").toLocalIterator(), 1):  # noqa: B007
+            out.writerow(row[1:])
+    return n
 
 
-def write_geojson(document: dict, output: str | Path) -> None:
-    text = json.dumps(document, indent=2, ensure_ascii=False, allow_nan=False)
-    output = Path(output)
-    output.parent.mkdir(parents=True, exist_ok=True)
-    output.write_text(text + "\n", encoding="utf-8")
+def write_bbox_csv(spark: SparkSession, collection: dict, output: str | Path, buffer_degrees: float | int = 0.3) -> int:
+    """``write_bbox_rows`` of a GeoJSON collection."""
+    check_buffer(buffer_degrees)
+    return write_bbox_rows(summary_features(spark, collection), output, buffer_degrees)
+
+
+def write_geojson(document: dict, output: str | Path, features: Iterable[dict] | None = None) -> int:
+    """Write a collection, indented; ``features`` may be an iterator, of which one is held at a time. Returns their number."""
+    shown = lambda value: json.dumps(value, indent=2, ensure_ascii=False, allow_nan=False)
+    features = document["features"] if features is None else features
+    head = shown({k: v for k, v in document.items() if k != "features"})
+    staged, n = Path(output).with_name(Path(output).name + ".part"), 0
+    staged.parent.mkdir(parents=True, exist_ok=True)
+    try:
+        with staged.open("w", encoding="utf-8") as f:
+            f.write(head[:-2] + ',\n  "features": [')
+            for feature in features:
+                f.write((",\n" if n else "\n") + textwrap.indent(shown(feature), "    "))
+                n += 1
+            f.write("\n  ]\n}\n" if n else "]\n}\n")
+        staged.replace(output)
+    finally:
+        staged.unlink(missing_ok=True)
+    return n
 
 
 def guard_outputs(source: str | Path, config: str | Path, output: str | Path, csv_output: str | Path | None = None) -> None:

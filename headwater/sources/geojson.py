@@ -34,6 +34,11 @@ def read_geojson(spark: SparkSession, path: str | Path) -> DataFrame:
         features = top.select(F.lit(0).alias("ord"), F.col("value").alias("feature"))
     else:
         features = top.select(F.lit(0).alias("ord"), F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("value"), F.lit("}")).alias("feature"))
+    return parsed_features(features)
+
+
+def parsed_features(features: DataFrame) -> DataFrame:
+    """(ord, feature_id, properties, kind, geom) of rows (ord, feature), a feature's text each."""
     kind, coordinates = F.get_json_object("feature", "$.geometry.type"), F.get_json_object("feature", "$.geometry.coordinates")
     return features.select(
         "ord", F.get_json_object("feature", "$.id").alias("feature_id"),

@@ -1,16 +1,17 @@
 """Shapefiles as a Spark data source: ``spark.read.format("shapes").load(path)``.
 
 Columns: oid, properties (map of strings) and geom. Partitions are ranges of records found through the index file, so a
-layer is decoded by many tasks; ``option("geometry", "false")`` reads attributes only. The files must be on a file system
-that all executors see.
+layer is decoded by many tasks; ``option("geometry", "false")`` reads attributes only, and ``decoded_shapes`` then reads the
+geometry of wanted records alone. Records marked as deleted are left out. The files must be on a file system that all executors see.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -20,6 +21,7 @@ SCHEMA = f"oid long, properties map<string,string>, geom {GEOMETRY}"
 RECORDS = 20_000
 #: Shape types with polygons: plain, with z, with m.
 POLYGON = (5, 15, 25)
+_ARROW = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
 
 def dbf_fields(path: Path) -> tuple[int, int, int, list[tuple[str, str, int]]]:
@@ -33,12 +35,16 @@ def dbf_fields(path: Path) -> tuple[int, int, int, list[tuple[str, str, int]]]:
     return records, header, width, fields
 
 
-def dbf_rows(path: Path, first: int, last: int, encoding: str) -> Iterator[dict[str, str | None]]:
+def dbf_rows(path: Path, first: int, last: int, encoding: str) -> Iterator[dict[str, str | None] | None]:
+    """Attributes of each record; None for a deleted one."""
     _, header, width, fields = dbf_fields(path)
     with path.open("rb") as f:
         f.seek(header + first * width)
         for _ in range(first, last):
             row, at, out = f.read(width), 1, {}
+            if row[:1] == b"*":
+                yield None
+                continue
             for name, kind, size in fields:
                 cell = row[at : at + size].decode(encoding, "replace").strip(" \0")
                 at += size
@@ -64,7 +70,7 @@ def polygon_of(record: bytes) -> list | None:
     for hole in (r for r in rings if not any(r is s for s in shells)):
         home = next((k for k, s in enumerate(shells) if _inside(hole.mean(0), s) or _inside(hole[0], s)), len(shells) - 1)
         out[home].append(hole)
-    return [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in polygon] for polygon in out]
+    return [[list(map(tuple, ring.tolist())) for ring in polygon] for polygon in out]
 
 
 class _Range(InputPartition):
@@ -86,16 +92,34 @@ class _Reader(DataSourceReader):
         encoding = (cpg.read_text().strip() if cpg.exists() else "") or "utf-8"
         rows = dbf_rows(self.path.with_suffix(".dbf"), partition.first, partition.last, encoding)
         if not self.geometry:
-            for oid, row in enumerate(rows, partition.first):
-                yield oid, row, None
+            yield from ((oid, row, None) for oid, row in enumerate(rows, partition.first) if row is not None)
             return
-        with self.path.with_suffix(".shx").open("rb") as index, self.path.open("rb") as shapes:
-            index.seek(100 + 8 * partition.first)
-            for oid, row in enumerate(rows, partition.first):
-                offset, words = struct.unpack(">2i", index.read(8))
-                shapes.seek(2 * offset + 8)
-                geom = polygon_of(shapes.read(2 * words))
-                yield oid, row, None if geom is None else [[[(p["x"], p["y"]) for p in ring] for ring in polygon] for polygon in geom]
+        oids, kept = range(partition.first, partition.last), list(rows)
+        for oid, geom in zip(oids, records_at(self.path, oids), strict=True):
+            if kept[oid - partition.first] is not None:
+                yield oid, kept[oid - partition.first], geom
+
+
+def records_at(shp: Path, oids: Iterable[int]) -> Iterator[list | None]:
+    """Polygons of records, each found through the index file."""
+    with shp.with_suffix(".shx").open("rb") as index, shp.open("rb") as shapes:
+        for oid in oids:
+            index.seek(100 + 8 * oid)
+            offset, words = struct.unpack(">2i", index.read(8))
+            shapes.seek(2 * offset + 8)
+            yield polygon_of(shapes.read(2 * words))
+
+
+def decoded_shapes(wanted: DataFrame, shp: str | Path) -> DataFrame:
+    """(unit, geom) of rows (unit, oid): the geometry of these records alone is read, in the order of the file within a task."""
+    shp = Path(shp)
+
+    def read(batches):
+        for batch in batches:
+            geoms = pa.array(list(records_at(shp, batch.column("oid").to_pylist())), _ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), geoms], ["unit", "geom"])
+
+    return wanted.repartitionByRange("oid").sortWithinPartitions("oid").select("unit", "oid").mapInArrow(read, f"unit long, geom {GEOMETRY}")
 
 
 class ShapeSource(DataSource):
