@@ -81,3 +81,28 @@ def distance_m(x1, y1, x2, y2) -> np.ndarray:
     half = (sigma2 - sigma1) / 2
     s = sigma1[:, None] + half[:, None] * (1 + _X)
     return np.where(same, 0, B * (np.sqrt(1 + k2[:, None] * np.sin(s) ** 2) @ _W) * half)
+
+
+def destination(lon, lat, azimuth, metres) -> tuple[np.ndarray, np.ndarray]:
+    """(lon, lat) reached from a point along a geodesic: Newton steps on the arc for the distance, then the longitude's integral."""
+    lon1, lat1, a1 = (np.atleast_1d(np.radians(np.asarray(v, float))) for v in (lon, lat, azimuth))
+    length = np.atleast_1d(np.asarray(metres, float))
+    beta = np.arctan((1 - FLAT) * np.tan(lat1))
+    sin0 = np.sin(a1) * np.cos(beta)
+    cos0 = np.hypot(np.cos(a1), np.sin(a1) * np.sin(beta))
+    sigma1, k2 = np.arctan2(np.sin(beta), np.cos(a1) * np.cos(beta)), EP2 * cos0**2
+    along = lambda arc: sigma1[:, None] + arc[:, None] / 2 * (1 + _X)
+    speed = lambda sigma: B * np.sqrt(1 + k2[:, None] * np.sin(sigma) ** 2)
+    arc = length / B
+    for _ in range(20):
+        step = ((speed(along(arc)) @ _W) * arc / 2 - length) / speed((sigma1 + arc)[:, None])[:, 0]
+        arc = arc - step
+        if np.abs(step).max() < 1e-15:
+            break
+    sigma2 = sigma1 + arc
+    beta2 = np.arctan2(cos0 * np.sin(sigma2), np.hypot(cos0 * np.cos(sigma2), sin0))
+    omega = np.arctan2(sin0 * np.sin(sigma2), np.cos(sigma2)) - np.arctan2(sin0 * np.sin(sigma1), np.cos(sigma1))
+    inner = (2 - FLAT) / (1 + (1 - FLAT) * np.sqrt(1 + k2[:, None] * np.sin(along(arc)) ** 2))
+    turned = omega - FLAT * sin0 * (inner @ _W) * arc / 2
+    lon2 = (lon1 + turned + np.pi) % (2 * np.pi) - np.pi
+    return np.degrees(lon2), np.degrees(np.arctan2(np.tan(beta2), 1 - FLAT))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import textwrap
+from collections.abc import Iterator
 from pathlib import Path
 from xml.sax.saxutils import escape
 
@@ -12,8 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.functions.geodesic import distance_m
-from headwater.functions.projection import equal_area
+from headwater.functions.geodesic import destination, distance_m
+from headwater.functions.projection import equal_area, equal_area_inverse
 from headwater.functions.text import casefolded, stem_of
 from headwater.operators import geometry as G
 from headwater.plans.lineage import cut
@@ -21,6 +22,7 @@ from headwater.sources.crs import sidecar_code, to_degrees
 from headwater.sources.geojson import read_geojson
 from headwater.sources.shapefile import read_shapes
 
+# Names that may hold a marker's latitude and longitude, in order.
 MARKERS = (("dam_lat", "latitude", "lat"), ("dam_lon", "longitude", "lon"))
 COLOURS = ("#1b6ca8", "#c8553d", "#2e8b57", "#8e44ad", "#b8860b", "#444444")
 DASHES = ("", "8 4", "2 3", "8 3 2 3")
@@ -43,17 +45,17 @@ def load_features(spark: SparkSession, path: str | Path, id_field: str = "id", n
         raise ValueError(f"{path}: the layer is empty")
     if layer.filter("kind is null or kind not in ('Polygon', 'MultiPolygon') or geom is null").count():
         raise ValueError(f"{path}: only polygons can be compared")
-    shapes = G.repaired(layer, "ord").withColumnRenamed("geom", "shape")
+    shapes = G.repaired(layer, "ord").select("ord", F.col("geom").alias("shape"), (F.col("repaired") | F.col("broken")).alias("invalid"))
     filled = lambda c: c.isNotNull() & (F.length(F.regexp_replace(c, r"[\s\p{Z}]+", "")) > 0)
     given, name = F.col("properties")[id_field], F.col("properties")[name_field]
     identifier = F.when(filled(given), given).when(filled(F.col("feature_id")), F.col("feature_id")).when(name.isNotNull(), name).otherwise(F.lit(path.stem))
-    out = cut(layer.join(shapes, "ord").select("ord", identifier.alias("id"), F.when(filled(name), name).otherwise(identifier).alias("name"), "properties", F.col("shape").alias("geom"), "broken"))
-    if out.filter("broken").count():
-        raise ValueError(f"{path}: a shape is empty or can't be made valid")
+    out = cut(layer.join(shapes, "ord").select("ord", identifier.alias("id"), F.when(filled(name), name).otherwise(identifier).alias("name"), "properties", F.col("shape").alias("geom"), "invalid"))
+    if out.filter("invalid").count():
+        raise ValueError(f"{path}: a polygon is empty or crosses itself")
     outside = F.exists("geom", lambda p: F.exists(p, lambda r: F.exists(r, lambda q: (F.abs(q["x"]) > 180) | (F.abs(q["y"]) > 90) | F.isnan(q["x"]) | F.isnan(q["y"]))))
     if out.filter(outside).count():
         raise ValueError(f"{path}: coordinates outside WGS84 bounds")
-    return out.drop("broken")
+    return out.drop("invalid")
 
 
 def select_project(layer: DataFrame, project: str | None) -> DataFrame:
@@ -83,7 +85,7 @@ def same_ids(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def markers(layers: DataFrame) -> DataFrame:
-    """(lon, lat, name): distinct points that properties give, each of the first feature with it.
+    """(lon, lat, layer, ord, name, valid): distinct points that properties give, each of the first feature with it.
 
     Of the names that may hold a coordinate the first one present counts, even when it is null; then there is no marker.
     """
@@ -91,7 +93,7 @@ def markers(layers: DataFrame) -> DataFrame:
     pick = lambda names: F.coalesce(*[F.when(F.map_contains_key("p", F.lit(n)), F.struct(F.col("p")[n].alias("v"))) for n in names])["v"]
     rows = layers.withColumn("p", lower).select("layer", "ord", "name", pick(MARKERS[0]).alias("lat"), pick(MARKERS[1]).alias("lon")).filter("lat is not null and lon is not null")
     numbers = rows.select("layer", "ord", "name", F.expr("try_cast(lat as double)").alias("lat"), F.expr("try_cast(lon as double)").alias("lon"))
-    return numbers.groupBy("lon", "lat").agg(F.min(F.struct("layer", "ord", "name")).alias("first")).select("lon", "lat", "first.name", (F.abs("lon").between(0, 180) & F.abs("lat").between(0, 90)).alias("valid"))
+    return numbers.groupBy("lon", "lat").agg(F.min(F.struct("layer", "ord", "name")).alias("first")).select("lon", "lat", "first.*", (F.abs("lon").between(0, 180) & F.abs("lat").between(0, 90)).alias("valid"))
 
 
 def nice_length(target: float) -> float:
@@ -102,8 +104,7 @@ def nice_length(target: float) -> float:
 
 def tick_label(value: float, axis: str) -> str:
     """Degrees with the hemisphere's letter."""
-    letter = ("E" if value > 0 else "W") if axis == "x" else ("N" if value > 0 else "S")
-    return f"{abs(value):g}\N{DEGREE SIGN}{letter if value else ''}"
+    return f"{abs(value):g}\N{DEGREE SIGN}{('W' if axis == 'x' else 'S') if value < 0 else ('E' if axis == 'x' else 'N')}"
 
 
 def _check(paths, output, labels, coordinates, basemap):
@@ -124,35 +125,38 @@ def _check(paths, output, labels, coordinates, basemap):
 
 
 def plot_comparison(spark: SparkSession, paths, output, project=None, labels=None, id_field="id", name_field="name", title=None, coordinates="lonlat", basemap="none", tile_cache=None) -> dict:
-    """Draw layers over each other; returns {project, areas_km2, output, coordinate_display, basemap}."""
+    """Draw layers over each other; returns {project, areas_km2, output, coordinate_display, basemap}: the name of the project (of a
+    selection, or of a first layer with one feature; else ``All projects``), areas by label, the file, and the two modes as given."""
     labels = _check(paths, output, labels, coordinates, basemap)
     layers = [load_features(spark, p, id_field, name_field) for p in paths]
-    return _figure(spark, layers, labels, Path(output), project, title, coordinates)
+    return _figure(spark, layers, labels, Path(output), project, title, coordinates, basemap)
 
 
-def _figure(spark, layers, labels, output, project, title, coordinates) -> dict:
+def _figure(spark, layers, labels, output, project, title, coordinates, basemap) -> dict:
     picked = [select_project(x, project).withColumn("label", F.lit(label)).withColumn("layer", F.lit(k)) for k, (x, label) in enumerate(zip(layers, labels, strict=True))]
     every = picked[0]
     for other in picked[1:]:
         every = every.unionByName(other)
     every = cut(every)
+    counts = {r["layer"]: r for r in every.groupBy("layer").agg(F.count("*").alias("n"), F.min_by("name", "ord").alias("first")).collect()}
     areas = {r["label"]: r["area_km2"] for r in layer_areas(every).collect()}
     areas = {label: areas[label] for label in labels}
-    rows = every.orderBy("layer", "ord").collect()
-    dots = markers(every).collect()
-    if any(not d["valid"] for d in dots):
+    dots = markers(every)
+    if not dots.filter("NOT coalesce(valid, false)").isEmpty():
         raise ValueError("a marker's coordinates are not finite degrees")
-    heading = rows[0]["name"] if project is not None or len(rows) == 1 else "All projects"
+    heading = counts[0]["first"] if project is not None or counts[0]["n"] == 1 else "All projects"
     if output.suffix.lower() != ".svg":
         raise ValueError("PNG and PDF figures need an optional library that is not installed; use .svg")
     whole = G.planar(G.edges(every.select(F.lit(1).alias("k"), "geom"), "k"), "k").first()
     output.parent.mkdir(parents=True, exist_ok=True)
-    output.write_text(_svg(rows, labels, areas, dots, title or heading, coordinates, whole), encoding="utf-8")
-    shown = "WGS84 longitude/latitude" if coordinates == "lonlat" else "local equal-area kilometres"
-    return {"project": heading, "areas_km2": areas, "output": str(output), "coordinate_display": shown, "basemap": ""}
+    named = {k for k, r in counts.items() if project is not None or r["n"] == 1}
+    with output.open("w", encoding="utf-8") as f:
+        # shapes and markers pass through one at a time
+        f.writelines(_svg(every.orderBy("layer", "ord").toLocalIterator(), labels, areas, dots.orderBy("layer", "ord").toLocalIterator(), named, title or heading, coordinates, whole))
+    return {"project": heading, "areas_km2": areas, "output": str(output), "coordinate_display": coordinates, "basemap": basemap}
 
 
-def _svg(rows, labels, areas, dots, title, coordinates, whole) -> str:
+def _svg(rows, labels, areas, dots, named, title, coordinates, whole) -> Iterator[str]:
     lon0, lat0 = whole["cx"], whole["cy"]
 
     def place(lon, lat):
@@ -170,7 +174,10 @@ def _svg(rows, labels, areas, dots, title, coordinates, whole) -> str:
     height = width * (y1 - y0) * aspect / (x1 - x0)
     sx, sy = width / (x1 - x0), height / (y1 - y0)
     to = lambda x, y: (60 + (x - x0) * sx, 50 + (y1 - y) * sy)
-    out = []
+    notes = [f"{label}: {areas[label]:,.1f} km\N{SUPERSCRIPT TWO}" for label in labels]
+    size = f'width="{width + 120:.0f}" height="{height + 120 + 16 * len(notes):.0f}"'
+    head = "".join(f'<text x="60" y="{18 + 16 * k}" font-weight="bold">{escape(line)}</text>' for k, line in enumerate(textwrap.wrap(title, 70)[:2]))
+    yield f'<svg xmlns="http://www.w3.org/2000/svg" {size} font-family="sans-serif" font-size="12">{head}<rect x="60" y="50" width="{width:.2f}" height="{height:.2f}" fill="none" stroke="#999"/>'
     for r in rows:
         colour, dash = COLOURS[r["layer"] % len(COLOURS)], DASHES[r["layer"] % len(DASHES)]
         path = []
@@ -178,29 +185,45 @@ def _svg(rows, labels, areas, dots, title, coordinates, whole) -> str:
             for ring in polygon:
                 px, py = to(*place([p["x"] for p in ring], [p["y"] for p in ring]))
                 path.append("M" + "L".join(f"{a:.2f},{b:.2f}" for a, b in zip(px, py, strict=True)) + "Z")
-        out.append(f'<path d="{"".join(path)}" fill="{colour}" fill-opacity="0.14" fill-rule="evenodd" stroke="{colour}" stroke-dasharray="{dash}"><title>{escape(r["name"])}</title></path>')
+        yield (f'<path d="{"".join(path)}" fill="{colour}" fill-opacity="0.14" fill-rule="evenodd" stroke="{colour}" stroke-dasharray="{dash}"><title>{escape(r["name"])}</title></path>')
+    marked = False
     for d in dots:
+        marked = True
         a, b = to(*place(d["lon"], d["lat"]))
-        out.append(f'<circle cx="{a:.2f}" cy="{b:.2f}" r="4"/><text x="{a + 6:.2f}" y="{b - 6:.2f}">{escape(d["name"])}</text>')
+        yield f'<circle cx="{a:.2f}" cy="{b:.2f}" r="4"/>'
+        if d["layer"] in named:
+            yield f'<text class="marker" x="{a + 6:.2f}" y="{b - 6:.2f}">{escape(d["name"])}</text>'
     for axis, low, high in (("x", x0, x1), ("y", y0, y1)):
         step = nice_length((high - low) / 2)
         for v in np.arange(math.ceil(low / step) * step, high, step)[:5]:
             a, b = to(v if axis == "x" else x0, v if axis == "y" else y0)
             text = tick_label(round(float(v), 9), axis) if coordinates == "lonlat" else f"{v:g} km"
-            out.append(f'<text class="tick" x="{a - (0 if axis == "x" else 45):.2f}" y="{b + (16 if axis == "x" else 0):.2f}">{text}</text>')
-    metres = float(distance_m(whole["west"], lat0, whole["east"], lat0)[0]) or 1000.0
-    bar = nice_length(metres / 4)
-    unit = (whole["east"] - whole["west"]) / metres * bar if coordinates == "lonlat" else bar / 1000
-    out.append(f'<path d="M70,{40 + height:.2f}h{unit * sx:.2f}" stroke="black" stroke-width="3"/><text x="70" y="{34 + height:.2f}">{bar / 1000:g} km</text>')
-    out.append(f'<path d="M{40 + width:.2f},90v-30l-4,8m4,-8l4,8" stroke="black" fill="none"/><text x="{36 + width:.2f}" y="56">N</text>')
-    notes = [f"{label}: {areas[label]:,.1f} km\N{SUPERSCRIPT TWO}" for label in labels]
+            yield (f'<text class="tick" x="{a - (0 if axis == "x" else 45):.2f}" y="{b + (16 if axis == "x" else 0):.2f}">{text}</text>')
+    # scale bar along the parallel near the lower left corner, north arrow along the meridian near the upper left one
+    def degrees(x, y):
+        return equal_area_inverse(x * 1000, y * 1000, lon0, lat0) if coordinates == "projected" else (x, y)
+
+    left, low = x0 + 0.07 * (x1 - x0), y0 + 0.075 * (y1 - y0)
+    lon, lat = degrees(left, low)
+    metres = float(distance_m(lon, lat, *degrees(left + 0.22 * (x1 - x0), low))[0]) or 1000.0
+    bar = nice_length(metres / 1000) * 1000
+    (ax, ay), (bx, by) = to(left, low), to(*(float(np.squeeze(v)) for v in place(*destination(lon, lat, 90, bar))))
+    yield f'<path class="scale" d="M{ax:.2f},{ay:.2f}L{bx:.2f},{by:.2f}" stroke="black" stroke-width="3"/><text x="{ax:.2f}" y="{ay - 7:.2f}">{bar / 1000:g} km</text>'
+    top = y0 + 0.82 * (y1 - y0)
+    (ax, ay), (bx, by) = to(left, top), to(*(float(np.squeeze(v)) for v in place(*destination(*degrees(left, top), 0, 1000))))
+    norm = math.hypot(bx - ax, by - ay) or 1.0
+    ux, uy = (bx - ax) / norm, (by - ay) / norm
+    tx, ty = ax + 30 * ux, ay + 30 * uy
+    yield f'<path class="north" d="M{ax:.2f},{ay:.2f}L{tx:.2f},{ty:.2f}m{-8 * ux - 4 * uy:.2f},{-8 * uy + 4 * ux:.2f}L{tx:.2f},{ty:.2f}l{-8 * ux + 4 * uy:.2f},{-8 * uy - 4 * ux:.2f}" stroke="black" fill="none"/>'
+    yield f'<text x="{tx - 4:.2f}" y="{ty - 4:.2f}">N</text>'
     for k, note in enumerate(notes):
-        out.append(f'<text x="60" y="{90 + height + 16 * k:.2f}" fill="{COLOURS[k % len(COLOURS)]}">{escape(note)}</text>')
-    head = "".join(f'<text x="60" y="{18 + 16 * k}" font-weight="bold">{escape(line)}</text>' for k, line in enumerate(textwrap.wrap(title, 70)[:2]))
+        yield f'<text x="60" y="{90 + height + 16 * k:.2f}" fill="{COLOURS[k % len(COLOURS)]}">{escape(note)}</text>'
+    for k, entry in enumerate([*labels, "Dam reference"][: len(labels) + marked]):
+        at, colour = 66 + 16 * k, COLOURS[k % len(COLOURS)]
+        sign = f'<rect x="{width - 90:.2f}" y="{at - 9}" width="14" height="9" fill="{colour}" fill-opacity="0.5" stroke="{colour}" stroke-dasharray="{DASHES[k % len(DASHES)]}"/>' if k < len(labels) else f'<circle cx="{width - 83:.2f}" cy="{at - 5}" r="4"/>'
+        yield f'{sign}<text class="legend" x="{width - 70:.2f}" y="{at}">{escape(entry)}</text>'
     axis = "Longitude / latitude (degrees)" if coordinates == "lonlat" else "Easting / northing (km)"
-    foot = f'<text x="60" y="{74 + height:.2f}">{axis}</text>'
-    size = f'width="{width + 120:.0f}" height="{height + 120 + 16 * len(notes):.0f}"'
-    return f'<svg xmlns="http://www.w3.org/2000/svg" {size} font-family="sans-serif" font-size="12">{head}<rect x="60" y="50" width="{width:.2f}" height="{height:.2f}" fill="none" stroke="#999"/>{"".join(out)}{foot}</svg>\n'
+    yield f'<text x="60" y="{74 + height:.2f}">{axis}</text></svg>\n'
 
 
 def plot_by_project(spark: SparkSession, paths, output_dir, labels=None, id_field="id", name_field="name", title=None, coordinates="lonlat", basemap="none", tile_cache=None, suffix=".svg") -> list[Path]:
@@ -218,7 +241,7 @@ def plot_by_project(spark: SparkSession, paths, output_dir, labels=None, id_fiel
         if t.exists():
             raise FileExistsError(f"{t} exists")
     for i, t in zip(ids, targets, strict=True):
-        _figure(spark, layers, labels, t, i, title, coordinates)
+        _figure(spark, layers, labels, t, i, title, coordinates, basemap)
     return targets
 
 

@@ -14,6 +14,7 @@ from zlib import error as zlib_error
 
 from headwater.config import Dataset, check_dataset
 
+MANIFEST = "manifest.json"
 SUFFIXES = (".shp", ".shx", ".dbf", ".prj")
 BLOCK, TIMEOUT = 1 << 20, 60
 
@@ -23,14 +24,19 @@ def sha256_file(path: Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def files_of(dataset: Dataset) -> list[str]:
+    """What a dataset's folder holds besides its manifest: the archive and the files of the layer."""
+    return [dataset.stem + s for s in (".zip", *SUFFIXES)]
+
+
 def is_cached(folder: Path, dataset: Dataset) -> bool:
-    """Do the manifest and every component's hash agree? Anything unreadable or odd counts as no."""
+    """Do the manifest and every file's hash agree? Links, and anything unreadable or odd, count as no."""
     try:
-        manifest = json.loads((folder / f"{dataset.stem}.json").read_text(encoding="utf-8"))
-        sums = manifest["sha256"]
-        names = {dataset.stem + s for s in SUFFIXES}
-        files = [folder / n for n in names]
-        return manifest["source_url"] == dataset.url and set(sums) == names and not any(f.is_symlink() for f in files) and all(sha256_file(f) == sums[f.name] for f in files)
+        if (folder / MANIFEST).is_symlink():
+            return False
+        told = json.loads((folder / MANIFEST).read_text(encoding="utf-8"))
+        held = {n: sha256_file(folder / n) for n in files_of(dataset) if not (folder / n).is_symlink()}
+        return told["source_url"] == dataset.url and told["sha256"] == held and len(held) == 1 + len(SUFFIXES)
     except (OSError, ValueError, KeyError, TypeError):
         return False
 
@@ -54,32 +60,35 @@ def _members(archive: zipfile.ZipFile, names: list[str]) -> list[zipfile.ZipInfo
 
 
 def download_dataset(region: str, level: int, version: str, cache_dir: str | Path, get=fetch) -> Path:
-    """Path of the verified .shp file in ``cache_dir``; fetched only if what is there fails verification."""
+    """Path of the verified .shp file in the dataset's own folder of ``cache_dir``; fetched only if what is there fails verification.
+
+    OSError if the archive can't be fetched, ValueError if it is not what it should be; then nothing is published.
+    """
     check_dataset(region, level, version)
-    dataset, folder = Dataset(region, level, version), Path(cache_dir)
+    dataset = Dataset(region, level, version)
+    folder = Path(cache_dir) / dataset.stem
     if folder.is_symlink():
-        raise ValueError("the cache folder must not be a symbolic link")
-    folder.mkdir(parents=True, exist_ok=True)
-    shp = folder / f"{dataset.stem}.shp"
+        raise ValueError("the dataset's cache folder must not be a symbolic link")
+    shp, zipped = folder / f"{dataset.stem}.shp", f"{dataset.stem}.zip"
     if is_cached(folder, dataset):
         return shp
-    names = [dataset.stem + s for s in SUFFIXES]
-    with tempfile.TemporaryDirectory(dir=folder) as stage:
+    folder.parent.mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(dir=folder.parent, prefix=".staged-") as stage:
         stage = Path(stage)
         try:
-            get(dataset.url, stage / "archive.zip")
+            get(dataset.url, stage / zipped)
         except OSError as error:
-            raise ValueError(f"download of {dataset.url} failed: {error}") from error
+            raise OSError(f"the download of {dataset.url} failed: {error}") from error
         try:
-            with zipfile.ZipFile(stage / "archive.zip") as archive:
-                for member in _members(archive, names):
+            with zipfile.ZipFile(stage / zipped) as archive:
+                for member in _members(archive, [dataset.stem + s for s in SUFFIXES]):
                     with archive.open(member) as source, (stage / member.filename).open("wb") as out:
                         shutil.copyfileobj(source, out, BLOCK)
         except (zipfile.BadZipFile, zlib_error, EOFError, NotImplementedError, RuntimeError) as error:
             raise ValueError(f"archive of {dataset.stem} is damaged: {error}") from error
-        manifest = {"source_url": dataset.url, "sha256": {n: sha256_file(stage / n) for n in names}}
-        (stage / "manifest").write_text(json.dumps(manifest, indent=2), encoding="utf-8")
-        for n in names:
+        names = files_of(dataset)
+        (stage / MANIFEST).write_text(json.dumps({"source_url": dataset.url, "sha256": {n: sha256_file(stage / n) for n in names}}, indent=2) + "\n", encoding="utf-8")
+        folder.mkdir(exist_ok=True)
+        for n in (*names, MANIFEST):
             os.replace(stage / n, folder / n)
-        os.replace(stage / "manifest", folder / f"{dataset.stem}.json")
     return shp

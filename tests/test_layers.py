@@ -2,10 +2,12 @@ import io
 import json
 import zipfile
 
+import numpy as np
 import pytest
 
 from headwater import cli
-from headwater.functions.geodesic import ring_area_km2
+from headwater.functions.geodesic import destination, distance_m, ring_area_km2
+from headwater.functions.projection import equal_area, equal_area_inverse
 from headwater.plans import compare as C
 from headwater.sources import archive as A
 from headwater.sources.crs import crs_code
@@ -44,9 +46,10 @@ def test_shapefile_layer_in_mercator(spark, tmp_path):
 def test_bad_layers(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"type": "Point", "coordinates": [0, 0]}')
     geojson(tmp_path / "far.json", ({"id": "a"}, [square(179.5, 0)]))
+    geojson(tmp_path / "bow.json", ({"id": "a"}, [[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]]))
     (tmp_path / "e.json").write_text('{"type": "FeatureCollection", "features": []}')
     (tmp_path / "c.json").write_text('{"type": "FeatureCollection", "crs": {"type": "name"}, "features": []}')
-    for name, text in (("p.json", "polygon"), ("far.json", "bounds"), ("e.json", "empty"), ("c.json", "crs"), ("x.txt", "supported")):
+    for name, text in (("p.json", "polygon"), ("far.json", "bounds"), ("bow.json", "crosses itself"), ("e.json", "empty"), ("c.json", "crs"), ("x.txt", "supported")):
         with pytest.raises(ValueError, match=text):
             C.load_features(spark, tmp_path / name)
     assert crs_code(WGS84) == 4326 and crs_code(MERCATOR) == 3857
@@ -61,8 +64,15 @@ def test_comparison_measures_geometry(spark, tmp_path):
     for mode in ("lonlat", "projected"):
         report = C.plot_comparison(spark, [a, b], tmp_path / f"{mode}.svg", coordinates=mode)
         assert report["areas_km2"] == pytest.approx({"a": expected, "b": expected}, abs=1e-6)
+        assert (report["project"], report["coordinate_display"], report["basemap"], report["output"]) == ("Dam & co", mode, "none", str(tmp_path / f"{mode}.svg"))
         shown[mode] = (tmp_path / f"{mode}.svg").read_text()
     assert "Dam &amp; co" in shown["lonlat"] and "Easting" in shown["projected"] and "Longitude" in shown["lonlat"] and "evenodd" in shown["lonlat"]
+    assert shown["lonlat"].count('class="legend"') == 3 and shown["lonlat"].count('class="marker"') == 1 and 'class="scale"' in shown["projected"] and 'class="north"' in shown["projected"]
+    two = geojson(tmp_path / "two.geojson", ({"id": "p", "name": "One", "lat": 1, "lon": 1}, FRAME), ({"id": "q", "name": "Two", "lat": 9, "lon": 9}, [square(8, 8)]))
+    many = C.plot_comparison(spark, [two, b], tmp_path / "many.svg", labels=["x", "y"])
+    assert many["project"] == "All projects" and 'class="marker"' not in (tmp_path / "many.svg").read_text()
+    chosen = C.plot_comparison(spark, [two, b], tmp_path / "one.svg", project="P", title="Own title")
+    assert chosen["project"] == "One" and "Own title" in (tmp_path / "one.svg").read_text() and 'class="marker"' in (tmp_path / "one.svg").read_text()
     for bad in ({"coordinates": "x"}, {"labels": ["one"]}, {"labels": ["s", "s"]}, {"project": "nobody"}, {"basemap": "odd"}):
         with pytest.raises(ValueError):
             C.plot_comparison(spark, [a, b], tmp_path / "n.svg", **bad)
@@ -88,7 +98,19 @@ def test_markers(spark):
 
 
 def test_scales_and_ticks():
-    assert C.nice_length(730) == 500 and C.nice_length(0.21) == pytest.approx(0.2) and C.tick_label(-118.5, "x") == "118.5°W" and C.tick_label(0, "y") == "0°"
+    assert C.nice_length(730) == 500 and C.nice_length(0.21) == pytest.approx(0.2) and C.tick_label(-118.5, "x") == "118.5°W" and (C.tick_label(0, "y"), C.tick_label(0, "x"), C.tick_label(-2, "y")) == ("0°N", "0°E", "2°S")
+
+
+def test_geodesic_and_projection_round_trips():
+    rng = np.random.default_rng(3)
+    lon, lat, azimuth, metres = rng.uniform(-180, 180, 200), rng.uniform(-80, 80, 200), rng.uniform(-180, 180, 200), rng.uniform(1, 5e6, 200)
+    to = destination(lon, lat, azimuth, metres)
+    assert distance_m(lon, lat, *to) == pytest.approx(metres, abs=1e-5)
+    quarter = destination(0, 0, 0, 10001965.729)[1][0]
+    assert quarter == pytest.approx(90, abs=1e-6) and destination(0, 0, 90, 111319.49079327357)[0][0] == pytest.approx(1, abs=1e-9)
+    for lon0, lat0 in ((10, 50), (-120, 0), (0, -75)):
+        near = lon0 + rng.uniform(-5, 5, 50), np.clip(lat0 + rng.uniform(-5, 5, 50), -89, 89)
+        assert np.allclose(equal_area_inverse(*equal_area(*near, lon0, lat0), lon0, lat0), near, atol=1e-9)
 
 
 NAMES = [f"hybas_na_lev12_v1c{s}" for s in A.SUFFIXES]
@@ -118,10 +140,21 @@ def test_download_and_reuse(tmp_path):
     shp = A.download_dataset("na", 12, "1c", tmp_path / "d", get)
     assert shp.read_text() == "original-shp" and not (tmp_path / "escape").exists()
     A.download_dataset("na", 12, "1c", tmp_path / "d", get)
-    assert len(calls) == 1 and len(json.loads(shp.with_suffix(".json").read_text())["sha256"][NAMES[0]]) == 64
-    shp.write_text("tampered")
+    home = tmp_path / "d" / "hybas_na_lev12_v1c"
+    told = json.loads((home / "manifest.json").read_text())
+    assert shp.parent == home and len(calls) == 1 and set(told["sha256"]) == {*NAMES, "hybas_na_lev12_v1c.zip"} and len(told["sha256"][NAMES[0]]) == 64 and told["source_url"] == calls[0]
+    for k, target in enumerate((shp.name, "hybas_na_lev12_v1c.zip", "manifest.json")):
+        (home / target).write_text("tampered")
+        A.download_dataset("na", 12, "1c", tmp_path / "d", get)
+        assert len(calls) == 2 + k and shp.read_text() == "original-shp"
+    (home / "manifest.json").rename(tmp_path / "elsewhere.json")
+    (home / "manifest.json").symlink_to(tmp_path / "elsewhere.json")
     A.download_dataset("na", 12, "1c", tmp_path / "d", get)
-    assert len(calls) == 2 and shp.read_text() == "original-shp"
+    assert len(calls) == 5 and not (home / "manifest.json").is_symlink()
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / home.name).symlink_to(home)
+    with pytest.raises(ValueError, match="symbolic link"):
+        A.download_dataset("na", 12, "1c", tmp_path / "e", get)
 
 
 def test_bad_downloads_publish_nothing(tmp_path):
@@ -137,7 +170,7 @@ def test_bad_downloads_publish_nothing(tmp_path):
     def fails(url, to):
         raise OSError("reset")
 
-    with pytest.raises(ValueError, match="download"):
+    with pytest.raises(OSError, match="download"):
         A.download_dataset("na", 12, "1c", tmp_path, fails)
     for bad in (("xx", 12, "1c"), ("na", True, "1c"), ("na", 12, "2")):
         with pytest.raises(ValueError):
