@@ -49,8 +49,10 @@ def _solve(lon1, lat1, lon2, lat2):
 def edge_areas(x1, y1, x2, y2) -> np.ndarray:
     """Signed area (m2) between each geodesic edge (degrees) and the equator; positive eastward."""
     lon1, lat1, lon2, lat2 = (np.radians(np.asarray(v, float)) for v in (x1, y1, x2, y2))
-    out = np.zeros(len(lon1))
-    use = np.flatnonzero((lon1 != lon2) & ~((lat1 == 0) & (lat2 == 0)))
+    # along a meridian to a pole, all of the longitude's change is made at the pole
+    polar = np.maximum(np.abs(lat1), np.abs(lat2)) >= np.pi / 2
+    out = np.where(polar, _zone(np.sign(lat1 + lat2)) * ((lon2 - lon1 + np.pi) % (2 * np.pi) - np.pi), 0.0)
+    use = np.flatnonzero((lon1 != lon2) & ~((lat1 == 0) & (lat2 == 0)) & ~polar)
     if not len(use):
         return out
     sin0, cos0, sigma1, sigma2, k2, _ = _solve(lon1[use], lat1[use], lon2[use], lat2[use])

@@ -81,42 +81,40 @@ def covers(points: DataFrame, edge_rows: DataFrame, point_keys: list[str], join:
 
 
 def boundary_edges(edge_rows: DataFrame, *keys: str) -> DataFrame:
-    """Edges that remain of an edge-matched coverage when opposite ones cancel; ``times`` over 1 tells of an overlap."""
+    """Edges that remain of an edge-matched coverage when opposite ones cancel; ``times`` over 1 tells of an overlap.
+
+    Rows with ``times`` of their own are boundaries already: those of parts add up to that of the whole.
+    """
     forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
     low, high = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    signed = edge_rows.select(*keys, F.when(forward, low).otherwise(high).alias("p"), F.when(forward, high).otherwise(low).alias("q"), F.when(forward, 1).otherwise(-1).alias("sign"))
-    left = signed.groupBy(*keys, "p", "q").agg(F.sum("sign").alias("net"), F.count("*").alias("uses")).filter("net <> 0")
+    once = F.col("times") if "times" in edge_rows.columns else F.lit(1)
+    signed = edge_rows.select(*keys, F.when(forward, low).otherwise(high).alias("p"), F.when(forward, high).otherwise(low).alias("q"), F.when(forward, once).otherwise(-once).alias("sign"))
+    left = signed.groupBy(*keys, "p", "q").agg(F.sum("sign").alias("net")).filter("net <> 0")
     pick = lambda a, b, c: F.when(F.col("net") > 0, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}"))
     return left.select(*keys, pick("p", "q", "x").alias("x1"), pick("p", "q", "y").alias("y1"), pick("q", "p", "x").alias("x2"), pick("q", "p", "y").alias("y2"), F.abs("net").cast("int").alias("times"))
 
 
 def dissolve(edge_rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, geom): the union of each key's polygons.
+    """(keys, geom): the union of each key's polygons."""
+    return assembled(boundary_edges(edge_rows, *keys), *keys)
+
 
-    Inner edges cancel in a distributed aggregation, so a task only ever sees the boundary of one union. Where the
-    boundary shows that neighbours' edges don't match (overlaps, vertices on another's edge, a shell within another polygon), its segments are noded
-    and classified exactly instead; polygons that overlap must not cancel first, so those keys are redone from all edges.
+def assembled(boundary: DataFrame, *keys: str) -> DataFrame:
+    """(keys, geom) of ``boundary_edges``: polygons of each key's union.
+
+    Inner edges have cancelled in a distributed aggregation, so a task holds the boundary of one union, which is what its row of the
+    result holds too. Where neighbours' edges don't match (overlaps, vertices on another's edge, a shell within another
+    polygon), edges are noded and kept by how many polygons lie on their two sides. That count is the same before and after
+    opposite edges cancel, so nothing but the boundary is needed.
     """
     keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in edge_rows.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    types = {f.name: f.dataType.simpleString() for f in boundary.schema.fields}
 
     def assemble(rows: pd.DataFrame) -> pd.DataFrame:
-        segments = rows[["x1", "y1", "x2", "y2"]].to_numpy()
-        plain = bool((rows["times"] == 1).all()) and not overlay.crossing(segments)
-        polygons = overlay.polygons_of(segments) if plain else []
-        if overlay.nested(polygons):
-            plain, polygons = False, []
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "geom": [_structs(polygons)], "plain": [plain]})
-
-    def redo(rows: pd.DataFrame) -> pd.DataFrame:
-        groups = [g[["x1", "y1", "x2", "y2"]].to_numpy() for _, g in rows.groupby([c for c in rows.columns if c in ("member", "poly")], sort=True)]
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "geom": [_structs(overlay.union(groups))]})
+        polygons = overlay.assembled(rows[["x1", "y1", "x2", "y2"]].to_numpy(), rows["times"].to_numpy())
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "geom": [_structs(polygons)]})
 
-    out = boundary_edges(edge_rows, *keys).groupBy(*keys).applyInPandas(assemble, f"{schema}, geom {GEOMETRY}, plain boolean")
-    kept = ["x1", "y1", "x2", "y2", *[c for c in ("member", "poly") if c in edge_rows.columns]]
-    again = edge_rows.select(*keys, *kept).join(out.filter("NOT plain").select(*keys), keys, "left_semi").groupBy(*keys).applyInPandas(redo, f"{schema}, geom {GEOMETRY}")
-    return out.filter("plain").select(*keys, "geom").unionByName(again)
+    return boundary.groupBy(*keys).applyInPandas(assemble, ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"geom {GEOMETRY}"]))
 
 
 def repaired(features: DataFrame, *keys: str, geom: str = "geom") -> DataFrame:
@@ -142,4 +140,4 @@ def repaired(features: DataFrame, *keys: str, geom: str = "geom") -> DataFrame:
 
 
 def _structs(polygons) -> list:
-    return [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in polygon] for polygon in polygons]
+    return [[[{"x": x, "y": y} for x, y in ring.tolist()] for ring in polygon] for polygon in polygons]

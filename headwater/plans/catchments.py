@@ -3,6 +3,7 @@ aggregations over all projects at once."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,9 +14,9 @@ from headwater.config import Config
 from headwater.operators import geometry as G
 from headwater.operators import graph as N
 from headwater.plans.lineage import cut
-from headwater.sinks import to_geometry
 from headwater.sources.archive import SUFFIXES, sha256_file
 from headwater.sources.crs import sidecar_code
+from headwater.sources.geojson import geometry_json
 from headwater.sources.shapefile import dbf_fields, decoded_shapes, read_shapes
 
 # Fixed values of the output's metadata.
@@ -33,17 +34,20 @@ def catchments(units: DataFrame, projects: DataFrame, shapes: DataFrame, part: s
     """
     links = cut(N.effective_downstream(units, include_virtual))
     nearest = N.nearest_project(links, projects)
-    network = N.project_edges(links, nearest, projects)
+    network = cut(N.project_edges(links, nearest, projects))
     closure = N.project_closure(network)
-    local = N.local_members(nearest, projects)
+    local = cut(N.local_members(nearest, projects))
     wanted = projects if selected is None else projects.filter(F.lower("id").isin([s.lower() for s in selected]))
-    members = local.withColumn("part", F.lit("local")).union(N.total_members(local, closure).withColumn("part", F.lit("total")))
-    members = cut(members.join(wanted.select("id"), "id", "left_semi"))
-    lines = G.edges(members.join(shapes, "unit").withColumnRenamed("unit", "member"), "id", "part", "member")
-    merged = cut(G.dissolve(lines, "id", "part"))
+    # the boundary of a total is what is left of those of the local catchments in it, so units are only taken apart once
+    parts = cut(G.boundary_edges(G.edges(local.join(shapes, "unit"), "id"), "id"))
+    within = closure.union(projects.select("id", F.col("id").alias("above"))).join(wanted.select("id"), "id", "left_semi")
+    whole_parts = within.join(parts.withColumnRenamed("id", "above"), "above").drop("above")
+    lines = parts.join(wanted.select("id"), "id", "left_semi").withColumn("part", F.lit("local")).unionByName(G.boundary_edges(whole_parts, "id").withColumn("part", F.lit("total")))
+    merged = cut(G.assembled(lines, "id", "part"))
     areas = G.area_km2(G.edges(merged, "id", "part"), "id", "part").groupBy("id").pivot("part", ["local", "total"]).agg(F.first("area_km2"))
     areas = areas.select("id", F.col("local").alias("area_local"), F.col("total").alias("area_total"))
-    chosen = members.filter(F.col("part") == part).groupBy("id").agg(F.array_sort(F.collect_list("unit")).alias("hybas_ids"), F.count("*").alias("unit_count"))
+    members = local if part == "local" else N.total_members(local, closure)
+    chosen = members.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("unit")).alias("hybas_ids"), F.count("*").alias("unit_count"))
     shape = merged.filter(F.col("part") == part).select("id", "geom")
     return wanted.join(N.project_network(network, closure).drop("ord"), "id").join(areas, "id").join(chosen, "id").join(shape, "id").withColumn("part", F.lit(part)).withColumn("area", F.col(f"area_{part}"))
 
@@ -130,9 +134,8 @@ def whole(name: str) -> Column:
 def features_of(rows: DataFrame, config: Config) -> Iterator[dict]:
     """GeoJSON features of ``build_features``' rows, in configured order, a partition at a time."""
     extra = {p.id: p.metadata for p in config.projects}
-    for row in rows.orderBy("ord").toLocalIterator():
-        polygons = [[[(p["x"], p["y"]) for p in ring] for ring in polygon] for polygon in row["geom"]]
-        yield {"type": "Feature", "id": row["id"], "properties": extra[row["id"]] | {k: row[k] for k in PROPERTIES}, "geometry": to_geometry(polygons)}
+    for row in rows.withColumn("geometry", geometry_json("geom")).drop("geom").orderBy("ord").toLocalIterator():
+        yield {"type": "Feature", "id": row["id"], "properties": extra[row["id"]] | {k: row[k] for k in PROPERTIES}, "geometry": json.loads(row["geometry"])}
 
 
 def build_catchments(spark: SparkSession, config: Config, source: str | Path, part: str = "local", project_ids: list[str] | None = None) -> dict:

@@ -15,6 +15,7 @@ from headwater.plans.compare import layer_areas, markers, same_ids, select_proje
 from headwater.plans.lineage import cut
 from headwater.sinks import bbox_rows
 from headwater.sources import derived as D
+from headwater.sources.geojson import geometry_json, parsed_features
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,11 +71,19 @@ def effective_downstream(spark, sf_dir):
     return N.effective_downstream(D.units(spark, sf_dir))
 
 
-@_query(f"""WITH {_UNITS} SELECT (SELECT count(*) FROM links) AS n_units,
-  (SELECT count(*) FROM links WHERE down <> 0 AND down NOT IN (SELECT unit FROM units)) AS n_dangling,
-  (SELECT count(*) FROM links a WHERE a.down = a.unit) AS n_into_cycles""")
+@_query(f"""WITH RECURSIVE {_UNITS},
+planted AS (SELECT 1000000000 + s_suppkey AS unit, CASE s_suppkey % 5 WHEN 0 THEN 2000000000 WHEN 1 THEN 1000000000 WHEN 2 THEN 1000000001 ELSE 999999999 END + s_suppkey AS down FROM supplier),
+every AS (SELECT unit, down FROM links UNION ALL SELECT unit, down FROM planted),
+walk AS (SELECT unit, down AS here FROM every WHERE down <> 0 UNION SELECT w.unit, e.down FROM walk w JOIN every e ON e.unit = w.here WHERE e.down <> 0),
+loops AS (SELECT unit FROM walk WHERE unit = here)
+SELECT (SELECT count(*) FROM every) AS n_units, (SELECT count(*) FROM every WHERE down <> 0 AND down NOT IN (SELECT unit FROM every)) AS n_dangling,
+  (SELECT count(DISTINCT unit) FROM walk WHERE here IN (SELECT unit FROM loops)) AS n_into_cycles""")
 def integrity_report(spark, sf_dir):
-    links = N.effective_downstream(D.units(spark, sf_dir))
+    """The network with a planted unit a supplier: links to nowhere, to themselves, to each other, and into those."""
+    k = F.col("s_suppkey").cast("long")
+    to = F.when(k % 5 == 0, 2_000_000_000).when(k % 5 == 1, 1_000_000_000).when(k % 5 == 2, 1_000_000_001).otherwise(999_999_999)
+    planted = D.table(spark, sf_dir, "supplier").select((k + 1_000_000_000).alias("unit"), (to + k).alias("down"))
+    links = cut(N.effective_downstream(D.units(spark, sf_dir)).union(planted))
     total = links.agg(F.count("*").alias("n_units"))
     dangling = N.missing_downstream(links).agg(F.count("*").alias("n_dangling"))
     cycles = N.units_into_cycles(links).agg(F.count("*").alias("n_into_cycles"))
@@ -200,25 +209,57 @@ def geodesic_areas(spark, sf_dir):
     return G.area_km2(G.edges(D.shapes(spark, sf_dir), "unit"), "unit").select("unit", F.round("area_km2", 6).alias("area_km2"))
 
 
-@_query(f"WITH RECURSIVE {_TOTAL} SELECT id, true AS consistent FROM projects")
+@_query(f"""WITH {_UNITS}, pole AS (SELECT 6378137.0 * (1 - 1 / 298.257223563) AS b, sqrt((2 - 1 / 298.257223563) / 298.257223563) AS e)
+SELECT unit, 'cell' AS kind, 12308.778362 AS area_km2 FROM units WHERE y IN (-1, 0)
+UNION ALL SELECT unit, 'wedge', round(radians(unit % 20 + 1) * b * b / 2 * (1 / (1 - e * e) + ln((1 + e) / (1 - e)) / (2 * e)) / 1e6, 3) FROM units, pole""")
+def geodesic_closed_forms(spark, sf_dir):
+    """Ellipsoidal areas that have a known value: cells that touch the equator (the published one), and wedges between two meridians, the equator and a pole."""
+    cells = D.shapes(spark, sf_dir).join(D.units(spark, sf_dir).filter("y IN (-1, 0)").select("unit"), "unit").withColumn("kind", F.lit("cell"))
+    u = D.units(spark, sf_dir).withColumn("w", F.col("unit") % 20 + 1)
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    west, east = F.col("x"), F.col("x") + F.col("w")
+    up, down = ([corner(west, 0), corner(east, 0), *(corner(east, s * y) for y in (17, 64)), corner(west, s * 90), corner(west, s * 31), corner(west, 0)] for s in (1, -1))
+    wedges = u.select("unit", F.array(F.array(F.when(F.col("unit") % 2 == 0, F.array(*up)).otherwise(F.array(*down)))).alias("geom"), F.lit("wedge").alias("kind"))
+    areas = G.area_km2(G.edges(cells.unionByName(wedges), "unit", "kind"), "unit", "kind")
+    return areas.select("unit", "kind", F.when(F.col("kind") == "cell", F.round("area_km2", 6)).otherwise(F.round("area_km2", 3)).alias("area_km2"))
+
+
+@_query(f"WITH RECURSIVE {_TOTAL} SELECT id, CAST(count(*) AS DOUBLE) AS planar_area, 1.0 AS of_parts FROM total GROUP BY id")
 def total_area_consistency(spark, sf_dir):
-    """The dissolved total's area is the sum of the local areas over the project and all above it."""
+    """The dissolved total: its planar area (a unit a cell), and its ellipsoidal area as a share of the sum of the local ones over the project and all above it."""
     net = _Net(spark, sf_dir)
     local, closure = cut(net.local()), N.project_closure(net.edges())
     shapes = D.shapes(spark, sf_dir)
-    area = lambda m: G.area_km2(G.boundary_edges(G.edges(m.join(shapes, "unit"), "id", "unit"), "id"), "id")
-    parts = area(local).select(F.col("id").alias("above"), "area_km2")
+    bounds = lambda m: G.boundary_edges(G.edges(m.join(shapes, "unit"), "id", "unit"), "id")
+    parts = G.area_km2(bounds(local), "id").select(F.col("id").alias("above"), "area_km2")
     pairs = closure.union(local.select("id", F.col("id").alias("above")).distinct())
     summed = pairs.join(parts, "above").groupBy("id").agg(F.sum("area_km2").alias("summed"))
-    return area(N.total_members(local, closure)).join(summed, "id").select("id", (F.abs(F.col("area_km2") - F.col("summed")) < 1e-6 * F.col("summed")).alias("consistent"))
-
-
-@_query(f"""WITH RECURSIVE {_LOCAL}, n AS (SELECT id, count(*) AS k FROM local GROUP BY id), t AS (SELECT id, count(*) AS k FROM total GROUP BY id)
-SELECT p.id, p.ord, p.hybas_id, n.k AS unit_count, 'local' AS part, true AS area_is_local, t.k >= n.k AS total_is_more FROM projects p JOIN n USING (id) JOIN t USING (id)""")
+    total = cut(bounds(N.total_members(local, closure)))
+    planar = G.planar(total, "id").select("id", F.round("planar_area", 6).alias("planar_area"))
+    return G.area_km2(total, "id").join(summed, "id").join(planar, "id").select("id", "planar_area", F.round(F.col("area_km2") / F.col("summed"), 9).alias("of_parts"))
+
+
+@_query(f"""WITH RECURSIVE {_LOCAL}, {_NEXT.split(_UNITS + ",")[1].strip()},
+units_of AS (SELECT id, string_agg(unit, ',' ORDER BY unit) AS hybas_ids, count(*) AS unit_count FROM local GROUP BY id),
+net AS (SELECT f.id, f.down, coalesce(string_agg(a.above, ',' ORDER BY a.ord), '') AS above, coalesce(string_agg(a.above, ',' ORDER BY a.ord) FILTER (WHERE g.down = f.id), '') AS up
+  FROM following f LEFT JOIN above a ON a.id = f.id LEFT JOIN following g ON g.id = a.above GROUP BY f.id, f.down),
+sizes AS (SELECT t.id, count(*) AS n FROM total t GROUP BY t.id)
+SELECT p.id, p.ord, p.name, CAST(p.lat AS DOUBLE) AS lat, CAST(p.lon AS DOUBLE) AS lon, p.hybas_id, u.hybas_ids, u.unit_count, n.down, n.up, n.above, 'local' AS part, CAST(NULL AS VARCHAR) AS outlet_source, CAST(NULL AS VARCHAR) AS outlet_reference,
+  CAST(u.unit_count AS DOUBLE) AS planar_area, 1.0 AS area_of_cells, 1.0 AS area_local_of_cells, 1.0 AS area_total_of_cells, s.n AS n_total
+FROM projects p JOIN units_of u USING (id) JOIN net n USING (id) JOIN sizes s USING (id)""")
 def feature_rows(spark, sf_dir):
-    """Whole features: network, members, dissolved shapes and measures."""
-    rows = catchments(D.units(spark, sf_dir), D.projects(spark, sf_dir), D.shapes(spark, sf_dir))
-    return rows.select("id", "ord", "hybas_id", "unit_count", "part", (F.col("area") == F.col("area_local")).alias("area_is_local"), (F.col("area_total") >= F.col("area_local") - 1e-6).alias("total_is_more"))
+    """Whole features: all keys of the output. Areas are given as shares of the sums over the cells, which SQL can't give."""
+    units, projects, shapes = D.units(spark, sf_dir), D.projects(spark, sf_dir), D.shapes(spark, sf_dir)
+    rows = cut(catchments(units, projects, shapes))
+    cells = cut(G.area_km2(G.edges(shapes, "unit"), "unit"))
+    own = rows.select("id", F.explode("hybas_ids").alias("unit")).join(cells, "unit").groupBy("id").agg(F.sum("area_km2").alias("own"), F.count("*").alias("n"))
+    within = rows.select("id", F.explode(F.concat("above", F.array("id"))).alias("above")).join(own.withColumnRenamed("id", "above"), "above").groupBy("id").agg(F.sum("own").alias("all"), F.sum("n").alias("n_total"))
+    planar = G.planar(G.edges(rows, "id"), "id").select("id", F.round("planar_area", 6).alias("planar_area"))
+    share = lambda area, of: F.round(F.col(area) / F.col(of), 9).alias(f"{area}_of_cells")
+    return rows.join(own.drop("n"), "id").join(within, "id").join(planar, "id").select(
+        "id", "ord", "name", "lat", "lon", "hybas_id", F.array_join("hybas_ids", ",").alias("hybas_ids"), "unit_count", "down", F.array_join("up", ",").alias("up"), F.array_join("above", ",").alias("above"),
+        "part", F.col("source").alias("outlet_source"), F.col("reference").alias("outlet_reference"), "planar_area", share("area", "own"), share("area_local", "own"), share("area_total", "all"), "n_total",
+    )
 
 
 @_query(f"""WITH {_UNITS} SELECT coalesce(project_code, id) AS "ProjectCode", name || ' local incremental catchment' AS "PolygonName",
@@ -255,12 +296,14 @@ def _layers(spark, sf_dir) -> DataFrame:
     return owner.join(D.shapes(spark, sf_dir), "unit").select("label", F.col("unit").cast("string").alias("id"), "geom")
 
 
-@_query(f"""WITH {_UNITS} SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS label, true AS positive, count(*) AS n FROM projects GROUP BY ALL""")
+@_query(f"""WITH {_UNITS} SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS label, CAST(count(*) AS DOUBLE) AS planar_area, 1.0 AS of_cells, count(*) AS n FROM projects GROUP BY ALL""")
 def layer_compare(spark, sf_dir):
-    """Dissolved area of each layer, against the sum over its cells."""
+    """The dissolved layers: planar area (a unit a cell), and the compared area as a share of the sum over its cells."""
     layers = _layers(spark, sf_dir)
     cells = G.area_km2(G.edges(layers, "label", "id"), "label", "id").groupBy("label").agg(F.sum("area_km2").alias("summed"), F.count("*").alias("n"))
-    return layer_areas(layers).join(cells, "label").select("label", (F.abs(F.col("area_km2") - F.col("summed")) < 1e-6 * F.col("summed")).alias("positive"), "n")
+    merged = G.dissolve(G.edges(layers, "label", "id"), "label")
+    planar = G.planar(G.edges(merged, "label"), "label").select("label", F.round("planar_area", 6).alias("planar_area"))
+    return layer_areas(layers).join(cells, "label").join(planar, "label").select("label", "planar_area", F.round(F.col("area_km2") / F.col("summed"), 9).alias("of_cells"), "n")
 
 
 @_query("""WITH a AS (SELECT DISTINCT lower(c_mktsegment || c_nationkey) AS id FROM customer WHERE c_acctbal > 5000), b AS (SELECT DISTINCT lower(c_mktsegment || c_nationkey) AS id FROM customer WHERE c_acctbal < 0)
@@ -309,10 +352,7 @@ def text_sha256(spark, sf_dir):
 
 @_query(f"WITH {_UNITS} SELECT unit, CAST(x AS DOUBLE) AS west, CAST(y + 1 AS DOUBLE) AS north FROM units")
 def geojson_roundtrip(spark, sf_dir):
-    """Shapes written as GeoJSON coordinates and parsed again."""
-    point = lambda p: F.array(p["x"], p["y"])
-    arrays = F.transform("geom", lambda poly: F.transform(poly, lambda ring: F.transform(ring, point)))
-    text = D.shapes(spark, sf_dir).select("unit", F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), arrays.alias("coordinates"))).alias("geometry"))
-    back = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<array<array<array<double>>>>")
-    ring = F.get(F.get(back, 0), 0)
-    return text.select("unit", F.array_min(F.transform(ring, lambda p: F.get(p, 0))).alias("west"), F.array_max(F.transform(ring, lambda p: F.get(p, 1))).alias("north"))
+    """Shapes written as GeoJSON features and parsed again, by the library's own writer and reader."""
+    texts = D.shapes(spark, sf_dir).select(F.col("unit").alias("ord"), F.to_json(F.struct(F.lit("Feature").alias("type"), F.parse_json(geometry_json("geom")).alias("geometry"))).alias("feature"))
+    ring = F.get(F.get("geom", 0), 0)
+    return parsed_features(texts).select(F.col("ord").alias("unit"), F.array_min(F.transform(ring, lambda p: p["x"])).alias("west"), F.array_max(F.transform(ring, lambda p: p["y"])).alias("north"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.operators.geometry import GEOMETRY
@@ -20,6 +20,14 @@ def _geometry(kind, coordinates):
     return F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many).otherwise(F.lit(None).cast(GEOMETRY))
 
 
+def geometry_json(geom: Column | str) -> Column:
+    """The GeoJSON text of a geometry: a Polygon if it is one, else a MultiPolygon."""
+    geom = F.col(geom) if isinstance(geom, str) else geom
+    arrays = F.transform(geom, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
+    text = lambda kind, coordinates: F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
+    return F.when(F.size(geom) == 1, text("Polygon", F.get(arrays, 0))).otherwise(text("MultiPolygon", arrays))
+
+
 def read_geojson(spark: SparkSession, path: str | Path) -> DataFrame:
     """(ord, feature_id, properties, kind, geom): features in document order. ``properties`` maps names to JSON texts."""
     text = spark.read.text(str(path), wholetext=True).select(F.col("value"))

@@ -102,3 +102,39 @@ def test_number_formats(spark):
     assert padded_limit(179.9, 0.3, 180, False) == "180.0000"
     r = spark.createDataFrame([(0.125, 2.675)], "a double, b double").select(*fixed(2, "a", "b")).first()
     assert tuple(r) == ("0.12", "2.67")
+
+
+def test_union_agrees_with_its_polygons_everywhere():
+    rng = np.random.default_rng(1)
+    for trial in range(30):
+        rings = []
+        for _ in range(rng.integers(1, 9)):
+            if trial % 2:
+                (x, y), (w, h) = rng.integers(0, 8, 2), rng.integers(1, 5, 2)
+                ring = np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)], float)
+            else:
+                ring = rng.random((3, 2)) * 4
+                ring = np.vstack([ring, ring[:1]])
+                ring = ring if O.signed_area(ring) > 0 else ring[::-1]
+            rings.append(ring)
+        edges = np.concatenate([np.hstack([r[:-1], r[1:]]) for r in rings])
+        made = O.assembled(edges, np.ones(len(edges)))
+        assert O.is_valid(made)
+        for point in rng.random((100, 2)) * 10 - 0.5:
+            assert any(O._inside(point, r) for r in rings) == any(sum(O._inside(point, r) for r in polygon) % 2 for polygon in made)
+
+
+def test_a_ring_of_a_million_vertices():
+    n = 1_000_000
+    turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    ring = (1 + 0.01 * np.sin(turn * n / 20))[:, None] * np.c_[np.cos(turn), np.sin(turn)]
+    (polygon,) = O.assembled(np.hstack([ring, np.roll(ring, -1, axis=0)]), np.ones(n))
+    assert len(polygon) == 1 and len(polygon[0]) == n + 1
+
+
+def test_many_parts_and_holes():
+    x, y = (v.ravel() * 3.0 for v in np.meshgrid(np.arange(60), np.arange(60)))
+    rings = [np.c_[x, y, x + 2, y], np.c_[x + 2, y, x + 2, y + 2], np.c_[x + 2, y + 2, x, y + 2], np.c_[x, y + 2, x, y]]
+    inner = [np.c_[x + 0.5, y + 0.5, x + 0.5, y + 1], np.c_[x + 0.5, y + 1, x + 1, y + 1], np.c_[x + 1, y + 1, x + 1, y + 0.5], np.c_[x + 1, y + 0.5, x + 0.5, y + 0.5]]
+    made = O.assembled(np.concatenate(rings + inner), np.ones(len(x) * 8))
+    assert len(made) == 3600 and all(len(p) == 2 for p in made) and O.is_valid(made)
