@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NON_SPACE, mix, shingles_of, slices, text_buffers, words_of
 from .components import connected_components
-from .scratch import materialize
+from .scratch import broadcast_if_small, discard, materialize
 
 #: The sketch has four cells a document, within these powers of two (64 MB at most).
 SKETCH_BITS, SKETCH_SLICES = (18, 24), 64
@@ -49,6 +49,7 @@ LISTED = 16
 TIED, PAIRED, END = 0, 1, 2
 #: A slab is multiplied as sparse rows if that takes this many times fewer steps than the dense product.
 SPARSE = 64
+SALTS = 16
 _SET = ("k1", "k2", "n_shingles")
 
 
@@ -256,7 +257,9 @@ def _candidates(sets: DataFrame, num: int, den: int) -> DataFrame:
     listed = found.filter(F.col("kind") == PAIRED).select("head", "rep").distinct()
     side = lambda name: sets.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("outline").alias(f"o_{name}"))
     near = listed.join(side("head"), "head").join(side("rep"), "rep").filter(F.col("n_head") * den >= F.col("n_rep") * num).filter(F.col("n_rep") * den >= F.col("n_head") * num)
-    return _plausible(near, num, den).union(tied).distinct()
+    candidates = materialize(_plausible(near, num, den).union(tied).distinct(), "candidates")
+    discard(found)
+    return candidates
 
 
 def _tiles(sizes: np.ndarray, docs: int, shingles: int) -> np.ndarray:
@@ -418,23 +421,32 @@ def _classified(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFr
         F.first("marks").alias("marks"), F.first("outline").alias("outline"),
     )
     sets = materialize(grouped.withColumn("rep", F.monotonically_increasing_id()), "sets")
-    blocks = materialize(connected_components(materialize(_candidates(sets, num, den), "candidates"), "head", "rep"), "blocks")
-
+    candidates = _candidates(sets, num, den)
+    blocks = materialize(connected_components(candidates, "head", "rep"), "blocks")
     members = materialize(_panels(sets.join(blocks.withColumnRenamed("node", "rep"), "rep").select("rep", "copies", "n_shingles", "root")), "members")
+    discard(candidates)
+    discard(blocks)
     panels = members.groupBy("root", "panel").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     later = panels.select("root", F.col("panel").alias("j"), F.col("low").alias("later_low"))
     pairs = panels.join(later, "root").filter((F.col("j") >= F.col("panel")) & (F.col("later_low") * num <= F.col("high") * den)).select("root", F.col("panel").alias("i"), "j")
     ends = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("panel"))
-    wanted = sets.select("rep", F.col("any_row").alias("row")).join(members.select("rep"), "rep", "left_semi")
-    rows = _shingle_rows(profiles.select("row", "text").join(wanted, "row").select("rep", "text"), width).join(members, "rep")
+    wanted = materialize(sets.select("rep", F.col("any_row").alias("row")).join(members.select("rep"), "rep", "left_semi"), "wanted")
+    rows = _shingle_rows(profiles.select("row", "text").join(broadcast_if_small(wanted), "row").select("rep", "text"), width).join(members, "rep")
     products = rows.join(ends, ["root", "panel"]).groupBy("root", "i", "j").applyInPandas(_panel_links(num, den), "a long, b long, links long")
     found = materialize(products, "links")
 
     roots = connected_components(found.filter("a <> b"), "a", "b").withColumnRenamed("node", "rep")
     counts = found.filter("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("other_links"))
-    classes = sets.select(*_SET, "rep", "least", "least_row", "copies").join(roots, "rep", "left").join(counts, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.coalesce(F.min_by("least_row", "least"), F.min("least_row")).alias("first_row"))
-    classes = classes.join(smallest, "root").select(*_SET, "root", "component_id", "first_row", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links"))
+    own = sets.select(*_SET, "rep", "least", "least_row", "copies")
+    # sets with links get their component's smallest id; a component of any size is joined in SALTS parts
+    linked = own.select("rep", "least", "least_row").join(roots, "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.coalesce(F.min_by("least_row", "least"), F.min("least_row")).alias("first_row"))
+    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    named = linked.select("rep", "root", "salt").join(salted, ["root", "salt"]).select("rep", "root", "component_id", "first_row")
+    classes = own.join(named, "rep", "left").join(counts, "rep", "left").select(
+        *_SET, F.coalesce("root", "rep").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("first_row", "least_row").alias("first_row"), (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links"),
+    )
     return profiles, classes
 
 
@@ -460,6 +472,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, d
     given = dict(docs.dtypes)["doc_id"]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *[F.col(c).alias(n) for c, n in names.items()])
     profiles, classes = _classified(docs, width, numerator, denominator)
-    first = classes.select(F.col("first_row").alias("row")).distinct()
-    stay = profiles.filter("n_shingles > 0").join(first, "row", "left_semi").unionByName(profiles.filter("n_shingles = 0"))
+    first = materialize(classes.select(F.col("first_row").alias("row")).distinct(), "first")
+    stay = profiles.filter("n_shingles > 0").join(broadcast_if_small(first), "row", "left_semi").unionByName(profiles.filter("n_shingles = 0"))
     return stay.select(F.col("doc_id").cast(given).alias("doc_id"), "text", *[F.col(n).alias(c) for c, n in names.items()])

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,8 +37,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = where
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table of ``materialize`` that no later plan reads."""
+    written._scratch.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(written._scratch, True)
+
+
+#: Rows of a few numbers each that may be broadcast (some 30 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(written: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast only if its rows are counted and few; else joins shuffle."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
