@@ -9,7 +9,9 @@ all chunks advance at once, long ones by a heap. Characters without a piece fall
 An index covers ``INDEXED`` characters of new chunks (or one longer chunk). Each Python worker remembers chunks it has
 encoded (``MEMORY`` at most, then it starts anew). Null encodes as an
 empty text: no ids. Decoding returns the text exactly unless it holds the mark U+2581 itself, which reads back as
-a space.
+a space. Rows are encoded one by one: repeated rows alike, null ids like others; other columns are left out. A model must leave texts as they
+are (but for the mark before them) and be a merge model; others are refused. A chunk without white space is held whole, at some 400
+bytes a character.
 """
 
 from __future__ import annotations
@@ -53,6 +55,9 @@ class Vocabulary:
                 self.bytes.append(piece.replace(chr(MARK), " ").encode())
         if any(chr(MARK) in p.lstrip(chr(MARK)) for p, _, _ in plain):
             raise ValueError("a piece goes beyond a chunk of marks and what follows them")
+        odd = " \ufb01  A\u00a0\u3000e\u0301 "
+        if model.normalize(odd) != chr(MARK) + odd.replace(" ", chr(MARK)):
+            raise ValueError("the model changes texts before it encodes them, or puts no mark before them")
         self.ids = np.array([i for _, i, _ in plain], np.int32)
         _, rank = np.unique(-np.array([s for _, _, s in plain]), return_inverse=True)
         self.rank = rank.astype(np.int32)
@@ -65,7 +70,16 @@ class Vocabulary:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    """The pieces of a model file; ValueError unless it is a merge model, which it shows by its own ids of a probe text."""
+    from sentencepiece import SentencePieceProcessor
+
+    vocab = Vocabulary(path)
+    probe = "".join(map(chr, vocab.chars[vocab.length > 2][:300].ravel())).replace("\0", "").replace(chr(MARK), " ")
+    raw = np.frombuffer(probe.encode(), np.uint8)
+    ids, _ = Encoder(vocab).encode(raw, np.array([0, len(raw)]))
+    if ids.tolist() != SentencePieceProcessor(model_file=local_path(path)).encode(probe):
+        raise ValueError("the model's ids are not those of merging best pairs first")
+    return vocab
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:

@@ -80,6 +80,59 @@ def test_toxicity_exceptions_and_no_labels(spark):
     assert toxicity.score_toxicity(documents(spark, ["a"]).limit(0), labels(spark, [])).count() == 0
 
 
+def test_toxicity_hits_match_brute_force():
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    for _ in range(60):
+        weights = {f" {letters(rng.randrange(1, 4))}{rng.choice(['', ' '])}": rng.uniform(1, 5) for _ in range(6)}
+        exceptions = [f" {letters(2)} {letters(2)} " for _ in range(2)]
+        text = toxicity.folded(" ".join(letters(rng.randrange(1, 5)) for _ in range(80)))
+        expected = {}
+        for entry, weight in weights.items():
+            for at in range(len(text)):
+                if text.startswith(entry, at):
+                    expected[at] = max(weight, expected.get(at, 0))
+        for phrase in exceptions:
+            for at in range(len(text)):
+                if text.startswith(phrase, at):
+                    expected = {k: w for k, w in expected.items() if not at <= k < at + len(phrase) - 1}
+        assert toxicity.Lexicon(weights, exceptions).hits(text) == expected
+
+
+@pytest.mark.parametrize("score", [toxicity.score_toxicity, quality.score_quality])
+def test_scores_of_odd_rows(spark, score):
+    rows = [(None, "some words"), (None, None), (1, "some words"), (1, "some words"), (2, "word " * 50_000), (2, ""), (3, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("old")).withColumn("label", F.lit("kept"))
+    known = labels(spark, [(k, k % 2, k % 2) for k in range(40)] + [(1, 0, 0), (None, 1, 1), (2, None, None), (7, 1, 1), (7, 1, 1)])
+    got = score(docs, known)
+    assert got.columns == docs.columns and dict(got.dtypes)["score"] == "double"
+    scores = {}
+    for r in got.collect():
+        assert 0 <= r["score"] <= 1 and r["label"] == "kept"
+        scores.setdefault((r["text"] or "").strip(), set()).add(r["score"])
+    assert got.count() == 7 and all(len(v) == 1 for v in scores.values())
+    assert score(docs.limit(0), known).count() == 0
+
+
+def test_quality_features_match_python():
+    texts = ["One two, two THREE three three.\nline two\nline two\n\nend", "a", "  ", "x y x y x y x y", "été 日本 - 12 $$ |", prose(5, 200)]
+    n = len(quality._CLASSES)
+    for text, row in zip(texts, quality.features(pa.array(texts)), strict=True):
+        words = re.findall(r"[^ \t\n\x0b\x0c\r]+", text.lower())
+        if not words:
+            assert not row.any()
+            continue
+        sizes, lines = [len(w.encode()) for w in words], [x for x in text.lower().split("\n") if x]
+        grams = list(zip(words, words[1:], words[2:], strict=False))
+        expected = {
+            0: np.log1p(len(text.encode())), 1: np.log1p(len(words)), 2: np.mean(sizes), 3: np.std(sizes), 7: np.mean([s <= 3 for s in sizes]), 8: len(set(words)) / len(words),
+            9: max(map(words.count, words)) / len(words), 10: len(set(grams)) / len(grams) if grams else 1, 11: len(set(lines)) / len(lines), 12: np.log1p(len(words) / len(lines)),
+        }
+        for k, value in expected.items():
+            assert row[n + k] == pytest.approx(value, abs=1e-6), (text, k)
+        assert row[0] == pytest.approx(sum("A" <= c <= "Z" for c in text) / len(text.encode()))
+
+
 def test_quality_ranks_held_out_texts(spark):
     texts, known = [], []
     for k in range(500):
@@ -252,6 +305,12 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece.encode_sentencepiece(documents(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_sentencepiece_of_odd_rows(spark):
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, "x" * 3000)], "doc_id long, text string").withColumn("ids", F.lit("x"))
+    got = sentencepiece.encode_sentencepiece(rows).collect()
+    assert len(got) == 4 and sum(r["doc_id"] is None for r in got) == 2 and sum(r["n_tokens"] == 0 for r in got) == 1
+
+
 def test_token_counts_are_greedy(spark):
     pieces = set(token_counts.pieces_of(token_counts.MODEL))
     longest = max(map(len, pieces))
