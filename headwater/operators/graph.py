@@ -3,6 +3,9 @@
 ``units`` has (unit, next_down, endo); ``projects`` has (ord, id, hybas_id, ...). Every unit drains into at most one other
 (0: none), so the network is a forest and a unit belongs to the local catchment of the first project at or below it.
 All walks down are done at once by pointer doubling: one equi-join a round, as many rounds as the logarithm of the depth.
+
+Walks converge on few targets. A round's join has one row a unit on the side that is looked up, so Spark splits a crowded target's
+walks over tasks by itself (adaptive skew join) and copies that one row.
 """
 
 from __future__ import annotations
@@ -71,14 +74,16 @@ def project_edges(links: DataFrame, nearest: DataFrame, projects: DataFrame) ->
 
 
 def project_closure(edges: DataFrame) -> DataFrame:
-    """(id, above): every pair of a project and one upstream of it, by repeated composition."""
+    """(id, above): every pair of a project and one upstream of it, which is the result that ``above`` lists, by repeated composition."""
     pairs = cut(edges.filter("down is not null").select(F.col("down").alias("id"), F.col("id").alias("above")))
-    while True:
+    known = pairs.count()
+    while known:
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.above") == F.col("b.id")).select("a.id", "b.above")
-        grown = cut(pairs.union(longer).distinct())
-        if grown.count() == pairs.count():
-            return grown
-        pairs = grown
+        pairs = cut(pairs.union(longer).distinct())
+        before, known = known, pairs.count()
+        if known == before:
+            break
+    return pairs
 
 
 def total_members(local: DataFrame, closure: DataFrame) -> DataFrame:

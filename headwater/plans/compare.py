@@ -107,13 +107,21 @@ def tick_label(value: float, axis: str) -> str:
     return f"{abs(value):g}\N{DEGREE SIGN}{('W' if axis == 'x' else 'S') if value < 0 else ('E' if axis == 'x' else 'N')}"
 
 
+def add_basemap(style: str = "terrain") -> str:
+    """The attribution of a background of map tiles: empty for ``none``; other styles need a library that fetches tiles, which is not installed."""
+    if style not in BASEMAPS:
+        raise ValueError(f"basemap must be one of {', '.join(BASEMAPS)}")
+    if style != "none":
+        raise ValueError("basemap tiles need an optional library that is not installed")
+    return ""
+
+
 def _check(paths, output, labels, coordinates, basemap):
     if coordinates not in ("lonlat", "projected"):
         raise ValueError("coordinates must be lonlat or projected")
-    if basemap not in BASEMAPS:
-        raise ValueError(f"basemap must be one of {', '.join(BASEMAPS)}")
-    if basemap != "none":
-        raise ValueError("basemap tiles need an optional library that is not installed")
+    add_basemap(basemap)
+    if not paths:
+        raise ValueError("there is nothing to compare")
     if output is not None and Path(output).suffix.lower() not in (".png", ".pdf", ".svg"):
         raise ValueError("figures are PNG, PDF or SVG")
     labels = [Path(p).stem for p in paths] if labels is None else list(labels)

@@ -79,6 +79,13 @@ def test_comparison_measures_geometry(spark, tmp_path):
     assert not (tmp_path / "n.svg").exists()
 
 
+def test_backgrounds():
+    assert C.add_basemap("none") == ""
+    for style in ("terrain", "sepia"):
+        with pytest.raises(ValueError, match="basemap"):
+            C.add_basemap(style)
+
+
 def test_figures_by_project(spark, tmp_path, capsys):
     a, b = geojson(tmp_path / "a.json", ({"id": "overview"}, [square(0, 0)])), geojson(tmp_path / "b.json", ({"id": "OVERVIEW"}, [square(0, 0)]))
     out = tmp_path / "figs"
