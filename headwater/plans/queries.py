@@ -210,7 +210,7 @@ def geodesic_areas(spark, sf_dir):
 
 
 @_query(f"""WITH {_UNITS}, pole AS (SELECT 6378137.0 * (1 - 1 / 298.257223563) AS b, sqrt((2 - 1 / 298.257223563) / 298.257223563) AS e)
-SELECT unit, 'cell' AS kind, 12308.778362 AS area_km2 FROM units WHERE y IN (-1, 0)
+SELECT unit, 'cell' AS kind, CAST(12308.778362 AS DOUBLE) AS area_km2 FROM units WHERE y IN (-1, 0)
 UNION ALL SELECT unit, 'wedge', round(radians(unit % 20 + 1) * b * b / 2 * (1 / (1 - e * e) + ln((1 + e) / (1 - e)) / (2 * e)) / 1e6, 3) FROM units, pole""")
 def geodesic_closed_forms(spark, sf_dir):
     """Ellipsoidal areas that have a known value: cells that touch the equator (the published one), and wedges between two meridians, the equator and a pole."""
@@ -224,7 +224,7 @@ def geodesic_closed_forms(spark, sf_dir):
     return areas.select("unit", "kind", F.when(F.col("kind") == "cell", F.round("area_km2", 6)).otherwise(F.round("area_km2", 3)).alias("area_km2"))
 
 
-@_query(f"WITH RECURSIVE {_TOTAL} SELECT id, CAST(count(*) AS DOUBLE) AS planar_area, 1.0 AS of_parts FROM total GROUP BY id")
+@_query(f"WITH RECURSIVE {_TOTAL} SELECT id, CAST(count(*) AS DOUBLE) AS planar_area, CAST(1 AS DOUBLE) AS of_parts FROM total GROUP BY id")
 def total_area_consistency(spark, sf_dir):
     """The dissolved total: its planar area (a unit a cell), and its ellipsoidal area as a share of the sum of the local ones over the project and all above it."""
     net = _Net(spark, sf_dir)
@@ -245,7 +245,7 @@ net AS (SELECT f.id, f.down, coalesce(string_agg(a.above, ',' ORDER BY a.ord), '
   FROM following f LEFT JOIN above a ON a.id = f.id LEFT JOIN following g ON g.id = a.above GROUP BY f.id, f.down),
 sizes AS (SELECT t.id, count(*) AS n FROM total t GROUP BY t.id)
 SELECT p.id, p.ord, p.name, CAST(p.lat AS DOUBLE) AS lat, CAST(p.lon AS DOUBLE) AS lon, p.hybas_id, u.hybas_ids, u.unit_count, n.down, n.up, n.above, 'local' AS part, CAST(NULL AS VARCHAR) AS outlet_source, CAST(NULL AS VARCHAR) AS outlet_reference,
-  CAST(u.unit_count AS DOUBLE) AS planar_area, 1.0 AS area_of_cells, 1.0 AS area_local_of_cells, 1.0 AS area_total_of_cells, s.n AS n_total
+  CAST(u.unit_count AS DOUBLE) AS planar_area, CAST(1 AS DOUBLE) AS area_of_cells, CAST(1 AS DOUBLE) AS area_local_of_cells, CAST(1 AS DOUBLE) AS area_total_of_cells, s.n AS n_total
 FROM projects p JOIN units_of u USING (id) JOIN net n USING (id) JOIN sizes s USING (id)""")
 def feature_rows(spark, sf_dir):
     """Whole features: all keys of the output. Areas are given as shares of the sums over the cells, which SQL can't give."""
@@ -296,7 +296,7 @@ def _layers(spark, sf_dir) -> DataFrame:
     return owner.join(D.shapes(spark, sf_dir), "unit").select("label", F.col("unit").cast("string").alias("id"), "geom")
 
 
-@_query(f"""WITH {_UNITS} SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS label, CAST(count(*) AS DOUBLE) AS planar_area, 1.0 AS of_cells, count(*) AS n FROM projects GROUP BY ALL""")
+@_query(f"""WITH {_UNITS} SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS label, CAST(count(*) AS DOUBLE) AS planar_area, CAST(1 AS DOUBLE) AS of_cells, count(*) AS n FROM projects GROUP BY ALL""")
 def layer_compare(spark, sf_dir):
     """The dissolved layers: planar area (a unit a cell), and the compared area as a share of the sum over its cells."""
     layers = _layers(spark, sf_dir)
