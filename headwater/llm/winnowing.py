@@ -99,15 +99,17 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
     if dict(docs.dtypes)["doc_id"] != "bigint":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # both joins read this side through one shuffle of the texts, so it must be the same plan in both
+    docs = docs.withColumn("fingerprint", winnow("text", k, window))
+    # both joins read this side through one shuffle of texts and fingerprints, so it must be the same plan in both
     texts = docs.filter("doc_id is not null")
-    sizes = texts.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    wanted = sizes.join(next_ids(texts), "doc_id").select(F.col("doc_id").alias("asking"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 2).cast("int").alias("take"))
+    ids = docs.select("doc_id", F.length("text").alias("n")).filter("doc_id is not null")
+    sizes = ids.groupBy("doc_id").agg(F.max("n").alias("n"))
+    wanted = sizes.join(next_ids(ids), "doc_id").select(F.col("doc_id").alias("asking"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 2).cast("int").alias("take"))
     given = texts.join(wanted, "doc_id").select(
-        F.col("asking").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes(winnow("text", k, window)).alias("next_hashes"),
+        F.col("asking").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes("fingerprint").alias("next_hashes"),
     ).groupBy("doc_id").agg(F.min_by(F.struct("head", "next_hashes"), F.struct("head")).alias("given")).select("doc_id", "given.*")
     alone = docs.filter("doc_id is null").withColumns({"head": F.lit(""), "next_hashes": F.array().cast("array<int>")})
-    both = texts.join(given, "doc_id").union(alone).withColumn("n_chars", F.length("text")).withColumn("fingerprint", winnow("text", k, window))
+    both = texts.join(given, "doc_id").unionByName(alone).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("head", F.lit(1), half))
     both = both.withColumn("edited", edited).withColumn("edited_fingerprint", winnow("edited", k, window))
