@@ -47,8 +47,8 @@ PANEL_TILES = 4
 LISTED = 16
 #: Kinds of candidate edges.
 TIED, PAIRED, END = 0, 1, 2
-#: A slab is multiplied as sparse rows if that takes this many times fewer steps than the dense product.
-SPARSE = 64
+#: A slab is multiplied as sparse rows if that takes this many times fewer steps than the dense product: a million steps at most for two tiles.
+SPARSE = 1024
 SALTS = 16
 _SET = ("k1", "k2", "n_shingles")
 
