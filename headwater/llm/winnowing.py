@@ -26,34 +26,54 @@ _BLOCK = 4096
 IDS_PER_RANGE, MOST_RANGES = 100_000, 200_000
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(text: Column | str) -> Column:
+    """The bytes that are hashed."""
+    folded = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}]+", " ")).cast("binary")
+
+
+def _gram(b: Column, i: Column, k: int) -> Column:
+    hashed = F.xxhash64(F.substring(b, i + 1, F.lit(k)))
+    return F.shiftleft(hashed.bitwiseAND(F.lit(0x7FFFFFFF)), 32) + (F.lit(0xFFFFFFFF) - i)
+
+
 def winnow(text: Column | str, k: int = K, window: int = WINDOW) -> Column:
     """array<bigint>: chosen hashes in text order; the low 32 bits count down with the position, the rest is the hash.
 
     Such a number is smaller for a smaller hash and, for equal hashes, for a later position, so the least of a
     window is the rightmost minimum.
     """
-    folded = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    raw = F.trim(F.regexp_replace(folded, r"[\s\p{Z}]+", " ")).cast("binary")
-
     def grams(b: Column, first: Column) -> Column:
         last = F.least(first + (_BLOCK + window - 2), F.greatest(F.length(b) - k, F.lit(0)))
-        at = lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(k)))
-        return F.transform(F.sequence(first, last), lambda i: F.shiftleft(at(i).bitwiseAND(F.lit(0x7FFFFFFF)), 32) + (F.lit(0xFFFFFFFF) - i))
+        return F.transform(F.sequence(first, last), lambda i: _gram(b, i, k))
 
     # minima of twice as many hashes at each step; what lies beyond the end is null, which least() leaves out
     def minima(g: Column, span: int) -> Column:
         if span >= window:
             return F.array_distinct(F.slice(g, F.lit(1), F.greatest(F.size(g) - (window - 1), F.lit(1))))
         step = min(span, window - span)
-        return bound(F.zip_with(g, F.slice(g, F.lit(step + 1), F.greatest(F.size(g), F.lit(1))), lambda x, y: F.least(x, y)), lambda m: minima(m, span + step))
+        return _bound(F.zip_with(g, F.slice(g, F.lit(step + 1), F.greatest(F.size(g), F.lit(1))), lambda x, y: F.least(x, y)), lambda m: minima(m, span + step))
 
     def blocks(b: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.length(b) - (k + window - 1), F.lit(0)), F.lit(_BLOCK))
-        return F.array_distinct(F.flatten(F.transform(starts, lambda s: bound(grams(b, s), lambda g: minima(g, 1)))))
+        return F.array_distinct(F.flatten(F.transform(starts, lambda s: _bound(grams(b, s), lambda g: minima(g, 1)))))
+
+    return _bound(_folded(text), lambda b: F.when(F.length(b) > 0, blocks(b)).otherwise(F.array().cast("array<bigint>")))
+
+
+def places(fingerprint: Column | str) -> Column:
+    """array<int>: the positions of a fingerprint, half its size or less; ``at_places`` gives it back from the text."""
+    return F.transform(fingerprint, lambda x: (F.lit(0xFFFFFFFF) - x.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int"))
+
 
-    # each lambda binds an array once, so it is not computed again for every element
-    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-    return bound(raw, lambda b: F.when(F.length(b) > 0, blocks(b)).otherwise(F.array().cast("array<bigint>")))
+def at_places(text: Column | str, where: Column | str, k: int = K) -> Column:
+    """The fingerprint of a text whose positions are known: only its chosen grams are hashed."""
+    return _bound(_folded(text), lambda b: F.transform(where, lambda i: _gram(b, i, k)))
 
 
 def hashes(fingerprint: Column | str) -> Column:
@@ -99,17 +119,17 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
     if dict(docs.dtypes)["doc_id"] != "bigint":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("fingerprint", winnow("text", k, window))
-    # both joins read this side through one shuffle of texts and fingerprints, so it must be the same plan in both
+    docs = docs.withColumn("places", places(winnow("text", k, window)))
+    # both joins read this side through one shuffle of texts and positions, so it must be the same plan in both
     texts = docs.filter("doc_id is not null")
     ids = docs.select("doc_id", F.length("text").alias("n")).filter("doc_id is not null")
     sizes = ids.groupBy("doc_id").agg(F.max("n").alias("n"))
     wanted = sizes.join(next_ids(ids), "doc_id").select(F.col("doc_id").alias("asking"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 2).cast("int").alias("take"))
     given = texts.join(wanted, "doc_id").select(
-        F.col("asking").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes("fingerprint").alias("next_hashes"),
+        F.col("asking").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), hashes(at_places("text", "places", k)).alias("next_hashes"),
     ).groupBy("doc_id").agg(F.min_by(F.struct("head", "next_hashes"), F.struct("head")).alias("given")).select("doc_id", "given.*")
     alone = docs.filter("doc_id is null").withColumns({"head": F.lit(""), "next_hashes": F.array().cast("array<int>")})
-    both = texts.join(given, "doc_id").unionByName(alone).withColumn("n_chars", F.length("text"))
+    both = texts.join(given, "doc_id").unionByName(alone).withColumn("n_chars", F.length("text")).withColumn("fingerprint", at_places("text", "places", k))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("head", F.lit(1), half))
     both = both.withColumn("edited", edited).withColumn("edited_fingerprint", winnow("edited", k, window))
