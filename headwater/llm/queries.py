@@ -15,6 +15,7 @@ from .ngram_jaccard import ngram_jaccard
 from .quality import score_quality
 from .secrets import joined, scan_secrets
 from .sentencepiece import encode_sentencepiece
+from .simhash import simhash_components
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 from .winnowing import fingerprint_edits, shown
@@ -88,6 +89,11 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_table(spark, sf_dir, "documents"), width=3, budget=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_simhash_dedup": op11_simhash_dedup,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
