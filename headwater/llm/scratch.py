@@ -43,6 +43,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def appended(written: DataFrame | None, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written behind the rows of a table of ``materialize``, or as the first of them."""
+    if written is None:
+        return materialize(df, name)
+    df.write.mode("append").parquet(written._scratch.toString())
+    again = df.sparkSession.read.schema(df.schema).parquet(written._scratch.toString())
+    again._scratch = written._scratch
+    return again
+
+
 def discard(written: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     written._scratch.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(written._scratch, True)
