@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
+from .cross_tokenizer import align_and_count
 from .decontaminate import find_contamination
 from .hard_negatives import mine_hard_negatives
 from .html_text import extract_pages
@@ -95,6 +96,11 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_and_count(_table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
