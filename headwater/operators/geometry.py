@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from headwater.functions.geodesic import edge_areas
-from headwater.operators import overlay
+from headwater.operators import arrangement, overlay, rings
+from headwater.operators.arrangement import boundary_edges
+from headwater.plans.lineage import cut
 
+#: Boundary edges of a union that are put together in one task; larger unions are noded and assembled by joins.
+WHOLE = 200_000
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 
 
@@ -80,20 +84,6 @@ def covers(points: DataFrame, edge_rows: DataFrame, point_keys: list[str], join:
     return points.select(*point_keys).join(tested, point_keys, "left").select(*point_keys, F.coalesce(F.col("touch") | F.col("inside"), F.lit(False)).alias("covered"))
 
 
-def boundary_edges(edge_rows: DataFrame, *keys: str) -> DataFrame:
-    """Edges that remain of an edge-matched coverage when opposite ones cancel; ``times`` over 1 tells of an overlap.
-
-    Rows with ``times`` of their own are boundaries already: those of parts add up to that of the whole.
-    """
-    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    low, high = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    once = F.col("times") if "times" in edge_rows.columns else F.lit(1)
-    signed = edge_rows.select(*keys, F.when(forward, low).otherwise(high).alias("p"), F.when(forward, high).otherwise(low).alias("q"), F.when(forward, once).otherwise(-once).alias("sign"))
-    left = signed.groupBy(*keys, "p", "q").agg(F.sum("sign").alias("net")).filter("net <> 0")
-    pick = lambda a, b, c: F.when(F.col("net") > 0, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}"))
-    return left.select(*keys, pick("p", "q", "x").alias("x1"), pick("p", "q", "y").alias("y1"), pick("q", "p", "x").alias("x2"), pick("q", "p", "y").alias("y2"), F.abs("net").cast("int").alias("times"))
-
-
 def dissolve(edge_rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, geom): the union of each key's polygons."""
     return assembled(boundary_edges(edge_rows, *keys), *keys)
@@ -102,11 +92,26 @@ def dissolve(edge_rows: DataFrame, *keys: str) -> DataFrame:
 def assembled(boundary: DataFrame, *keys: str) -> DataFrame:
     """(keys, geom) of ``boundary_edges``: polygons of each key's union.
 
-    Inner edges have cancelled in a distributed aggregation, so a task holds the boundary of one union, which is what its row of the
-    result holds too. Where neighbours' edges don't match (overlaps, vertices on another's edge, a shell within another
-    polygon), edges are noded and kept by how many polygons lie on their two sides. That count is the same before and after
-    opposite edges cancel, so nothing but the boundary is needed.
+    Inner edges have cancelled in a distributed aggregation. Where neighbours' edges don't match (overlaps, vertices on another's edge, a
+    shell within another polygon), edges are noded and kept by how many polygons lie on their two sides. That count is the same before and after
+    opposite edges cancel, so nothing but the boundary is needed. Unions of up to WHOLE boundary edges are put together in a task each. Larger ones are
+    noded in grid cells and their rings ranked in tasks of bounded size: only the finished row is in one place.
     """
+    boundary = cut(boundary)
+    large = boundary.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > WHOLE).select(*keys)
+    if large.isEmpty():
+        return _whole(boundary, *keys)
+    # fewer than one in WHOLE of the edges are such keys
+    small = _whole(boundary.join(large, list(keys), "left_anti"), *keys)
+    return small.unionByName(rings.polygons(arrangement.union_boundary(boundary.join(large, list(keys), "left_semi"), *keys), *keys))
+
+
+def union_planar(edge_rows: DataFrame, *keys: str) -> DataFrame:
+    """``planar`` of each key's union, whose polygons may overlap: from the union's boundary edges, without rings."""
+    return planar(arrangement.union_boundary(edge_rows, *keys), *keys)
+
+
+def _whole(boundary: DataFrame, *keys: str) -> DataFrame:
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in boundary.schema.fields}
 

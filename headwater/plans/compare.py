@@ -155,7 +155,7 @@ def _figure(spark, layers, labels, output, project, title, coordinates, basemap)
     heading = counts[0]["first"] if project is not None or counts[0]["n"] == 1 else "All projects"
     if output.suffix.lower() != ".svg":
         raise ValueError("PNG and PDF figures need an optional library that is not installed; use .svg")
-    whole = G.planar(G.edges(every.select(F.lit(1).alias("k"), "geom"), "k"), "k").first()
+    whole = G.union_planar(G.edges(every.select(F.lit(1).alias("k"), "geom"), "k"), "k").first()
     output.parent.mkdir(parents=True, exist_ok=True)
     named = {k for k, r in counts.items() if project is not None or r["n"] == 1}
     with output.open("w", encoding="utf-8") as f:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.functions.text import casefolded, file_stem, matches_name
+from headwater.operators import arrangement as A
 from headwater.operators import geometry as G
 from headwater.operators import graph as N
+from headwater.operators import rings as R
 from headwater.plans.catchments import catchments
 from headwater.plans.compare import layer_areas, markers, same_ids, select_project
 from headwater.plans.lineage import cut
@@ -203,6 +205,42 @@ def dissolve_parts(spark, sf_dir):
     return merged.select("id", F.size("geom").cast("long").alias("n_parts")).join(area, "id")
 
 
+@_query("""WITH RECURSIVE sq AS (SELECT doc_id // 8 AS i, doc_id % 8 AS k FROM documents),
+put AS (SELECT i, 7 * (i % 300) + [0, 1, 2, 3, 3, 2, 1, 0][k + 1] AS a, 7 * (i // 300) + [0, 0, 0, 1, 2, 3, 3, 2][k + 1] AS b FROM sq),
+cells AS (SELECT DISTINCT i, a + da AS x, b + db AS y FROM put, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(da, db)),
+reach AS (SELECT i, x, y, x AS rx, y AS ry FROM cells UNION SELECT r.i, c.x, c.y, r.rx, r.ry FROM reach r JOIN cells c ON c.i = r.i AND abs(c.x - r.x) + abs(c.y - r.y) = 1),
+parts AS (SELECT i, x, y, min(rx * 100000000 + ry) AS part FROM reach GROUP BY i, x, y),
+sides AS (SELECT part, x, y, x + 1 AS x2, y AS y2 FROM parts UNION ALL SELECT part, x, y + 1, x + 1, y + 1 FROM parts UNION ALL SELECT part, x, y, x, y + 1 FROM parts UNION ALL SELECT part, x + 1, y, x + 1, y + 1 FROM parts),
+each AS (SELECT part, x, y, x2, y2, count(*) AS n FROM sides GROUP BY ALL), e AS (SELECT part, count(*) AS e, count(*) FILTER (WHERE n = 1) AS outer_sides FROM each GROUP BY part),
+v AS (SELECT part, count(*) AS v FROM (SELECT part, x, y FROM sides UNION SELECT part, x2, y2 FROM sides) GROUP BY part),
+f AS (SELECT part, count(*) AS f, min(x) / 2 AS west, min(y) / 2 AS south FROM parts GROUP BY part)
+SELECT CAST(west AS DOUBLE) AS west, CAST(south AS DOUBLE) AS south, f / 4 AS planar_area, 1 - (v - e + f) AS n_holes, outer_sides / 2 AS perimeter FROM f JOIN e USING (part) JOIN v USING (part)""")
+def overlay_union(spark, sf_dir):
+    """The union of all overlapping squares as one label, noded and covered by joins over grid cells, and its parts by list ranking."""
+    lines = cut(G.edges(D.islands(spark, sf_dir), "unit").withColumn("k", F.lit(1)))
+    rings = cut(R.ring_edges(A.union_boundary(lines, "k"), "k"))
+    measures = cut(R.ring_measures(rings, "k"))
+    owner = R.shells(rings, measures, "k")
+    corners = rings.groupBy("ring").agg(F.min("x1").alias("west"), F.min("y1").alias("south"))
+    each = measures.join(owner, "ring").join(corners, "ring")
+    parts = each.groupBy("polygon").agg(F.min("west").alias("west"), F.min("south").alias("south"), F.round(F.sum("area"), 6).alias("planar_area"), (F.count("*") - 1).alias("n_holes"), F.round(F.sum("length"), 6).alias("perimeter"))
+    return parts.drop("polygon")
+
+
+@_query("""WITH c AS (SELECT doc_id AS x, 0 AS y FROM documents UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 2 = 0),
+e AS (SELECT x, y, x AS x1, y AS y1, x + 1 AS x2, y AS y2 FROM c UNION ALL SELECT x, y, x + 1, y, x + 1, y + 1 FROM c UNION ALL SELECT x, y, x + 1, y + 1, x, y + 1 FROM c UNION ALL SELECT x, y, x, y + 1, x, y FROM c),
+o AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.x1 = e.x2 AND f.y1 = e.y2 AND f.x2 = e.x1 AND f.y2 = e.y1))
+SELECT CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, (SELECT count(*) FROM o) AS n, CAST((SELECT count(*) FROM c) AS DOUBLE) AS area, true AS follows FROM o""")
+def long_ring(spark, sf_dir):
+    """One ring around all squares, ranked over many tasks: each edge with the ring's edges and area, and whether the edge placed after it begins where it ends."""
+    lines = G.edges(D.comb(spark, sf_dir), "unit").withColumn("k", F.lit(1))
+    rings = cut(R.ring_edges(A.boundary_edges(lines, "k"), "k"))
+    measures = R.ring_measures(rings, "k").select("ring", F.round("area", 6).alias("area"))
+    after = rings.select("ring", "seq", F.col("x1").alias("nx"), F.col("y1").alias("ny"))
+    both = rings.withColumn("then", F.pmod(F.col("seq") + 1, F.col("n"))).join(after.withColumnRenamed("seq", "then"), ["ring", "then"])
+    return both.join(measures, "ring").select("x1", "y1", "x2", "y2", "n", "area", ((F.col("x2") == F.col("nx")) & (F.col("y2") == F.col("ny"))).alias("follows"))
+
+
 @_query()
 def geodesic_areas(spark, sf_dir):
     """Ellipsoidal area of every unit."""

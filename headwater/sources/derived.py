@@ -32,6 +32,31 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).select("unit", F.array(F.array(ring)).alias("geom"))
 
 
+def _squares(rows: DataFrame, x: str, y: str, side: float) -> DataFrame:
+    corner = lambda dx, dy: F.struct((F.col(x) + dx).cast("double").alias("x"), (F.col(y) + dy).cast("double").alias("y"))
+    return rows.withColumn("geom", F.array(F.array(F.array(corner(0, 0), corner(side, 0), corner(side, side), corner(0, side), corner(0, 0)))))
+
+
+#: Corners of the eight squares of an island, in half units: they overlap and lie around a hole.
+ISLAND = ((0, 0), (1, 0), (2, 0), (3, 1), (3, 2), (2, 3), (1, 3), (0, 2))
+
+
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, geom): a unit square a document; every eight overlap around a hole, a step apart from the next eight."""
+    unit, k = F.col("doc_id"), F.pmod(F.col("doc_id"), F.lit(8)).cast("int")
+    island = F.floor(unit / 8)
+    at = F.get(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ISLAND]), k)
+    rows = table(spark, sf_dir, "documents").filter("doc_id is not null").select(unit.cast("long").alias("unit"), ((F.pmod(island, F.lit(300)) * 7 + at["a"]) / 2).alias("x"), ((F.floor(island / 300) * 7 + at["b"]) / 2).alias("y"))
+    return _squares(rows, "x", "y", 1).select("unit", "geom")
+
+
+def comb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, geom): unit squares side by side, one a document, and one more upon every second: a single ring around all."""
+    rows = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("unit"))
+    levels = F.when(F.col("unit") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return _squares(rows.select("unit", F.explode(levels).alias("y")), "unit", "y", 1).select("unit", "geom")
+
+
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, id, name, hybas_id, lon, lat, project_code, source, reference)."""
     suppliers = table(spark, sf_dir, "supplier").select(
