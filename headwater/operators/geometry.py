@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from headwater.functions.geodesic import edge_areas
-from headwater.operators import arrangement, overlay, rings
+from headwater.operators import arrangement, linework, overlay, rings
 from headwater.operators.arrangement import boundary_edges
 from headwater.plans.lineage import cut
 
@@ -123,7 +123,7 @@ def _whole(boundary: DataFrame, *keys: str) -> DataFrame:
 
 
 def repaired(features: DataFrame, *keys: str, geom: str = "geom") -> DataFrame:
-    """(keys, geom, repaired, broken): valid geometries as they are; others rebuilt by even-odd noding; ``broken`` where nothing is left."""
+    """(keys, geom, repaired, broken): valid geometries as they are; others rebuilt from their linework; ``broken`` where nothing is left."""
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in features.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
@@ -134,7 +134,7 @@ def repaired(features: DataFrame, *keys: str, geom: str = "geom") -> DataFrame:
             for g in batch.column(len(keys)).to_pylist():
                 polygons = [[np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in polygon] for polygon in (g or [])]
                 ok = overlay.is_valid(polygons)
-                made = polygons if ok else overlay.even_odd(polygons)
+                made = polygons if ok else linework.repaired(polygons)
                 geoms.append(_structs(made))
                 fixed.append(not ok)
                 broken.append(not made)

@@ -1,4 +1,4 @@
-"""Exact planar overlay of sets of rings: validity, even-odd repair, union of overlapping or unmatched polygons, and the
+"""Exact planar overlay of sets of rings: validity, union of overlapping or unmatched polygons, and the
 assembly of boundary edges into polygons.
 
 Signs are taken in floating point where a bound on the error allows it, over whole arrays, and from fractions for the few
@@ -219,21 +219,6 @@ def union(segments: np.ndarray, times: np.ndarray | None = None) -> list[list[np
     return _resolved(segments, np.ones(len(segments)) if times is None else np.asarray(times, float), lambda count: count > 0.5)
 
 
-def _ring_segments(polygon: list[np.ndarray]) -> np.ndarray:
-    parts = [np.hstack([r, np.roll(r, -1, axis=0)]) for r in polygon if len(r)]
-    return np.concatenate(parts) if parts else np.zeros((0, 4))
-
-
-def even_odd(polygons: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    """What lies inside an odd number of the rings of any polygon."""
-    made = []
-    for polygon in polygons:
-        lines = _ring_segments(polygon)
-        # upward and downward crossings count alike, so the sums are numbers of rings around a place, up to even numbers
-        made += _resolved(lines, np.ones(len(lines)), lambda count: np.abs(np.round(count)) % 2 == 1)
-    return made if len(polygons) < 2 or not made else union(np.concatenate([_ring_segments(p) for p in made]))
-
-
 def signed_area(ring: np.ndarray) -> float:
     p = ring - ring[0]
     q = np.roll(p, -1, axis=0)

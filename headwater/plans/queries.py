@@ -241,6 +241,16 @@ def long_ring(spark, sf_dir):
     return both.join(measures, "ring").select("x1", "y1", "x2", "y2", "n", "area", ((F.col("x2") == F.col("nx")) & (F.col("y2") == F.col("ny"))).alias("follows"))
 
 
+@_query("""SELECT doc_id AS unit, doc_id % 16 >= 12 AS repaired, CAST(CASE WHEN doc_id % 16 IN (12, 15) THEN 2 ELSE 1 END AS BIGINT) AS n_parts, CAST(CASE WHEN doc_id % 16 = 15 THEN 1 ELSE 0 END AS BIGINT) AS n_holes,
+  CAST(CASE doc_id % 16 WHEN 12 THEN 2 WHEN 15 THEN 16 - 2 - 3 + 1 ELSE 4 END AS DOUBLE) AS planar_area FROM documents""")
+def linework_repair(spark, sf_dir):
+    """Shapes repaired from their lines: lobes that cross, doubled rings, spikes, holes that cross, and squares that stay as they are."""
+    rows = cut(G.repaired(D.damaged(spark, sf_dir), "unit"))
+    areas = G.planar(G.edges(rows, "unit"), "unit").select("unit", F.round("planar_area", 6).alias("planar_area"))
+    holes = F.aggregate("geom", F.lit(0), lambda n, p: n + F.size(p) - 1).cast("long")
+    return rows.select("unit", "repaired", F.size("geom").cast("long").alias("n_parts"), holes.alias("n_holes")).join(areas, "unit")
+
+
 @_query()
 def geodesic_areas(spark, sf_dir):
     """Ellipsoidal area of every unit."""

@@ -57,6 +57,26 @@ def comb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _squares(rows.select("unit", F.explode(levels).alias("y")), "unit", "y", 1).select("unit", "geom")
 
 
+# Rings of the damaged shapes, in order: two lobes that cross, a ring that is there twice, a square with a spike, a square with two holes that cross.
+DAMAGED = (
+    (((0, 0), (2, 2), (2, 0), (0, 2), (0, 0)),),
+    (((0, 0), (2, 0), (2, 2), (0, 2), (0, 0), (2, 0), (2, 2), (0, 2), (0, 0)),),
+    (((0, 0), (2, 0), (2, 2), (4, 4), (2, 2), (0, 2), (0, 0)),),
+    (((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ((1, 1), (1, 2), (3, 2), (3, 1), (1, 1)), ((2, 1.5), (2, 3.5), (3.5, 3.5), (3.5, 1.5), (2, 1.5))),
+)
+
+
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, geom): a shape a document; of every sixteen, the last four are the damaged ones, the others squares."""
+    point = lambda x, y: F.struct((F.col("at") + float(x)).alias("x"), (F.lit(0.0) + float(y)).alias("y"))
+    shape = lambda rings: F.array(F.array(*[F.array(*[point(*p) for p in ring]) for ring in rings]))
+    kind, whole = F.col("unit") % 16, shape((((0, 0), (2, 0), (2, 2), (0, 2), (0, 0)),))
+    for k, rings in enumerate(DAMAGED):
+        whole = F.when(kind == 12 + k, shape(rings)).otherwise(whole)
+    rows = table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("unit"), (F.col("doc_id") % 100).cast("double").alias("at"))
+    return rows.select("unit", whole.alias("geom"))
+
+
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, id, name, hybas_id, lon, lat, project_code, source, reference)."""
     suppliers = table(spark, sf_dir, "supplier").select(

@@ -42,7 +42,7 @@ def test_bbox_of_whole_catchments(spark):
     test_queries_match_their_sql(spark, "bbox_catchments")
 
 
-@pytest.mark.parametrize("name", ["effective_downstream", "local_counts", "next_project", "outlet_cover", "unit_edges", "bbox_summary", "layer_id_equality", "marker_extract", "filename_sanitize", "geojson_roundtrip", "integrity_report", "geodesic_closed_forms", "total_area_consistency", "feature_rows", "layer_compare"])
+@pytest.mark.parametrize("name", ["effective_downstream", "local_counts", "next_project", "outlet_cover", "unit_edges", "bbox_summary", "layer_id_equality", "marker_extract", "filename_sanitize", "geojson_roundtrip", "integrity_report", "geodesic_closed_forms", "total_area_consistency", "feature_rows", "layer_compare", "overlay_union", "long_ring", "linework_repair"])
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
