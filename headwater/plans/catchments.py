@@ -16,8 +16,9 @@ from headwater.operators import graph as N
 from headwater.plans.lineage import cut
 from headwater.sources.archive import SUFFIXES, sha256_file
 from headwater.sources.crs import sidecar_code
+from headwater.sources.dbf import fields_of, read_dbf
 from headwater.sources.geojson import geometry_json
-from headwater.sources.shapefile import dbf_fields, decoded_shapes, read_shapes
+from headwater.sources.shapefile import decoded_shapes
 
 # Fixed values of the output's metadata.
 METADATA = {
@@ -90,11 +91,12 @@ def build_features(spark: SparkSession, config: Config, source: str | Path, part
     selected = selection(config, project_ids)
     if sidecar_code(source) != 4326:
         raise ValueError("the units must be in WGS84 degrees")
-    if not set(REQUIRED) <= {name for name, _, _ in dbf_fields(source.with_suffix(".dbf"))[3]}:
+    attributes = source.with_suffix(".dbf")
+    if not set(REQUIRED) <= set(fields_of(attributes)[3]):
         raise ValueError(f"the units need the columns {', '.join(REQUIRED)}")
     virtual = config.dataset.include_virtual_connections
     projects = config.frame(spark)
-    table = read_shapes(spark, source, geometry=False)
+    table = read_dbf(spark, attributes, f"oid long, {', '.join(f'{c} string' for c in REQUIRED)}")
     units = cut(table.select("oid", whole("HYBAS_ID").alias("unit"), whole("NEXT_DOWN").alias("next_down"), whole("ENDO").cast("int").alias("endo")))
     if units.filter("unit is null or next_down is null or endo is null").count():
         raise ValueError("HYBAS_ID, NEXT_DOWN and ENDO must be numbers in every row")
@@ -127,8 +129,8 @@ def build_features(spark: SparkSession, config: Config, source: str | Path, part
 
 def whole(name: str) -> Column:
     """An attribute as a whole number; null where it is none. All 64 bits are exact, whether or not zero decimals are written."""
-    exact = F.expr(f"try_cast(regexp_replace(properties['{name}'], '[.]0*$', '') AS bigint)")
-    return F.coalesce(exact, F.expr(f"try_cast(try_cast(properties['{name}'] AS double) AS bigint)"))
+    exact = F.expr(f"try_cast(regexp_replace(`{name}`, '[.]0*$', '') AS bigint)")
+    return F.coalesce(exact, F.expr(f"try_cast(try_cast(`{name}` AS double) AS bigint)"))
 
 
 def features_of(rows: DataFrame, config: Config) -> Iterator[dict]:
