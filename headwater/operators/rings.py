@@ -92,7 +92,8 @@ def ranked(links: DataFrame) -> DataFrame:
     # a path goes on with the first edge of another one, or of itself
     chains = placed.filter("further is not null").select("path", F.col("further").alias("to"), (F.col("place") + 1).alias("length"))
     alone = chains.filter("path = to").select("path", F.col("path").alias("ring"), F.lit(0).cast("long").alias("start"), F.col("length").alias("n"))
-    starts = cut(alone.unionByName(_path_ranks(cut(chains.filter("path <> to")))))
+    broken = chains.filter("path <> to")
+    starts = cut(alone.unionByName(_path_ranks(cut(broken.coalesce(broken.count() // CHUNK + 1)))))  # few, so in few tasks
     return placed.join(starts, "path").select("edge", "ring", (F.col("start") + F.col("place")).alias("seq"), "n")
 
 
@@ -171,7 +172,8 @@ def shells(rings: DataFrame, measures: DataFrame, *keys: str) -> DataFrame:
     """(ring, polygon): the shell of every ring; a shell is its own."""
     outer = measures.filter("area > 0").select("walk", F.col("ring").alias("polygon"))
     inner = measures.filter("area < 0").select("ring", "walk")
-    walks = cut(inner.select("walk").distinct().join(outer, "walk", "left_anti"))
+    walks = inner.select("walk").distinct().join(outer, "walk", "left_anti")
+    walks = cut(walks.coalesce(walks.count() // CHUNK + 1))
     owned = outer
     if not walks.isEmpty():
         to = cut(_left_of(rings, walks, list(keys)).join(outer.select(F.col("walk").alias("beside"), "polygon"), "beside", "left").select("walk", "beside", "polygon"))
