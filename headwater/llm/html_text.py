@@ -29,7 +29,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea iframe object svg canvas math"
+    "script style noscript template head title nav footer aside button select textarea iframe object svg canvas math"
     " audio video dialog menu map".split()
 )
 _CONTAINERS = frozenset(("article", "body", "center", "div", "html", "main", "section", "td", ""))
@@ -69,11 +69,16 @@ def _marked(value: str, marks: frozenset, beside: frozenset = _BESIDE) -> bool:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "depth", "is_region", "order")
+    __slots__ = ("tag", "parent", "out", "depth", "is_region", "order", "inside", "within_article", "outermost", "weight", "held")
 
     def __init__(self, tag, parent, out, is_region=False, order=-1):
         self.tag, self.parent, self.out, self.is_region, self.order = tag, parent, out, is_region, order
         self.depth = parent.depth + 1 if parent else 0
+        self.weight = self.held = 0
+        #: Is it in (or is it) an article or main element; is it in an article; the outermost element left out by name around it.
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.within_article = parent is not None and (parent.tag == "article" or parent.within_article)
+        self.outermost = (parent.outermost if parent and parent.out == NAMED else order) if out == NAMED else None
 
 
 class _Lines(HTMLParser):
@@ -87,6 +92,8 @@ class _Lines(HTMLParser):
         self.left_out: dict[int, int] = {}
         self.stays = 0
         self.node = _Node("", None, IN)
+        #: All elements, parents first.
+        self.nodes: list[_Node] = [self.node]
         self.lines: list[list] = []
         self.line = None
         self.links = 0
@@ -102,12 +109,12 @@ class _Lines(HTMLParser):
         within = self.node.out
         if within == OUT or tag in NEVER:
             return OUT
-        inside = self.node
-        while inside and inside.tag not in ("article", "main"):
-            inside = inside.parent
+        inside = self.node.inside
         if tag == "header" and not inside:
             return OUT
         named = within if tag not in ("article", "main") else IN
+        if tag == "form" and self.order not in self.unnamed:
+            named = NAMED
         for name, value in attrs:
             value = value or ""
             if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
@@ -150,6 +157,7 @@ class _Lines(HTMLParser):
             self._new_line()
         role = dict(attrs).get("role") if attrs else None
         self.node = _Node(tag, self.node, self._outside(tag, attrs), tag in ("article", "main") or role in ("main", "article"), self.order)
+        self.nodes.append(self.node)
         self.order += 1
         self.links += tag == "a"
 
@@ -173,10 +181,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if self.node.out:
             if self.node.out == NAMED and not self.links:
-                top = self.node
-                while top.parent and top.parent.out == NAMED:
-                    top = top.parent
-                self.left_out[top.order] = self.left_out.get(top.order, 0) + len(data.strip())
+                top = self.node.outermost
+                self.left_out[top] = self.left_out.get(top, 0) + len(data.strip())
             return
         self.stays += len(data.strip()) if not self.links else 0
         if self.line is None:
@@ -209,34 +215,27 @@ def content_threshold(values: np.ndarray, rounds: int = 30) -> float:
     return (low + high) / 2
 
 
-def _above(node: _Node | None):
-    while node:
-        yield node
-        node = node.parent
-
-
-def _region(lines, content) -> _Node | None:
+def _region(lines, content, nodes: list[_Node]) -> _Node | None:
     """The element to keep: chosen by the content clusters' text, of which article and main elements need less."""
-    weight: dict[_Node, int] = {}
-    total = 0
     for (text, _, links, node), good in zip(lines, content, strict=True):
-        own = max(len(text) - links, 0) if good else 0
-        total += own
-        for n in _above(node) if own else ():
-            if n.is_region or n.tag in _CONTAINERS:
-                weight[n] = weight.get(n, 0) + own
+        node.weight += max(len(text) - links, 0) if good else 0
+    for n in reversed(nodes[1:]):  # what an element holds is known before its parent is reached
+        n.parent.weight += n.weight
+    total = nodes[0].weight
     if not total:
         return None
-    outer = lambda n: not any(m.tag == "article" for m in _above(n.parent))  # noqa: E731 - an article inside another is a part of it
-    articles = {n: w for n, w in weight.items() if n.tag == "article" and outer(n)}
+    weight = {n: n.weight for n in nodes if n.weight and (n.is_region or n.tag in _CONTAINERS)}
+    articles = {n: w for n, w in weight.items() if n.tag == "article" and not n.within_article}  # an article inside another is a part of it
     named = [n for n, w in weight.items() if n.is_region and 2 * w > total and (n.tag != "article" or n in articles)]
     chosen = max(named, key=lambda n: n.depth, default=None)
     if chosen is None or chosen in articles:
         parts = [n for n, w in articles.items() if PART * w >= max(articles.values())]
         if len(parts) > 1 and 2 * sum(articles[n] for n in parts) > total:
-            wanted = sum(articles[n] for n in parts)
-            held = lambda n: sum(articles[m] for m in parts if any(a is n for a in _above(m.parent)))
-            return max((n for n in weight if held(n) == wanted), key=lambda n: n.depth)
+            for n in parts:
+                n.parent.held += articles[n]
+            for n in reversed(nodes[1:]):
+                n.parent.held += n.held
+            return max((n for n in weight if n.held == nodes[0].held), key=lambda n: n.depth)
     return chosen or max((n for n, w in weight.items() if w >= MOST * total), key=lambda n: n.depth)
 
 
@@ -252,8 +251,8 @@ def _parsed(html: str, names: bool, unnamed: frozenset = frozenset()) -> _Lines:
     return parser
 
 
-def _lines(html: str, names: bool) -> list[tuple]:
-    """(text, tags, link characters, element) of every line; without ``names`` only tags and roles leave elements out.
+def _lines(html: str, names: bool) -> tuple[list[tuple], list[_Node]]:
+    """(text, tags, link characters, element) of every line, and all elements; without ``names`` only tags and roles leave elements out.
 
     An element that holds more text than all that is left is not what its name says, so its name is not heeded.
     """
@@ -261,23 +260,29 @@ def _lines(html: str, names: bool) -> list[tuple]:
     while parser.left_out and max(parser.left_out.values()) > parser.stays:
         unnamed |= {k for k, n in parser.left_out.items() if n > parser.stays}
         parser = _parsed(html, names, unnamed)
-    return [(text, tags, links, node) for parts, tags, links, node in parser.lines if (text := " ".join("".join(parts).split()))]
+    return [(text, tags, links, node) for parts, tags, links, node in parser.lines if (text := " ".join("".join(parts).split()))], parser.nodes
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks, one a line."""
     if not html:
         return ""
-    lines = _lines(html, True) or _lines(html, False)
+    lines, nodes = _lines(html, True)
+    if not lines:
+        lines, nodes = _lines(html, False)
     if not lines:
         return ""
     ratio = np.array([max(len(text) - links, 0) / tags for text, tags, links, _ in lines], float)
-    even = smoothed(ratio)
+    even = np.round(smoothed(ratio), 9)  # equal lines stay equal
     content = even >= content_threshold(even)
-    region = _region(lines, content)
+    region = _region(lines, content, nodes)
     if region is None:
         return ""
-    return "\n".join(text for text, _, _, node in lines if any(n is region for n in _above(node)))
+    kept = {region}
+    for n in nodes:  # parents come first
+        if n.parent in kept:
+            kept.add(n)
+    return "\n".join(text for text, _, _, node in lines if node in kept)
 
 
 def extracted_text(html: str = "html") -> Column:
