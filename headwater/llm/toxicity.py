@@ -84,7 +84,7 @@ class Lexicon:
     def hits(self, text: str) -> dict[int, float]:
         """Largest weight by position of the word's leading space, outside exception phrases."""
         found: dict[int, float] = {}
-        excepted = []
+        excepted: list[tuple[int, int]] = []
         automaton = self.automaton()
         for end, (length, weight) in automaton.iter(text) if len(automaton) else ():
             start = end - length + 1
@@ -92,10 +92,16 @@ class Lexicon:
                 excepted.append((start, end))
             elif weight > found.get(start, 0):
                 found[start] = weight
-        for start, end in excepted:
-            for at in [k for k in found if start <= k < end]:
-                del found[at]
-        return found
+        if not excepted:
+            return found
+        # one sweep over places and phrases in order
+        covered, phrases, reach, k = set(), sorted(excepted), 0, 0
+        for at in sorted(found):
+            while k < len(phrases) and phrases[k][0] <= at:
+                reach, k = max(reach, phrases[k][1]), k + 1
+            if at < reach:
+                covered.add(at)
+        return {at: weight for at, weight in found.items() if at not in covered}
 
     def vector(self, text: str | None) -> tuple[float, float, float, float]:
         text = folded(text)
