@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FOLDS = 5
+FOLDS, SEED = 5, 11
 
 
 def fold(key: str = "doc_id") -> Column:
@@ -25,13 +25,17 @@ def picked(max_rows: int, rows: int, *keys: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:
-    """(text, label, fold) of labelled rows outside fold 0: all of them, or about ``max_rows`` picked by hash of the id.
+    """(text, label, fold) of labelled rows outside fold 0: all of them, or about ``max_rows`` of them.
 
-    Repeated label rows count once; an id with both labels, or without an id, is not learned from. Only the ids and labels, ``max_rows`` of
-    them at most on average, are sent to every task; texts are not shuffled. Every document row of a picked id is a training row.
+    Repeated label rows count once; an id with both labels, or without an id, is not learned from. Ids are picked by their hash;
+    only they and their labels, about ``max_rows``, are sent to every task; texts are not shuffled. Of the document rows of picked ids, should ids repeat, about ``max_rows``
+    are drawn by chance.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).filter((fold() != 0) & F.col("label").isin(0, 1))
     known = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").select("doc_id", "label")
     chosen = known.filter(picked(max_rows, known.count(), "doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "label", fold().alias("fold"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    found = texts.count()
+    if found > max_rows:
+        texts = texts.filter(F.rand(SEED) < max_rows / found)
+    return texts.select("text", "label", fold().alias("fold"))

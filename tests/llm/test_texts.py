@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headwater.llm import chat, html_text, quality, secrets, sentencepiece, token_counts, toxicity
-from headwater.llm.labelled import fold
+from headwater.llm.labelled import fold, training_rows
 from tests.llm.fixtures import ODD, documents, labels, prose
 
 PATTERNS = [
@@ -353,3 +353,26 @@ def test_pipeline_on_the_small_tables(spark):
         docs = after
     assert docs.filter("n_chars <> length(text)").count() == 0
     assert P.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_pages_inside_a_form_and_deep_pages():
+    page = '<body><form id="aspnetForm"><h1>Title</h1><p>{}</p><div class="sidebar">links</div></form></body>'
+    assert html_text.main_text(page.format("The river rose in spring. " * 5)) == "Title\n" + ("The river rose in spring. " * 5).strip()
+    assert html_text.main_text("<article><p>The river rose.</p><form><p>Leave a reply</p></form></article>") == "The river rose."
+    began = time.process_time()
+    assert html_text.main_text("<body>" + "<font>word " * 100_000).split() == ["word"] * 100_000
+    assert html_text.main_text("<body>" + "<div>word " * 100_000) and time.process_time() - began < 10
+
+
+def test_exceptions_in_a_long_text():
+    lexicon = toxicity.Lexicon({f" k{c}": 1.0 for c in "abcdef"}, [f" k{c} b " for c in "abcdef"])
+    text = toxicity.folded("ka b kc kd b c " * 60_000)
+    began = time.process_time()
+    assert len(lexicon.hits(text)) == 60_000 and time.process_time() - began < 5
+
+
+def test_training_rows_are_bounded_when_a_labelled_id_repeats(spark):
+    docs = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels_ = spark.createDataFrame([(7, 1), (3, 0), (9, 1)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels_, "toxic", 1000)
+    assert 700 < rows.count() < 1300 and rows.count() == rows.count()
