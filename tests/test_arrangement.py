@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headwater.operators import arrangement as A
+from headwater.operators import geometry as G
 from headwater.operators import overlay as O
 
 
@@ -85,3 +86,20 @@ def test_a_place_on_a_line_and_vertices_on_the_way():
             return hits % 2
 
         assert change == inside(end) - inside(start), seed
+
+
+def test_centre_of_overlapping_layers(spark):
+    squares = [[(0, 0), (2, 0), (2, 2), (0, 2)], [(0, 0), (2, 0), (2, 2), (0, 2)], [(4, 0), (6, 0), (6, 2), (4, 2)], [(4.5, 0.5), (5, 0.5), (5, 1), (4.5, 1)]]
+    r = G.union_planar(frame(spark, np.concatenate([ring_edges(s) for s in squares])), "k").first()
+    assert (r["cx"], r["cy"], r["planar_area"]) == pytest.approx((3, 1, 8)) and (r["west"], r["east"]) == (0, 6)
+
+
+def test_large_unions_are_dissolved_by_joins(spark, monkeypatch):
+    edges = random_edges(5, 30, "lattice")
+    rows = frame(spark, edges).union(frame(spark, ring_edges([(0, 0), (1, 0), (1, 1), (0, 1)]), 1))
+    small = {r["k"]: r["geom"] for r in G.dissolve(rows, "k").collect()}
+    monkeypatch.setattr(G, "WHOLE", 20)
+    large = {r["k"]: r["geom"] for r in G.dissolve(rows, "k").collect()}
+    edges_of = lambda geom: sorted(sorted((p["x"], p["y"], q["x"], q["y"]) for p, q in zip(r[:-1], r[1:], strict=True)) for polygon in geom for r in polygon)
+    assert set(small) == set(large) == {0, 1} and all(sorted(len(p) for p in small[k]) == sorted(len(p) for p in large[k]) for k in small)
+    assert [edges_of(small[k]) for k in (0, 1)] == [edges_of(large[k]) for k in (0, 1)]
