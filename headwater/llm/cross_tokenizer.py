@@ -17,10 +17,12 @@ tokens: zeros, and no groups. Repeated rows count again; null and repeated ids a
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .scratch import local_path, materialize
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a run, windows a worker remembers, tokens of a window that is remembered, bytes of texts aligned together, pairs sent to every task.
 SEGMENT, MEMORY, REMEMBERED, SLICE, KNOWN = 1 << 18, 300_000, 64, 1 << 20, 1 << 20
+#: How a byte-level vocabulary splits texts before it merges; a fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PAIRED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, {groups} string, a array<int>, b array<int>, times array<int>"
 
 
@@ -49,26 +53,47 @@ class Tokens:
     def __init__(self, pieces: list[bytes]):
         self.bytes = pieces
         self.size = np.array([len(p) for p in pieces], np.int64)
-        self.sizes = self.size.tolist()
         self.spaced = np.array([p[:1] == b" " for p in pieces], bool)
+        self._flat, self._first = np.frombuffer(b"".join(pieces), np.uint8), (np.cumsum(self.size) - self.size).astype(np.int32)
+
+    def joined(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes that each of several lists of ids stands for."""
+        every = np.concatenate(ids)
+        size = self.size[every].astype(np.int32)
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = self._flat[np.repeat(self._first[every] - (ends - size), size) + np.arange(total)].tobytes()
+        at = np.r_[0, ends][np.cumsum([0, *map(len, ids)])].tolist()
+        return [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 class ByteLevel:
-    """Tokenizer A, a byte-level vocabulary with merges (JSON); texts get a space in front."""
+    """Tokenizer A, a byte-level vocabulary with merges (JSON); texts get a space in front.
+
+    Where the file's entries in order of their ids are its merges in order, as a probe of all entries tells, a faster encoder of the same vocabulary is used.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(local_path(path))
         self.tokenizer.encode_special_tokens = True
         letters, vocabulary = byte_letters(), self.tokenizer.get_vocab(with_added_tokens=True)
-        pieces = [b""] * (max(vocabulary.values()) + 1)
+        pieces, special = [b""] * (max(vocabulary.values()) + 1), {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         for token, i in vocabulary.items():
             pieces[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.tokens = Tokens(pieces)
+        ranks = {pieces[i]: i for token, i in vocabulary.items() if token not in special}
+        self.fast = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        probe = "".join(p.decode("utf-8", "ignore") for p in pieces)
+        if self.fast.encode_ordinary(probe) != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            self.fast = None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.fast:
+            return [np.array(self.fast.encode_ordinary(" " + t), np.int32) for t in texts]
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
@@ -102,40 +127,47 @@ class Aligner:
     def __init__(self, a: Tokens, b: Tokens):
         self.a, self.b = a, b
         self.memory: dict[tuple[bytes, bytes], tuple[str, bytes, int]] = {}
+        #: An id as text with what comes after it: within its group, and at the end of its side of a group.
+        self.shown = [f"{i}{end}" for tokens, last in ((a, "|"), (b, ";")) for i in range(len(tokens.bytes)) for end in (",", last)]
 
-    def window(self, a: list[int], b: list[int]) -> tuple[str, bytes, int]:
-        """(groups as text, linked pairs as 32-bit numbers, groups) of two id lists that stand for the same bytes."""
-        groups, links, i, j, end_a, end_b, first_a, first_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b and i < len(a):
-                end_a += self.a.sizes[a[i]]
-                i += 1
-            else:
-                end_b += self.b.sizes[b[j]]
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                links += (a[i - 1], b[j - 1])
-                first_a, first_b = i, j
-        return ";".join(groups), np.array(links, np.int32).tobytes(), len(groups)
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[str, bytes, int]]:
-        """The aligned windows of a run, in order."""
+    def windows(self, a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """The id tuples of a run's windows, in order."""
         ends = [np.cumsum(t.size[ids]) for t, ids in ((self.a, a), (self.b, b))]
         before = [end[:-1][t.spaced[ids[1:]]] for end, t, ids in zip(ends, (self.a, self.b), (a, b), strict=True)]
         anchors = np.intersect1d(*before, assume_unique=True)  # ends of both before space-marked tokens of both
         at_a, at_b = ([0, *(4 * (np.searchsorted(end, anchors) + 1)).tolist(), 4 * len(ids)] for end, ids in zip(ends, (a, b), strict=True))
-        raw_a, raw_b, memory, out = a.tobytes(), b.tobytes(), self.memory, []
-        for i, m, j, n in zip(at_a[:-1], at_a[1:], at_b[:-1], at_b[1:], strict=True):
-            key = (raw_a[i:m], raw_b[j:n])
-            found = memory.get(key)
-            if found is None:
-                found = self.window(a[i // 4 : m // 4].tolist(), b[j // 4 : n // 4].tolist())
-                if m - i <= 4 * REMEMBERED:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[key] = found
-            out.append(found)
+        raw_a, raw_b = a.tobytes(), b.tobytes()
+        return [(raw_a[i:m], raw_b[j:n]) for i, m, j, n in zip(at_a[:-1], at_a[1:], at_b[:-1], at_b[1:], strict=True)]
+
+    def align(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes, int]]:
+        """(groups as text, linked pairs as 32-bit numbers, groups) of windows: as both sides of a window have the same bytes, they are one run with known cuts."""
+        if not windows:
+            return []
+        sides, ends = [np.frombuffer(b"".join(w[k] for w in windows), np.int32) for k in (0, 1)], []
+        for t, ids in zip((self.a, self.b), sides, strict=True):
+            ends.append(np.cumsum(t.size[ids]))
+        shared = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(shared, end) for end in ends]
+        last = [shared[g] == end for g, end in zip(group, ends, strict=True)]
+        links = np.column_stack([ids[at] for ids, at in zip(sides, last, strict=True)]).astype(np.int32)
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        named = np.concatenate([2 * sides[0].astype(np.int64) + last[0], 2 * (len(self.a.bytes) + sides[1].astype(np.int64)) + last[1]])
+        texts = list(map(self.shown.__getitem__, named[order].tolist()))
+        counts = [np.cumsum([len(w[k]) // 4 for w in windows]) for k in (0, 1)]
+        at = [0, *(counts[0] + counts[1]).tolist()]
+        groups = [0, *(group[0][counts[0] - 1] + 1).tolist()]
+        raw = links.tobytes()
+        return [("".join(texts[i:j])[:-1], raw[8 * m : 8 * n], n - m) for i, j, m, n in zip(at[:-1], at[1:], groups[:-1], groups[1:], strict=True)]
+
+    def aligned(self, runs: list[list[tuple[bytes, bytes]]]) -> list[list[tuple[str, bytes, int]]]:
+        """``align`` of the windows of all runs, each distinct one once, and none that is remembered."""
+        memory = self.memory
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(runs)) if w not in memory]
+        new = dict(zip(fresh, self.align(fresh), strict=True))
+        out = [[new[w] if w in new else memory[w] for w in run] for run in runs]
+        if len(memory) + len(new) > MEMORY:
+            memory.clear()
+        memory.update((w, new[w]) for w in fresh[:MEMORY] if len(w[0]) <= 4 * REMEMBERED)
         return out
 
 
@@ -153,12 +185,13 @@ def aligned_texts(texts: list[str], path_a: str, path_b: str) -> list[tuple[int,
     parts = [runs(t, SEGMENT) if t else [] for t in texts]
     flat = [p for own in parts for p in own]
     ids = list(zip(flat, a.encode(flat), b.encode(flat), strict=True)) if flat else []
-    out, at = [], 0
+    given = [b" " + t.encode() for t in flat]
+    same = [x == y == z for x, y, z in zip(given, a.tokens.joined([x for _, x, _ in ids]), b.tokens.joined([y for *_, y in ids]), strict=True)] if ids else []
+    done, out, at = aligner.aligned([aligner.windows(x, y) if ok else [] for (_, x, y), ok in zip(ids, same, strict=True)]), [], 0
     for own in parts:
-        mine, at = ids[at : at + len(own)], at + len(own)
-        same = all(b"".join(map(t.bytes.__getitem__, x[k].tolist())) == b" " + x[0].encode() for x in mine for k, t in ((1, a.tokens), (2, b.tokens)))
-        windows = [w for _, x, y in mine for w in aligner.windows(x, y)] if same else []
-        if not windows:
+        mine, windows, ok = ids[at : at + len(own)], [w for run in done[at : at + len(own)] for w in run], all(same[at : at + len(own)])
+        at += len(own)
+        if not windows or not ok:
             out.append((0, 0, 0, "", np.zeros((0, 2), np.int32)))
             continue
         links = np.frombuffer(b"".join(w[1] for w in windows), np.int32).reshape(-1, 2)
@@ -174,6 +207,13 @@ def align_tokenizers(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str
     """
 
     def run(batches):
+        gc.disable()  # millions of small tuples and no cycles
+        try:
+            yield from align(batches)
+        finally:
+            gc.enable()
+
+    def align(batches):
         for batch in batches:
             raw, offsets = text_buffers(batch.column(2))
             for first, last in slices(offsets, SLICE):

@@ -93,17 +93,32 @@ def test_runs_give_the_ids_of_the_whole():
             assert [i for ids in tokenizer.encode(parts) for i in ids.tolist()] == tokenizer.encode([text])[0].tolist()
 
 
+def test_the_faster_encoder_gives_the_same_ids():
+    a, _, _ = X._tools(X.BYTE_LEVEL, X.PIECES)
+    assert a.fast
+    every = [chr(c) for c in range(0x20, 0x11000) if not 0xD800 <= c < 0xE000]
+    texts = [t for t in TEXTS if t] + [f"a{c}b 1{c}2 {c} {c}{c}'s" for c in every[::7]]
+    want = a.encode(texts)
+    a.fast, fast = None, a.fast
+    try:
+        assert [x.tolist() for x in a.encode(texts)] == [x.tolist() for x in want]
+    finally:
+        a.fast = fast
+
+
 def test_windows_are_remembered_and_forgotten(monkeypatch):
     a, b, _ = X._tools(X.BYTE_LEVEL, X.PIECES)
     text = "the river stone and the river stone and the cloud"
     ids = a.encode([text])[0], b.encode([text])[0]
     aligner = X.Aligner(a.tokens, b.tokens)
-    whole_text = aligner.windows(*ids)
-    assert len(whole_text) == 10 and len(aligner.memory) == 5
+    windows = aligner.windows(*ids)
+    (found,) = aligner.aligned([windows])
+    assert len(windows) == 10 and len(aligner.memory) == 5 and aligner.aligned([windows[3:], []]) == [found[3:], []]
     monkeypatch.setattr(X, "MEMORY", 2)
     again = X.Aligner(a.tokens, b.tokens)
-    assert again.windows(*ids) == whole_text and len(again.memory) <= 2
-    assert X.Aligner(a.tokens, b.tokens).window(ids[0].tolist(), ids[1].tolist())[0] == ";".join(w[0] for w in whole_text)
+    assert again.aligned([windows]) == [found] and again.aligned([windows[:1], windows]) == [found[:1], found] and len(again.memory) <= 2
+    whole_run = aligner.align([(ids[0].tobytes(), ids[1].tobytes())])
+    assert whole_run[0] == (";".join(w[0] for w in found), b"".join(w[1] for w in found), sum(w[2] for w in found))
 
 
 def test_odd_tables(spark):
