@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.operators.geometry import GEOMETRY
+from headwater.sources.json_splits import collection
 
 _RINGS = "array<array<array<double>>>"
 
@@ -29,16 +30,22 @@ def geometry_json(geom: Column | str) -> Column:
 
 
 def read_geojson(spark: SparkSession, path: str | Path) -> DataFrame:
-    """(ord, feature_id, properties, kind, geom): features in document order. ``properties`` maps names to JSON texts."""
+    """(ord, feature_id, properties, kind, geom): features in document order. ``properties`` maps names to JSON texts.
+
+    A collection is read by a task a split of its file; a document of one feature or geometry by one task.
+    """
+    document, found = collection(spark, str(path))
+    if isinstance(document, dict) and document.get("type") == "FeatureCollection":
+        if document.get("crs"):
+            raise ValueError(f"{path}: a legacy crs member is not supported")
+        return parsed_features(found)
     text = spark.read.text(str(path), wholetext=True).select(F.col("value"))
     top = text.select("value", F.get_json_object("value", "$.type").alias("type"), F.get_json_object("value", "$.crs").alias("crs"))
     if (row := top.select("type", "crs").first()) is None or row["type"] is None:
         raise ValueError(f"{path}: not a GeoJSON document")
     if row["crs"] not in (None, "null", "{}", "", "false", "0", "[]"):
         raise ValueError(f"{path}: a legacy crs member is not supported")
-    if row["type"] == "FeatureCollection":
-        features = top.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("ord", "feature"))
-    elif row["type"] == "Feature":
+    if row["type"] == "Feature":
         features = top.select(F.lit(0).alias("ord"), F.col("value").alias("feature"))
     else:
         features = top.select(F.lit(0).alias("ord"), F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("value"), F.lit("}")).alias("feature"))
