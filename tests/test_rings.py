@@ -43,7 +43,7 @@ def test_rings_and_holes_match_walking(spark, monkeypatch, seed, share, chunk):
 def test_nested_holes_and_touching_rings(spark):
     def around(ring, hole):
         r = np.array(square(*ring), float)
-        r = r[::-1] if hole else r
+        r = r[::-1] if (O.signed_area(r) > 0) == hole else r
         return np.hstack([r[:-1], r[1:]])
 
     # a shell with a hole in which an island with a hole lies, and two holes side by side; then a hole that touches its shell
