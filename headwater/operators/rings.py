@@ -1,8 +1,8 @@
 """Rings and polygons from directed boundary edges, by list ranking instead of walking: no task holds a ring.
 
 Every edge finds the one after it at its end, by angle. Edges are dealt to tasks by place (Morton order), where those that follow each other
-within a task become paths; only paths, a small share of the edges, go on. Pointer doubling on the paths finds for each the least path of its
-ring and how far it is to the ring's end, and so the place of every edge in its ring. Rings that pass a vertex more than once
+within a task become paths; only paths, a small share of the edges, go on, and are contracted in turn. If that stops helping, pointer doubling finds for each
+path the least path of its ring and how far it is to the ring's end. Rings that pass a vertex more than once
 are cut there (each part gets the edge that follows in it) and ranked again.
 
 Holes belong to the shell of their own boundary walk if there is one, else to what lies next to their leftmost vertex on the left: the shell of
@@ -48,8 +48,11 @@ def _morton(bounds) -> list:
     return spread("x", x0, x1).bitwiseOR(F.shiftleft(spread("y", y0, y1), 1))
 
 
-def paths(edge: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(path, place in it, is it the last of it?) of edges and the edges that follow them: maximal paths among these, named by their first edge; a whole ring begins at its least edge."""
+def paths(edge: np.ndarray, follows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(path, place in it, is it the last of it?) of edges and the edges that follow them: maximal paths among these, named by their first edge; a whole ring begins at its least edge.
+
+    An edge takes ``size`` places.
+    """
     order = np.argsort(edge)
     at = np.minimum(np.searchsorted(edge, follows, sorter=order), len(edge) - 1)
     there = order[at]
@@ -66,35 +69,62 @@ def paths(edge: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray
             seen[k] = 1
             walk.append(k)
             k = steps[k]
-        path[walk], place[walk] = edge[first], np.arange(len(walk))
+        path[walk], place[walk] = edge[first], np.cumsum(size[walk]) - size[walk]
         last[walk[-1]] = True
     return path, place, last
 
 
+def _contracted(items: DataFrame, n: int, bounds) -> DataFrame:
+    """(edge, path, place, further, x, y, size) of ``n`` rows (edge, next, x, y, size): those that follow each other within a task as paths.
+
+    The last row of a path has what follows it, its end and its size; the others have nulls.
+    """
+
+    def chain(batches):
+        held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if held:
+            table = pa.concat_tables(held)
+            edge, follows, size = (table.column(c).to_numpy() for c in ("edge", "next", "size"))
+            path, place, last = paths(edge, follows, size)
+            ends = [pa.array(table.column(c).to_numpy(), mask=~last) for c in ("x", "y")]
+            whole = pa.array(place + size, mask=~last)
+            yield pa.RecordBatch.from_arrays([pa.array(edge), pa.array(path), pa.array(place), pa.array(follows, mask=~last), *ends, whole], ["edge", "path", "place", "further", "x", "y", "size"])
+
+    tasks = n // CHUNK + 1
+    near = items.coalesce(1) if tasks == 1 else items.withColumn("z", _morton(bounds)).repartitionByRange(tasks, "z", "edge")
+    return near.select("edge", "next", "x", "y", "size").mapInArrow(chain, "edge long, path long, place long, further long, x double, y double, size long")
+
+
 def ranked(links: DataFrame) -> DataFrame:
-    """(edge, ring, seq, n) of a table of (edge, next, x, y): each edge's ring (named by a path of it), its place in the ring, and the ring's edges."""
-    links = cut(links.select("edge", "next", "x", "y"))
+    """(edge, ring, seq, n) of a written table of (edge, next, x, y): each edge's ring (named by a path of it), its place in the ring, and the ring's edges.
+
+    Edges that follow each other in a task become paths, and these again, until CHUNK are left at most and one task has them all. Should a step leave more than half (places
+    that tell nothing about what follows), the rest is ranked by pointer doubling.
+    """
     n, missing, *bounds = links.agg(F.count("*"), F.count_if(F.col("next").isNull()), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if missing:
         raise ValueError("boundary edges do not close")
     if not n:
         return links.select("edge", F.col("edge").alias("ring"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("n"))
-
-    def chain(batches):
-        held = [(b.column("edge").to_numpy(), b.column("next").to_numpy()) for b in batches if b.num_rows]
-        if held:
-            edge, follows = (np.concatenate(c) for c in zip(*held, strict=True))
-            path, place, last = paths(edge, follows)
-            yield pa.RecordBatch.from_arrays([pa.array(edge), pa.array(path), pa.array(place), pa.array(np.where(last, follows, 0), mask=~last)], ["edge", "path", "place", "further"])
-
-    near = links.withColumn("z", _morton(bounds)).repartitionByRange(n // CHUNK + 1, "z", "edge")
-    placed = cut(near.select("edge", "next").mapInArrow(chain, "edge long, path long, place long, further long"))
-    # a path goes on with the first edge of another one, or of itself
-    chains = placed.filter("further is not null").select("path", F.col("further").alias("to"), (F.col("place") + 1).alias("length"))
-    alone = chains.filter("path = to").select("path", F.col("path").alias("ring"), F.lit(0).cast("long").alias("start"), F.col("length").alias("n"))
-    broken = chains.filter("path <> to")
-    starts = cut(alone.unionByName(_path_ranks(cut(broken.coalesce(broken.count() // CHUNK + 1)))))  # few, so in few tasks
-    return placed.join(starts, "path").select("edge", "ring", (F.col("start") + F.col("place")).alias("seq"), "n")
+    items, levels, starts = links.select("edge", "next", "x", "y", F.lit(1).cast("long").alias("size")), [], None
+    while starts is None:
+        placed = cut(_contracted(items, n, bounds))
+        # a path goes on with the first edge of another one, or of itself
+        ends = placed.filter("further is not null").select(F.col("path").alias("edge"), F.col("further").alias("next"), "x", "y", "size")
+        levels.append((placed.select("edge", "path", "place"), ends.filter("edge = next").select(F.col("edge").alias("path"), F.col("edge").alias("ring"), F.lit(0).cast("long").alias("start"), F.col("size").alias("n"))))
+        items, before = ends.filter("edge <> next"), n
+        n = items.count()
+        if not n:
+            starts = levels[-1][1]
+        elif 2 * n > before:
+            rest = items.select(F.col("edge").alias("path"), F.col("next").alias("to"), F.col("size").alias("length"))
+            starts = cut(levels[-1][1].unionByName(_path_ranks(cut(rest.coalesce(n // CHUNK + 1)))))
+    for k in range(len(levels) - 1, -1, -1):
+        placed, _ = levels[k]
+        found = placed.join(starts, "path").select("edge", "ring", (F.col("start") + F.col("place")).alias("seq"), "n")
+        if k:
+            starts = levels[k - 1][1].unionByName(found.select(F.col("edge").alias("path"), "ring", F.col("seq").alias("start"), "n"))
+    return found
 
 
 def _path_ranks(chains: DataFrame) -> DataFrame:
@@ -139,7 +169,7 @@ def ring_edges(boundary: DataFrame, *keys: str) -> DataFrame:
     again = pinched.select("ring", F.pmod(F.col("seq") - 1, F.col("n")).alias("seq"), earlier.alias("instead"))
     touched = found.join(crowded.select("ring").distinct(), "ring", "left_semi")
     mended = touched.join(again, ["ring", "seq"], "left").select("edge", "instead").join(links, "edge").select("edge", F.coalesce("instead", "next").alias("next"), "x", "y")
-    parts = ranked(mended)
+    parts = ranked(cut(mended))
     once = found.join(crowded.select("ring").distinct(), "ring", "left_anti").withColumn("walk", F.col("ring"))
     return once.unionByName(touched.select(*keys, "edge", *_LINE, F.col("ring").alias("walk")).join(parts, "edge").select(*once.columns))
 

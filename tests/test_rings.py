@@ -71,6 +71,19 @@ def test_a_long_ring_in_many_tasks(spark, monkeypatch):
     assert m["area"] == pytest.approx(O.signed_area(ring), rel=1e-9)
 
 
+def test_places_that_tell_nothing_are_ranked_by_doubling(spark, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", 20)
+    rng = np.random.default_rng(1)
+    order = rng.permutation(300)
+    follows = np.empty(300, int)
+    for part in (order[:180], order[180:290], order[290:]):
+        follows[part] = np.roll(part, -1)
+    rows = [(k, int(follows[k]), *map(float, rng.random(2))) for k in range(300)]
+    got = {r["edge"]: r for r in R.ranked(spark.createDataFrame(rows, "edge long, next long, x double, y double")).collect()}
+    assert len(got) == 300 and sorted({(r["ring"], r["n"]) for r in got.values()}, key=lambda x: x[1]) == sorted({(got[int(p[0])]["ring"], len(p)) for p in (order[290:], order[180:290], order[:180])}, key=lambda x: x[1])
+    assert all(got[f]["ring"] == got[k]["ring"] and got[f]["seq"] == (got[k]["seq"] + 1) % got[k]["n"] for k, f, *_ in rows)
+
+
 def test_open_lines_are_refused_and_no_edges_give_nothing(spark):
     rows = frame(spark, [(0, 0, 1, 0), (1, 0, 1, 1)])
     with pytest.raises(ValueError):
