@@ -277,6 +277,22 @@ def test_fingerprints_are_those_of_byte_windows(spark, monkeypatch):
         assert rows[k] == list(dict.fromkeys(min(h[i : i + W.WINDOW]) for i in range(max(len(h) - W.WINDOW, 0) + 1))) if b else rows[k] == []
 
 
+@pytest.mark.parametrize("block", [50, 4096])
+def test_only_the_seam_of_an_edited_text_is_hashed(spark, monkeypatch, block):
+    monkeypatch.setattr(W, "_BLOCK", block)
+    texts = ["a" * 300, "a" * 301, prose(1, 90), "ΑΣ" * 200, "ΑΣΣ" * 70 + "  ", "  Σα " + prose(4, 50), *[prose(k, 20)[: 90 + k] for k in range(20)], prose(3, 400), "tiny", prose(9, 700), "", None, "q " * 90, "İ\u0307 " * 60]
+    docs = documents(spark, texts)
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("more "), "text", "text")))
+    rows = W.fingerprint_edits(docs).select("doc_id", "edited_fingerprint", W.winnow("edited").alias("anew")).collect()
+    assert len(rows) == docs.count() and all(r["edited_fingerprint"] == r["anew"] for r in rows)
+
+    left, right = prose(1, 500), prose(2, 300)
+    one = spark.createDataFrame([(left + " and more", left + right, right)], "b string, e string, tail string").select(*[F.col(c).cast("binary").alias(c) for c in ("b", "e", "tail")])
+    (r,) = one.select(W.fresh_windows(F.col("e"), F.col("b"), F.col("tail")).alias("x"), W.shared_start(F.col("e"), F.col("b")).alias("n")).collect()
+    reach = W.K + W.WINDOW - 1
+    assert r["n"] == len(left) and tuple(r["x"]) == (len(left) - reach, len(left), True, True)
+
+
 def test_short_and_unspaced_texts_are_like_their_edits(spark):
     rng = random.Random(8)
     texts = [prose(1, 14), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)), "".join(rng.choice("abcdefghijklmnop") for _ in range(2000))]
