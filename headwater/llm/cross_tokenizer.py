@@ -1,15 +1,15 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers end together, and how often an id of one is linked with an id of the other.
 
-Every text is tokenised whole by both. Ends that both have before tokens that begin with a space, verified by their byte offsets, are anchors: they
-cut a text into windows of about a word each. What a window's alignment looks like follows from its ids alone, so windows are aligned once
-and remembered by their two id tuples. Within a window, byte offsets where both have an end cut groups of tokens; the last tokens of a group are a link.
+Every text is tokenised whole by both, in the words between its single spaces: no token of either tokenizer goes across one that has a word character
+or visible ASCII on both sides (A splits before it, B has no piece with a mark inside), so the ids of a word are those it has in its text. A word's ids
+and their alignment are found once and remembered. Where other spaces are left in a word, ends that both tokenizers have before tokens that begin with a space are
+anchors that cut it into windows, remembered by their two id tuples. Byte offsets where both have an end cut groups of tokens; the last tokens of a group are a link.
 
 Links are counted over all rows: each task adds up the pairs of its rows, then pairs are summed by key. The counts of the KNOWN most frequent
 pairs at most are sent to every task, which is nearly all links; rarer pairs, if there are more, meet their counts by a join, so no
 pair is left out. The best count of each id of B is one row an id of its vocabulary.
 
-Texts beyond SEGMENT characters are tokenised in runs that are cut at a single space between two word characters. No token of either
-tokenizer goes across such a place (A splits before it, B has no piece with a mark inside), so the ids are those of the whole, and memory is that of a run.
+Texts beyond SEGMENT characters are taken in runs that are cut at a single space between two word characters, so memory is that of a run.
 
 Defined results: null and empty texts, and texts that one of the tokenizers changes (joined token bytes other than a space and the text), have no
 tokens: zeros, and no groups. Repeated rows count again; null and repeated ids are rows like others. Other columns are left out, whatever their names.
@@ -21,6 +21,7 @@ import gc
 import hashlib
 import os
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
@@ -33,10 +34,12 @@ from .bytewords import slices, text_buffers
 from .scratch import local_path, materialize
 
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a run, windows a worker remembers, tokens of a window that is remembered, bytes of texts aligned together, pairs sent to every task.
+#: Characters of a run, words and windows a worker remembers, tokens of one that is remembered, bytes of texts aligned together, pairs sent to every task.
 SEGMENT, MEMORY, REMEMBERED, SLICE, KNOWN = 1 << 18, 300_000, 64, 1 << 20, 1 << 20
 #: How a byte-level vocabulary splits texts before it merges; a fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A single space that no token of either tokenizer goes across.
+_BETWEEN = re.compile(r" (?<=[\w!-~] )(?=[\w!-~])")
 _PAIRED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, {groups} string, a array<int>, b array<int>, times array<int>"
 
 
@@ -171,6 +174,43 @@ class Aligner:
         return out
 
 
+class Words:
+    """Words with the ids of both tokenizers, aligned; remembers those it has met, and forgets those not met for longest."""
+
+    def __init__(self, a: ByteLevel, b: Pieces, aligner: Aligner):
+        self.a, self.b, self.aligner = a, b, aligner
+        self.recent: dict[str, tuple[int, int, str | None, bytes]] = {}
+        self.older: dict[str, tuple[int, int, str | None, bytes]] = {}
+
+    def encode(self, words: list[str]) -> list[tuple[int, int, str | None, bytes]]:
+        """(tokens of A, tokens of B, groups as text, linked pairs as 32-bit numbers) of words; no groups (None) where one of the tokenizers changes a word."""
+        if not words:
+            return []
+        left, right = self.a.encode(words), self.b.encode(words)
+        both = zip(words, self.a.tokens.joined(left), self.b.tokens.joined(right), strict=True)
+        same = [b" " + w.encode() == x == y for w, x, y in both]
+        out: list[tuple[int, int, str | None, bytes]] = [(len(x), len(y), None, b"") for x, y in zip(left, right, strict=True)]
+        plain = [k for k, w in enumerate(words) if same[k] and " " not in w]
+        for k, (groups, links, _) in zip(plain, self.aligner.align([(left[k].tobytes(), right[k].tobytes()) for k in plain]), strict=True):
+            out[k] = (*out[k][:2], groups, links)
+        spaced = [k for k, w in enumerate(words) if same[k] and " " in w]
+        for k, found in zip(spaced, self.aligner.aligned([self.aligner.windows(left[k], right[k]) for k in spaced]), strict=True):
+            out[k] = (*out[k][:2], ";".join(w[0] for w in found), b"".join(w[1] for w in found))
+        return out
+
+    def learned(self, words: Iterable[str]) -> dict[str, tuple[int, int, str | None, bytes]]:
+        """``encode`` of all distinct words by word, and only of those not remembered anew."""
+        own = dict.fromkeys(words)
+        for word in own:
+            own[word] = self.recent.get(word) or self.older.get(word)
+        fresh = [word for word, known in own.items() if not known]
+        own.update(zip(fresh, self.encode(fresh), strict=True))
+        if len(self.recent) + len(own) > MEMORY // 2:
+            self.older, self.recent = self.recent, {}
+        self.recent.update(x for x in own.items() if x[1][0] <= REMEMBERED)
+        return own
+
+
 @lru_cache(maxsize=2)
 def _tools(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces, Aligner]:
     a, b = ByteLevel(path_a), Pieces(path_b)
@@ -179,23 +219,30 @@ def _tools(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces, Aligner]:
     return a, b, Aligner(a.tokens, b.tokens)
 
 
+@lru_cache(maxsize=2)
+def _words(path_a: str, path_b: str) -> Words:
+    return Words(*_tools(path_a, path_b))
+
+
 def aligned_texts(texts: list[str], path_a: str, path_b: str) -> list[tuple[int, int, int, str, np.ndarray]]:
     """(tokens of A, tokens of B, groups, groups as text, pairs of linked ids) of every text; no tokens where one of the tokenizers changes a text."""
-    a, b, aligner = _tools(path_a, path_b)
-    parts = [runs(t, SEGMENT) if t else [] for t in texts]
-    flat = [p for own in parts for p in own]
-    ids = list(zip(flat, a.encode(flat), b.encode(flat), strict=True)) if flat else []
-    given = [b" " + t.encode() for t in flat]
-    same = [x == y == z for x, y, z in zip(given, a.tokens.joined([x for _, x, _ in ids]), b.tokens.joined([y for *_, y in ids]), strict=True)] if ids else []
-    done, out, at = aligner.aligned([aligner.windows(x, y) if ok else [] for (_, x, y), ok in zip(ids, same, strict=True)]), [], 0
-    for own in parts:
-        mine, windows, ok = ids[at : at + len(own)], [w for run in done[at : at + len(own)] for w in run], all(same[at : at + len(own)])
-        at += len(own)
-        if not windows or not ok:
+    words, out = _words(path_a, path_b), []
+    parts = [(k, p) for k, t in enumerate(texts) if t for p in runs(t, SEGMENT)]
+    found: list[list[tuple[int, int, str | None, bytes]]] = [[] for _ in texts]
+    ends = np.cumsum([len(p) for _, p in parts])
+    for own in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(ends // SLICE)) + 1):  # runs of about a slice
+        cut = [_BETWEEN.split(parts[k][1]) for k in own]
+        known = words.learned(chain.from_iterable(cut))
+        for k, run in zip(own, cut, strict=True):
+            n_a, n_b, groups, links = zip(*map(known.__getitem__, run), strict=True)
+            found[parts[k][0]].append((sum(n_a), sum(n_b), None if None in groups else ";".join(groups), b"".join(links)))
+    for mine in found:
+        if not mine or any(groups is None for _, _, groups, _ in mine):
             out.append((0, 0, 0, "", np.zeros((0, 2), np.int32)))
             continue
-        links = np.frombuffer(b"".join(w[1] for w in windows), np.int32).reshape(-1, 2)
-        out.append((sum(len(x) for _, x, _ in mine), sum(len(y) for *_, y in mine), sum(w[2] for w in windows), ";".join(w[0] for w in windows), links))
+        n_a, n_b, groups, raw = zip(*mine, strict=True)
+        links = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2)
+        out.append((sum(n_a), sum(n_b), len(links), ";".join(groups), links))
     return out
 
 

@@ -93,6 +93,39 @@ def test_runs_give_the_ids_of_the_whole():
             assert [i for ids in tokenizer.encode(parts) for i in ids.tolist()] == tokenizer.encode([text])[0].tolist()
 
 
+def test_words_give_the_ids_of_the_whole():
+    every = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000]
+    texts = [t for t in TEXTS if t] + [f"{x} {y}" for x in every[:0x80] for y in every[:0x80]] + [f"a{c} {c}b {c} {c}c  {c}" for c in every[0x80::7]]
+    a, b, _ = X._tools(X.BYTE_LEVEL, X.PIECES)
+    cut = [X._BETWEEN.split(t) for t in texts]
+    assert all(" ".join(words) == t for words, t in zip(cut, texts, strict=True)) and sum(len(words) > 1 for words in cut) > 8000
+    for tokenizer in (a, b):
+        whole, ids = tokenizer.encode(texts), iter(tokenizer.encode([w for words in cut for w in words]))
+        parts = [[i for _ in words for i in next(ids).tolist()] for words in cut]
+        changed = [b" " + t.encode() != joined for t, joined in zip(texts, tokenizer.tokens.joined(whole), strict=True)]
+        odd = [k for k, x in enumerate(whole) if x.tolist() != parts[k]]
+        assert all(changed[k] for k in odd)
+        # what is changed as a whole is changed in one of its words
+        words = [w for k in odd for w in cut[k]]
+        raw = iter(tokenizer.tokens.joined(tokenizer.encode(words)) if words else [])
+        assert all([any([b" " + w.encode() != next(raw) for w in cut[k]]) for k in odd])
+
+
+def test_words_are_tokenised_once_and_forgotten_when_not_met(monkeypatch):
+    X._words.cache_clear()
+    words = X._words(X.BYTE_LEVEL, X.PIECES)
+    asked = []
+    encode = words.a.encode
+    monkeypatch.setattr(words.a, "encode", lambda texts: asked.extend(texts) or encode(texts))
+    text = "river stone, (water) river ▁ river river stone, end" + " river (water)" * 500
+    (bad, good) = X.aligned_texts([text, text.replace(" ▁", "")], X.BYTE_LEVEL, X.PIECES)
+    assert sorted(asked) == ["(water)", "end", "river", "river ▁ river", "stone,"] and bad[0] == 0 and good[0] > 1000 and len(good[4]) == good[2]
+    monkeypatch.setattr(X, "MEMORY", 6)
+    for k in range(40):
+        assert X.aligned_texts([f"river w{k} stone,"], X.BYTE_LEVEL, X.PIECES)[0][0] > 3
+    assert asked.count("river") == 1 and asked.count("stone,") == 1 and len(words.recent) + len(words.older) <= 8
+
+
 def test_the_faster_encoder_gives_the_same_ids():
     a, _, _ = X._tools(X.BYTE_LEVEL, X.PIECES)
     assert a.fast
