@@ -54,7 +54,8 @@ class _Net:
     """The derived network's shared tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.units, self.projects = D.units(spark, sf_dir), D.projects(spark, sf_dir)
+        # written, so that joins know how few projects there are to the units
+        self.units, self.projects = D.units(spark, sf_dir), cut(D.projects(spark, sf_dir))
         self.links = N.effective_downstream(self.units)
         self.nearest = N.nearest_project(self.links, self.projects)
 
@@ -182,14 +183,14 @@ def unit_edges(spark, sf_dir):
 e AS (SELECT id, x AS ax, y AS ay, x + 1 AS bx, y AS b_y FROM c UNION ALL SELECT id, x, y + 1, x + 1, y + 1 FROM c UNION ALL SELECT id, x, y, x, y + 1 FROM c UNION ALL SELECT id, x + 1, y, x + 1, y + 1 FROM c),
 o AS (SELECT id, ax, ay, bx, b_y FROM e GROUP BY ALL HAVING count(*) = 1) SELECT id, count(*) AS n_edges FROM o GROUP BY id""")
 def boundary_edges(spark, sf_dir):
-    members = _Net(spark, sf_dir).local().join(D.shapes(spark, sf_dir), "unit")
+    members = G.with_shapes(_Net(spark, sf_dir).local(), D.shapes(spark, sf_dir))
     return G.boundary_edges(G.edges(members, "id", "unit"), "id").groupBy("id").agg(F.count("*").alias("n_edges"))
 
 
 @_query(f"""WITH RECURSIVE {_LOCAL} SELECT l.id, CAST(min(x) AS DOUBLE) AS west, CAST(min(y) AS DOUBLE) AS south, CAST(max(x) + 1 AS DOUBLE) AS east, CAST(max(y) + 1 AS DOUBLE) AS north,
   CAST(count(*) AS DOUBLE) AS planar_area, round(avg(x + 0.5), 6) AS cx, round(avg(y + 0.5), 6) AS cy FROM local l JOIN units u USING (unit) GROUP BY l.id""")
 def planar_measures(spark, sf_dir):
-    members = _Net(spark, sf_dir).local().join(D.shapes(spark, sf_dir), "unit")
+    members = G.with_shapes(_Net(spark, sf_dir).local(), D.shapes(spark, sf_dir))
     rows = G.planar(G.edges(members, "id", "unit"), "id")
     return rows.select("id", "west", "south", "east", "north", F.round("planar_area", 6).alias("planar_area"), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
@@ -199,7 +200,7 @@ r AS (SELECT id, x, y, x AS rx, y AS ry FROM c UNION SELECT r.id, c.x, c.y, r.rx
 m AS (SELECT id, x, y, min((rx + 1000) * 10000 + ry + 1000) AS part FROM r GROUP BY id, x, y)
 SELECT id, count(DISTINCT part) AS n_parts, CAST(count(*) AS DOUBLE) AS planar_area FROM m GROUP BY id""")
 def dissolve_parts(spark, sf_dir):
-    members = _Net(spark, sf_dir).local().join(D.shapes(spark, sf_dir), "unit").withColumnRenamed("unit", "member")
+    members = G.with_shapes(_Net(spark, sf_dir).local(), D.shapes(spark, sf_dir)).withColumnRenamed("unit", "member")
     merged = cut(G.dissolve(G.edges(members, "id", "member"), "id"))
     area = G.planar(G.edges(merged, "id"), "id").select("id", F.round("planar_area", 6).alias("planar_area"))
     return merged.select("id", F.size("geom").cast("long").alias("n_parts")).join(area, "id")
@@ -329,12 +330,12 @@ SELECT coalesce(project_code, id) AS "ProjectCode", name || ' local incremental
   printf('%.4f', cy) AS "CentroidLatitude", printf('%.4f', cx) AS "CentroidLongitude", true AS area_is_sum, '0.3' AS "BufferDegreesApplied" FROM projects JOIN b USING (id)""")
 def bbox_catchments(spark, sf_dir):
     """The CSV's rows of every project's dissolved local catchment; SQL can't give the area, which is held against the cells' sum."""
-    members = _Net(spark, sf_dir).local().join(D.shapes(spark, sf_dir), "unit").withColumnRenamed("unit", "member")
-    lines = G.edges(members, "id", "member")
-    projects = D.projects(spark, sf_dir)
+    net = _Net(spark, sf_dir)
+    members = G.with_shapes(net.local(), D.shapes(spark, sf_dir)).withColumnRenamed("unit", "member")
+    lines, projects = G.edges(members, "id", "member"), net.projects
     shape = cut(G.dissolve(lines, "id"))
     summed = G.polygon_area_sum_km2(lines.withColumn("poly", F.col("member")), "id").join(projects.select("id", "ord"), "id").select("ord", F.col("area_km2").alias("summed"))
-    rows = bbox_rows(projects.join(shape, "id").withColumn("part", F.lit("local"))).join(summed, "ord")
+    rows = bbox_rows(G.with_shapes(projects, shape, "id").withColumn("part", F.lit("local"))).join(summed, "ord")
     return rows.withColumn("area_is_sum", F.abs(F.col("AreaKm2").cast("double") - F.col("summed")) < 0.051).drop("ord", "AreaKm2", "summed")
 
 

@@ -42,6 +42,39 @@ def test_bbox_of_whole_catchments(spark):
     test_queries_match_their_sql(spark, "bbox_catchments")
 
 
+def broadcasts(df):
+    """The columns of every table that the plan of ``df`` would send to all executors by way of the driver."""
+    found, rest = [], [df._jdf.queryExecution().executedPlan()]
+    while rest:
+        node = rest.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            rest.append(node.initialPlan())
+        if node.nodeName().startswith("BroadcastExchange"):
+            found.append({node.output().apply(k).name() for k in range(node.output().size())})
+        rest += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("name", ["bbox_catchments"])
+def test_neither_geometry_nor_jumps_of_all_units_are_broadcast(spark, monkeypatch, name):
+    """Files of a few MB hold millions of units: their shapes, and the table that each round of doubling looks up, would fill the driver."""
+    from headwater.operators import geometry, graph
+    from headwater.plans import catchments, lineage, queries
+
+    sent, rounds = [], []
+
+    def recorded(df):
+        sent.extend(broadcasts(df))
+        rounds.append("arrived" in df.columns)
+        return lineage.cut(df)
+
+    for module in (geometry, graph, catchments, queries):
+        monkeypatch.setattr(module, "cut", recorded)
+    sent.extend(broadcasts(queries.QUERIES[name](spark, SF)))
+    assert sum(rounds) > 1 and sent
+    assert not [columns for columns in sent if columns & {"geom", "further"}]
+
+
 @pytest.mark.parametrize("name", ["effective_downstream", "local_counts", "next_project", "outlet_cover", "unit_edges", "bbox_summary", "layer_id_equality", "marker_extract", "filename_sanitize", "geojson_roundtrip", "integrity_report", "geodesic_closed_forms", "total_area_consistency", "feature_rows", "layer_compare", "overlay_union", "long_ring", "linework_repair"])
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
