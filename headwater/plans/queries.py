@@ -278,13 +278,13 @@ def total_area_consistency(spark, sf_dir):
     """The dissolved total: its planar area (a unit a cell), and its ellipsoidal area as a share of the sum of the local ones over the project and all above it."""
     net = _Net(spark, sf_dir)
     local, closure = cut(net.local()), N.project_closure(net.edges())
-    shapes = D.shapes(spark, sf_dir)
-    bounds = lambda m: G.boundary_edges(G.edges(m.join(shapes, "unit"), "id", "unit"), "id")
+    shapes, lower = D.globe_shapes(spark, sf_dir)
+    bounds = lambda m: G.boundary_edges(G.edges(G.with_shapes(m, shapes), "id", "unit"), "id")
     parts = G.area_km2(bounds(local), "id").select(F.col("id").alias("above"), "area_km2")
     pairs = closure.union(local.select("id", F.col("id").alias("above")).distinct())
     summed = pairs.join(parts, "above").groupBy("id").agg(F.sum("area_km2").alias("summed"))
     total = cut(bounds(N.total_members(local, closure)))
-    planar = G.planar(total, "id").select("id", F.round("planar_area", 6).alias("planar_area"))
+    planar = G.planar(total, "id").select("id", F.round(F.col("planar_area") * lower, 6).alias("planar_area"))
     return G.area_km2(total, "id").join(summed, "id").join(planar, "id").select("id", "planar_area", F.round(F.col("area_km2") / F.col("summed"), 9).alias("of_parts"))
 
 

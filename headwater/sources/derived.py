@@ -32,6 +32,25 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).select("unit", F.array(F.array(ring)).alias("geom"))
 
 
+#: Latitude that cells on the globe keep to: the area of a short edge is noisy near a pole.
+LATITUDE = 60
+
+
+def globe_shapes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(unit, geom) for ellipsoidal areas, and how many cells share a degree of latitude.
+
+    Rows of one-degree cells go past the pole beyond some 37,000 units, and nothing has an area there. So the same cells are laid on the globe, lower by a
+    power of two, which leaves coordinates exact: what was a neighbour, an inner edge or an overlap still is one.
+    """
+    rows = units(spark, sf_dir).agg(F.max(F.greatest(F.abs("y"), F.abs(F.col("y") + 1)))).first()[0] or 0
+    lower = 1
+    while rows > LATITUDE * lower:
+        lower *= 2
+    point = lambda p: F.struct(p["x"].alias("x"), (p["y"] / lower).alias("y"))
+    geom = F.transform("geom", lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, point)))
+    return shapes(spark, sf_dir).select("unit", geom.alias("geom")), lower
+
+
 def _squares(rows: DataFrame, x: str, y: str, side: float) -> DataFrame:
     corner = lambda dx, dy: F.struct((F.col(x) + dx).cast("double").alias("x"), (F.col(y) + dy).cast("double").alias("y"))
     return rows.withColumn("geom", F.array(F.array(F.array(corner(0, 0), corner(side, 0), corner(side, side), corner(0, side), corner(0, 0)))))
