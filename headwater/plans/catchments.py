@@ -40,9 +40,9 @@ def catchments(units: DataFrame, projects: DataFrame, shapes: DataFrame, part: s
     local = cut(N.local_members(nearest, projects))
     wanted = projects if selected is None else projects.filter(F.lower("id").isin([s.lower() for s in selected]))
     # the boundary of a total is what is left of those of the local catchments in it, so units are only taken apart once
-    parts = cut(G.boundary_edges(G.edges(local.join(shapes, "unit"), "id"), "id"))
+    parts = cut(G.boundary_edges(G.edges(G.with_shapes(local, shapes), "id"), "id"))
     within = closure.union(projects.select("id", F.col("id").alias("above"))).join(wanted.select("id"), "id", "left_semi")
-    whole_parts = within.join(parts.withColumnRenamed("id", "above"), "above").drop("above")
+    whole_parts = within.join(parts.withColumnRenamed("id", "above").hint("merge"), "above").drop("above")
     lines = parts.join(wanted.select("id"), "id", "left_semi").withColumn("part", F.lit("local")).unionByName(G.boundary_edges(whole_parts, "id").withColumn("part", F.lit("total")))
     merged = cut(G.assembled(lines, "id", "part"))
     areas = G.area_km2(G.edges(merged, "id", "part"), "id", "part").groupBy("id").pivot("part", ["local", "total"]).agg(F.first("area_km2"))
@@ -50,7 +50,8 @@ def catchments(units: DataFrame, projects: DataFrame, shapes: DataFrame, part: s
     members = local if part == "local" else N.total_members(local, closure)
     chosen = members.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("unit")).alias("hybas_ids"), F.count("*").alias("unit_count"))
     shape = merged.filter(F.col("part") == part).select("id", "geom")
-    return wanted.join(N.project_network(network, closure).drop("ord"), "id").join(areas, "id").join(chosen, "id").join(shape, "id").withColumn("part", F.lit(part)).withColumn("area", F.col(f"area_{part}"))
+    rows = wanted.join(N.project_network(network, closure).drop("ord"), "id").join(areas, "id").join(chosen, "id")
+    return G.with_shapes(rows, shape, "id").withColumn("part", F.lit(part)).withColumn("area", F.col(f"area_{part}"))
 
 
 def check_outlets(projects: DataFrame, units: DataFrame, shapes: DataFrame) -> None:

@@ -298,12 +298,13 @@ SELECT p.id, p.ord, p.name, CAST(p.lat AS DOUBLE) AS lat, CAST(p.lon AS DOUBLE)
 FROM projects p JOIN units_of u USING (id) JOIN net n USING (id) JOIN sizes s USING (id)""")
 def feature_rows(spark, sf_dir):
     """Whole features: all keys of the output. Areas are given as shares of the sums over the cells, which SQL can't give."""
-    units, projects, shapes = D.units(spark, sf_dir), D.projects(spark, sf_dir), D.shapes(spark, sf_dir)
+    units, projects = D.units(spark, sf_dir), cut(D.projects(spark, sf_dir))
+    shapes, lower = D.globe_shapes(spark, sf_dir)
     rows = cut(catchments(units, projects, shapes))
     cells = cut(G.area_km2(G.edges(shapes, "unit"), "unit"))
     own = rows.select("id", F.explode("hybas_ids").alias("unit")).join(cells, "unit").groupBy("id").agg(F.sum("area_km2").alias("own"), F.count("*").alias("n"))
     within = rows.select("id", F.explode(F.concat("above", F.array("id"))).alias("above")).join(own.withColumnRenamed("id", "above"), "above").groupBy("id").agg(F.sum("own").alias("all"), F.sum("n").alias("n_total"))
-    planar = G.planar(G.edges(rows, "id"), "id").select("id", F.round("planar_area", 6).alias("planar_area"))
+    planar = G.planar(G.edges(rows, "id"), "id").select("id", F.round(F.col("planar_area") * lower, 6).alias("planar_area"))
     share = lambda area, of: F.round(F.col(area) / F.col(of), 9).alias(f"{area}_of_cells")
     return rows.join(own.drop("n"), "id").join(within, "id").join(planar, "id").select(
         "id", "ord", "name", "lat", "lon", "hybas_id", F.array_join("hybas_ids", ",").alias("hybas_ids"), "unit_count", "down", F.array_join("up", ",").alias("up"), F.array_join("above", ",").alias("above"),

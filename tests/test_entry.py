@@ -90,7 +90,7 @@ def test_queries_match_their_sql(spark, name):
     assert sorted((tuple(r[x] for x in columns) for r in df.collect()), key=key) == sorted((tuple(r[names.index(x)] for x in columns) for r in result.fetchall()), key=key)
 
 
-@pytest.mark.parametrize("name", ["total_area_consistency"])
+@pytest.mark.parametrize("name", ["total_area_consistency", "feature_rows"])
 def test_networks_whose_cells_go_past_the_pole_have_areas(spark, tmp_path, name):
     """Units from 37,500 on lie above 90 degrees: two catchments wholly there, and one with cells on both sides."""
     duckdb = pytest.importorskip("duckdb")
