@@ -72,7 +72,8 @@ def polygon_area_sum_km2(edge_rows: DataFrame, *keys: str) -> DataFrame:
 def planar(edge_rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, west, south, east, north, planar_area, cx, cy): bounds, area and centroid in coordinate units."""
     first = edge_rows.groupBy(*keys).agg(F.min("x1").alias("west"), F.min("y1").alias("south"), F.max("x1").alias("east"), F.max("y1").alias("north"))
-    moved = edge_rows.join(first, list(keys))
+    # an outer join, as its left side is never broadcast: edges that pass for a few MB may be hundreds
+    moved = edge_rows.dropna(subset=list(keys)).join(first, list(keys), "left")
     px, qx, py, qy = F.col("x1") - F.col("west"), F.col("x2") - F.col("west"), F.col("y1") - F.col("south"), F.col("y2") - F.col("south")
     cross = px * qy - qx * py
     sums = moved.groupBy(*keys, "west", "south", "east", "north").agg(F.sum(cross).alias("c"), F.sum((px + qx) * cross).alias("mx"), F.sum((py + qy) * cross).alias("my"))

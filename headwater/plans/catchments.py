@@ -50,7 +50,7 @@ def catchments(units: DataFrame, projects: DataFrame, shapes: DataFrame, part: s
     members = local if part == "local" else N.total_members(local, closure)
     chosen = members.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("unit")).alias("hybas_ids"), F.count("*").alias("unit_count"))
     shape = merged.filter(F.col("part") == part).select("id", "geom")
-    rows = wanted.join(N.project_network(network, closure).drop("ord"), "id").join(areas, "id").join(chosen, "id")
+    rows = wanted.join(N.project_network(network, closure).drop("ord"), "id").join(areas, "id").join(chosen.hint("merge"), "id")
     return G.with_shapes(rows, shape, "id").withColumn("part", F.lit(part)).withColumn("area", F.col(f"area_{part}"))
 
 

@@ -302,11 +302,11 @@ def feature_rows(spark, sf_dir):
     shapes, lower = D.globe_shapes(spark, sf_dir)
     rows = cut(catchments(units, projects, shapes))
     cells = cut(G.area_km2(G.edges(shapes, "unit"), "unit"))
-    own = rows.select("id", F.explode("hybas_ids").alias("unit")).join(cells, "unit").groupBy("id").agg(F.sum("area_km2").alias("own"), F.count("*").alias("n"))
-    within = rows.select("id", F.explode(F.concat("above", F.array("id"))).alias("above")).join(own.withColumnRenamed("id", "above"), "above").groupBy("id").agg(F.sum("own").alias("all"), F.sum("n").alias("n_total"))
+    own = rows.select("id", F.explode("hybas_ids").alias("unit")).join(cells.hint("merge"), "unit").groupBy("id").agg(F.sum("area_km2").alias("own"), F.count("*").alias("n"))
+    within = rows.select("id", F.explode(F.concat("above", F.array("id"))).alias("above")).hint("merge").join(own.withColumnRenamed("id", "above"), "above").groupBy("id").agg(F.sum("own").alias("all"), F.sum("n").alias("n_total"))
     planar = G.planar(G.edges(rows, "id"), "id").select("id", F.round(F.col("planar_area") * lower, 6).alias("planar_area"))
     share = lambda area, of: F.round(F.col(area) / F.col(of), 9).alias(f"{area}_of_cells")
-    return rows.join(own.drop("n"), "id").join(within, "id").join(planar, "id").select(
+    return rows.hint("merge").join(own.drop("n"), "id").join(within, "id").join(planar, "id").select(
         "id", "ord", "name", "lat", "lon", "hybas_id", F.array_join("hybas_ids", ",").alias("hybas_ids"), "unit_count", "down", F.array_join("up", ",").alias("up"), F.array_join("above", ",").alias("above"),
         "part", F.col("source").alias("outlet_source"), F.col("reference").alias("outlet_reference"), "planar_area", share("area", "own"), share("area_local", "own"), share("area_total", "all"), "n_total",
     )
